@@ -26,17 +26,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def by_document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, pk) dealt by pk, the id with null as NULL_ID.
+    """(text, pk) dealt by pk, the id with null as NULL_ID.
 
     Every later join with facts about documents is on pk, so the texts move once: Spark reuses
-    this exchange wherever the frame is used again within a plan.
+    this exchange wherever the frame is used again within a plan. That needs the same columns
+    each time, so there is no other column, and doc_id is read back from pk.
     """
     return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("pk"),
+        F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("pk"),
     ).repartition(partitions(docs), "pk")
 
 
+def doc_ids(pk: pa.Array) -> pa.Array:
+    """The ids that pk stands for."""
+    at = pk.to_numpy()
+    return pa.array(at, pa.int64(), mask=at == NULL_ID)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts end to end, and their offsets; null is empty."""
     column = column.fill_null("").cast(pa.large_string())

@@ -1,16 +1,18 @@
 """Which windows of a corpus occur again: the plan that both substring operators run.
 
     base      texts dealt by document (moved once, reused)
-    runs      super-windows of every text (see windows.py), one row each
+    runs      super-windows of every text (see windows.py), one row each, dealt by key (once)
     occ       runs whose key occurs at least twice; most unique text ends here
     distinct  one row for each different run: its first place and number of places
     segments  the symbols of those runs, fetched by a join with base
     resolved  for each key, the operator's own method (automaton or radix sort) on its runs
     marks     windows found, brought back to every place of the run, by document
 
-Copies collapse in map-side partial aggregation before anything meets under a key. A key with
-more than ``crowd`` different runs (the edge of a passage that very many documents share) is
-cut: its windows go on one by one, each under a key of its whole content, which spreads them.
+What follows runs is grouped within the exchange by key, without another one. A run's row holds
+no text, whatever the number of copies, and a key's rows stream through sorted, spillable
+operators. A key with more than ``crowd`` different runs (the edge of a passage that very many
+documents share) is cut: its windows go on one by one, each under a key of its whole content,
+which spreads them.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, record, utf8
+from .common import partitions, record, texts
 from .windows import chunks, mix, rolling, window_runs
 
 #: A run's place is its start * SLOT + its number of windows.
@@ -46,8 +48,11 @@ class Spec:
     crowd: int = 50_000
 
 
-RUN = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("pk", pa.int64()), ("at", pa.int64())])
-SEGMENT = pa.schema([*list(RUN), ("n", pa.int64()), ("body", pa.binary())])
+#: rest holds seg, pk and the places of equal runs of the document (periodic text has many);
+#: being one column, no use of it makes Spark deal runs once more.
+RUN = pa.schema([("key", pa.int64()), ("rest", pa.list_(pa.int64()))])
+RUN_DDL = "key long, rest array<long>"
+SEGMENT = pa.schema([(c, pa.int64()) for c in ("key", "seg", "pk", "at", "n")] + [("body", pa.binary())])
 RESULT = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("first", pa.int64()), ("first_at", pa.int64()), ("bits", pa.binary())])
 
 
@@ -56,23 +61,39 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 
 
-def slices(column: pa.Array) -> list[bytes]:
-    data, at = utf8(column)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+def _runs(key: np.ndarray, seg: np.ndarray, pk: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows of runs; equal runs of one document share a row, their places in order."""
+    mixed = np.sort(mix(key.view(np.uint64) ^ mix(seg.view(np.uint64) + pk.view(np.uint64))))
+    fresh = np.ones(len(key), bool)
+    if (mixed[1:] == mixed[:-1]).any():
+        order = np.lexsort((at, pk, seg, key))
+        key, seg, pk, at = key[order], seg[order], pk[order], at[order]
+        fresh[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]) | (pk[1:] != pk[:-1])
+    first = np.flatnonzero(fresh)
+    size = np.diff(np.append(first, len(key)))
+    offsets = np.r_[0, np.cumsum(size + 2)].astype(np.int32)
+    rest = np.empty(offsets[-1], np.int64)
+    rest[offsets[:-1]], rest[offsets[:-1] + 1] = seg[first], pk[first]
+    rest[np.arange(len(at)) + 2 * np.cumsum(fresh)] = at
+    return record(RUN, key[first], pa.ListArray.from_arrays(offsets, pa.array(rest)))
 
 
 def runs(base: DataFrame, spec: Spec) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, pk = slices(batch.column("text")), batch.column("pk").to_numpy()
+            raw, pk = texts(batch.column("text")), batch.column("pk").to_numpy()
             for a, b in chunks([len(x) for x in raw]):
                 sym, lens = spec.symbols(raw[a:b])
                 doc, start, n, key, seg = window_runs(sym, lens, spec.w, spec.k, spec.longest)
                 if len(doc):
-                    yield record(RUN, key.view(np.int64), seg.view(np.int64), pk[a:b][doc], start * SLOT + n)
+                    yield _runs(key.view(np.int64), seg.view(np.int64), pk[a:b][doc], start * SLOT + n)
 
-    return base.select("text", "pk").mapInArrow(find, _ddl(RUN))
+    return _dealt(base.mapInArrow(find, RUN_DDL))
+
+
+def _dealt(found: DataFrame) -> DataFrame:
+    # The filter is the one that Spark adds below a join, here for all uses, so that they share one exchange.
+    return found.where("key is not null").repartition(partitions(found), "key")
 
 
 def _cut(base: DataFrame, crowded: DataFrame, spec: Spec) -> DataFrame:
@@ -80,33 +101,44 @@ def _cut(base: DataFrame, crowded: DataFrame, spec: Spec) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, pk, ats in zip(slices(batch.column("text")), batch.column("pk").to_pylist(), batch.column("ats").to_pylist()):
+            for raw, pk, ats in zip(texts(batch.column("text")), batch.column("pk").to_pylist(), batch.column("ats").to_pylist()):
                 sym, _ = spec.symbols([raw])
                 whole = mix(mix(rolling(sym, spec.w)) + np.uint64(77)).view(np.int64) if len(sym) >= spec.w else np.zeros(0, np.int64)
                 start = np.concatenate([np.arange(a // SLOT, a // SLOT + a % SLOT) for a in ats])
                 start = start[start < len(whole)]
-                yield record(RUN, whole[start], whole[start], np.full(len(start), pk), start * SLOT + 1)
+                yield _runs(whole[start], whole[start], np.full(len(start), pk), start * SLOT + 1)
 
-    by = crowded.groupBy("pk").agg(F.collect_list("at").alias("ats"))
-    return base.select("text", "pk").join(by, "pk").mapInArrow(split, _ddl(RUN))
+    by = crowded.groupBy("pk").agg(F.flatten(F.collect_list("ats")).alias("ats"))
+    return _dealt(base.join(by, "pk").mapInArrow(split, RUN_DDL))
 
 
 def marks(base: DataFrame, spec: Spec, first_stays: bool) -> DataFrame:
-    """(pk, marks: array of (at, bits)): repeated windows, by document.
+    """(pk, marks: array of (ats, bits, rest)): repeated windows, by document.
 
     bits has a byte for each window of the run. With ``first_stays`` the first place of a run
     gets the resolver's flags and all other places are repeated throughout.
     """
     found = runs(base, spec)
-    twice = found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    occ = found.join(twice, "key", "left_semi")
-    crowds = occ.select("key", "seg").distinct().groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > spec.crowd).select("key")
-    whole = F.lit(False).alias("single")
-    occ = occ.join(crowds, "key", "left_anti").select("*", whole).unionByName(
-        _cut(base, occ.join(crowds, "key", "left_semi"), spec).select("*", F.lit(True).alias("single")))
-    distinct = occ.groupBy("key", "seg").agg(
-        F.count("*").alias("n"), F.min(F.struct("pk", "at")).alias("first"), F.max("single").alias("single"),
-    ).where("n > 1 or not single")
+    distinct, occ = _kinds(found)
+    crowded = distinct.where(F.col("kinds") > spec.crowd).select("key").distinct()
+    cut_distinct, cut_occ = _kinds(_cut(base, occ.join(crowded, "key", "left_semi"), spec))
+    placed = _placed(base, distinct.where(F.col("kinds") <= spec.crowd), occ, spec, first_stays)
+    placed = placed.unionByName(_placed(base, cut_distinct.where("n > 1"), cut_occ, spec, first_stays))
+    return placed.groupBy("pk").agg(F.collect_list("m").alias("marks"))
+
+
+def _kinds(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Different runs (key, seg, n places, first place, kinds of the key), and all places."""
+    key = Window.partitionBy("key")
+    places = F.size("rest") - 2
+    occ = found.withColumn("c", F.sum(places).over(key)).where("c > 1").select(
+        "key", F.get("rest", F.lit(0)).alias("seg"), F.get("rest", F.lit(1)).alias("pk"), F.slice("rest", F.lit(3), places).alias("ats"))
+    distinct = occ.groupBy("key", "seg").agg(F.sum(F.size("ats")).alias("n"), F.min(F.struct("pk", F.get("ats", F.lit(0)).alias("at"))).alias("first"))
+    return distinct.withColumn("kinds", F.count("*").over(key)), occ
+
+
+def _placed(base: DataFrame, distinct: DataFrame, occ: DataFrame, spec: Spec, first_stays: bool) -> DataFrame:
+    """(pk, m: (at, bits)) of the places whose runs have repeated windows."""
     wanted = distinct.groupBy(F.col("first.pk").alias("pk")).agg(
         F.collect_list(F.struct("key", "seg", F.col("first.at").alias("at"), "n")).alias("want"))
 
@@ -117,7 +149,7 @@ def marks(base: DataFrame, spec: Spec, first_stays: bool) -> DataFrame:
             key, seg, at, n = (flat.field(i).to_numpy() for i in range(4))
             bodies, rows = [], []
             shift = bounds[0] if want.offset else 0
-            for i, (raw, pk) in enumerate(zip(slices(batch.column("text")), batch.column("pk").to_pylist())):
+            for i, (raw, pk) in enumerate(zip(texts(batch.column("text")), batch.column("pk").to_pylist())):
                 cut, a, b = spec.cut(raw), bounds[i] - shift, bounds[i + 1] - shift
                 for j, x in zip(range(a, b), at[a:b].tolist()):
                     bodies.append(cut(x // SLOT, x // SLOT + x % SLOT + spec.w - 1))
@@ -126,7 +158,7 @@ def marks(base: DataFrame, spec: Spec, first_stays: bool) -> DataFrame:
                 j, pk = np.array(rows).T
                 yield record(SEGMENT, key[j], seg[j], pk, at[j], n[j], bodies)
 
-    segments = base.select("text", "pk").join(wanted, "pk").mapInArrow(fetch, _ddl(SEGMENT))
+    segments = base.join(wanted, "pk").mapInArrow(fetch, _ddl(SEGMENT))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -147,17 +179,21 @@ def marks(base: DataFrame, spec: Spec, first_stays: bool) -> DataFrame:
             yield record(RESULT, *map(list, zip(*keep)))
 
     resolved = segments.repartition(partitions(base), "key").sortWithinPartitions("key", "pk", "at").mapInArrow(settle, _ddl(RESULT))
-    bits = F.col("bits")
-    if first_stays:
-        bits = F.when((F.col("pk") == F.col("first")) & (F.col("at") == F.col("first_at")), bits)
-    placed = occ.join(resolved, ["key", "seg"]).select("pk", F.struct("at", bits.alias("bits")).alias("m"))
-    return placed.groupBy("pk").agg(F.collect_list("m").alias("marks"))
+    leads = (F.col("pk") == F.col("first")) & (F.get("ats", F.lit(0)) == F.col("first_at"))
+    mark = F.struct("ats", F.when(leads, F.col("bits")).alias("bits"), F.lit(True).alias("rest")) if first_stays else F.struct("ats", "bits", F.lit(False).alias("rest"))
+    return occ.join(resolved, ["key", "seg"]).select("pk", mark.alias("m"))
 
 
 def marked_starts(marks: list[dict] | None) -> np.ndarray:
-    """Starts of the repeated windows of one document; null bits: the whole run."""
+    """Starts of the repeated windows of one document.
+
+    bits are the windows' flags at each of ``ats``; with ``rest`` at the first of them only,
+    the others being repeated throughout (and the first too, where there are no bits).
+    """
     out = [np.zeros(0, np.int64)]
     for m in marks or ():
-        start, n = divmod(m["at"], SLOT)
-        out.append(start + (np.arange(n) if m["bits"] is None else np.flatnonzero(np.frombuffer(m["bits"], np.uint8))))
+        flags = None if m["bits"] is None else np.flatnonzero(np.frombuffer(m["bits"], np.uint8))
+        for i, at in enumerate(m["ats"]):
+            start, n = divmod(at, SLOT)
+            out.append(start + (np.arange(n) if flags is None or m["rest"] and i else flags))
     return np.concatenate(out)

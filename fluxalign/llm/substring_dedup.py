@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import by_document, record, small_batches, texts
+from .common import by_document, doc_ids, record, small_batches, texts
 from .repeats import Spec, marked_starts, marks
 from .windows import covered
 
@@ -43,7 +43,7 @@ class SuffixAutomaton:
         self.first.append(first)
         return len(self.next) - 1
 
-    def _split(self, p: int, symbol: int, q: int) -> int:
+    def _split(self, p: int, symbol: bytes, q: int) -> int:
         """A copy of q for its suffixes that p's move reaches."""
         clone = self._state(dict(self.next[q]), self.link[q], self.depth[p] + 1, self.first[q])
         while p >= 0 and self.next[p].get(symbol) == q:
@@ -52,7 +52,7 @@ class SuffixAutomaton:
         self.link[q] = clone
         return clone
 
-    def add(self, sequence: list[int]) -> None:
+    def add(self, sequence: list[bytes]) -> None:
         last = 0
         for symbol in sequence:
             moves, depth, end = self.next, self.depth, self.size
@@ -70,7 +70,7 @@ class SuffixAutomaton:
                 self.link[new] = q if depth[q] == depth[p] + 1 else self._split(p, symbol, q)
             last = new
 
-    def earlier(self, sequence: list[int], begin: int, w: int) -> bytes:
+    def earlier(self, sequence: list[bytes], begin: int, w: int) -> bytes:
         """For each window of w symbols of a sequence added at ``begin``: does it occur before?"""
         state = held = 0
         out = bytearray()
@@ -94,8 +94,8 @@ def word_symbols(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cutter(raw: bytes):
-    sym, _ = word_symbols([raw])
-    return lambda a, b: sym[a:b].tobytes()
+    words = raw.split()
+    return lambda a, b: b" ".join(words[a:b])
 
 
 def automaton_resolver(w: int):
@@ -108,7 +108,7 @@ def automaton_resolver(w: int):
             end = begin
             while end < len(rows) and rows[end][0] == rows[begin][0]:
                 end += 1
-            shard = [np.frombuffer(r[5], np.uint64).tolist() for r in rows[begin:end]]
+            shard = [r[5].split() for r in rows[begin:end]]
             if len(shard) == 1:
                 out.append(bytes(max(0, len(shard[0]) - w + 1)))  # a run has no window twice
             else:
@@ -150,9 +150,9 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id"
                 text = b" ".join(kept)
                 rows.append((n, n - len(kept), hashlib.sha256(text).hexdigest() if digest else text.decode()))
             if rows:
-                yield record(schema, batch.column("doc_id").cast(pa.int64()), *map(list, zip(*rows)))
+                yield record(schema, doc_ids(batch.column("pk")), *map(list, zip(*rows)))
 
     ddl = "doc_id long, n_words long, n_removed long, " + ("kept_sha256" if digest else "kept") + " string"
-    return base.join(found, "pk", "left").select("doc_id", "text", "marks").mapInArrow(remove, ddl)
+    return base.join(found, "pk", "left").select("text", "pk", "marks").mapInArrow(remove, ddl)
 
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_document, record, small_batches, texts
+from .common import by_document, doc_ids, record, small_batches, texts
 from .repeats import Spec, marked_starts, marks
 from .windows import covered
 
@@ -127,7 +127,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 400, id_col: str = "doc_id",
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest() if digest else kept))
             if rows:
-                yield record(schema, batch.column("doc_id").cast(pa.int64()), *map(list, zip(*rows)))
+                yield record(schema, doc_ids(batch.column("pk")), *map(list, zip(*rows)))
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
-    return base.join(found, "pk", "left").select("doc_id", "text", "marks").mapInArrow(remove, ddl)
+    return base.join(found, "pk", "left").select("text", "pk", "marks").mapInArrow(remove, ddl)
