@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans.oracles import build
+from .plans.queries import REGISTRY
+
 
 def queries() -> dict:
-    return {}
+    return dict(REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return build()
