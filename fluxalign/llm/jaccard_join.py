@@ -26,14 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, by_document, durable, partitions, record, small_batches, texts
+from .common import NULL_ID, durable, partitions, record, small_batches, texts
 from .components import components
 from .windows import mix, rolling
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Ids that are broadcast at most (16 MB); more of them are joined by a shuffle.
+MOST_BROADCAST = 1 << 20
 #: Counters of the document-frequency sketch, and the parts in which it is summed.
 SKETCH, PARTS = 1 << 20, 16
 
@@ -98,7 +100,7 @@ def _sketch(signed: DataFrame) -> np.ndarray:
     return np.ceil(np.log2(counts + 1)).astype(np.uint8)
 
 
-def _prefixes(reps: DataFrame, rank, n: int, percent: int) -> DataFrame:
+def _prefixes(base: DataFrame, rank, n: int, percent: int) -> DataFrame:
     """(pk, n, last, grams): the rare-first prefix of each set; last is the place of its end."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,22 +111,35 @@ def _prefixes(reps: DataFrame, rank, n: int, percent: int) -> DataFrame:
                 s = shingles(raw, n)
                 if not len(s):
                     continue
-                ids.append(pk)
                 order = rare[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
                 p = len(s) - needed(len(s), percent) + 1
                 first = np.argpartition(order, p - 1)[:p] if p < len(s) else np.arange(len(s))
+                ids.append(pk)
                 sizes.append(len(s))
                 last.append(int(order[first].max()))
                 grams.append(s[first].view(np.int64))
-            if sizes:
+            if ids:
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(g) for g in grams])].astype(np.int32), pa.array(np.concatenate(grams)))
                 yield record(PREFIX, ids, sizes, last, lists)
 
-    return reps.select("text", "pk").mapInArrow(cut, "pk long, n int, last long, grams array<long>")
+    return base.mapInArrow(cut, "pk long, n int, last long, grams array<long>")
+
+
+def _shared_entries(prefix: DataFrame) -> DataFrame:
+    """A row (gram, pk, n, p, last) for each prefix shingle that several documents have.
+
+    This deals the shingles out once; most are one document's own and end here.
+    """
+    flat = prefix.select(F.explode("grams").alias("gram"), "pk", "n", F.size("grams").alias("p"), "last").repartition(partitions(prefix), "gram")
+    return flat.withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1").drop("c")
 
 
 def _exact(base: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the threshold."""
+    """Those of the pairs (a, b) whose whole sets reach the threshold.
+
+    Only the texts of documents in a pair are shuffled: their ids filter the scan as a broadcast
+    while they are MOST_BROADCAST at most, else by a join.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,8 +148,10 @@ def _exact(base: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([batch.column("pk"), lists], ["pk", "grams"])
 
-    asked = pairs.select(F.col("a").alias("pk")).unionByName(pairs.select(F.col("b").alias("pk"))).distinct()
-    sets = base.select("text", "pk").join(asked, "pk").mapInArrow(whole, "pk long, grams array<long>").dropDuplicates(["pk"])
+    pairs = durable(pairs)
+    asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("pk")).distinct())
+    asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
+    sets = base.join(asked, "pk", "left_semi").select("text", "pk").mapInArrow(whole, "pk long, grams array<long>").dropDuplicates(["pk"])
     left, right = (sets.select(F.col("pk").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
     shared = F.size(F.array_intersect("ga", "gb"))
     linked = shared * 100 >= percent * (F.size("ga") + F.size("gb") - shared)
@@ -221,19 +238,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     component_id is the least doc_id that links reach, the document itself included.
     """
     small_batches(docs.sparkSession)
-    base = by_document(docs, id_col, text_col)
+    base = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("pk"))
     signed = durable(_signatures(base, n))
     rank = docs.sparkSession.sparkContext.broadcast(_sketch(signed))
     sets = signed.where("part is null").select("pk", "n", "sig")
     classes = sets.where("n > 0").groupBy("sig").agg(F.min("pk").alias("rep"))
-    reps = base.select("text", "pk").join(classes.select(F.col("rep").alias("pk")), "pk", "left_semi")
-    prefix = durable(_prefixes(reps.where(F.length("text") > 0), rank, n, percent).dropDuplicates(["pk"]))
-    flat = prefix.select("pk", "n", "last", F.size("grams").alias("p"), F.explode("grams").alias("gram"))
-    first = durable(_exact(base, _leaders(flat), n, percent))
-    known = components(first)
-    comp = prefix.select("pk", "n", "last", "grams").join(known.withColumnRenamed("node", "pk"), "pk", "left").withColumn("comp", F.coalesce("component", "pk"))
-    entries = comp.select("pk", "n", "last", "comp", F.size("grams").alias("p"), F.explode("grams").alias("gram"))
-    second = durable(_exact(base, _product(entries, percent).distinct(), n, percent))
+    prefix = _prefixes(base, rank, n, percent).join(classes.select(F.col("rep").alias("pk")), "pk", "left_semi").dropDuplicates(["pk"])
+    entries = durable(_shared_entries(prefix))
+    first = durable(_exact(base, _leaders(entries), n, percent))
+    known = components(first).withColumnRenamed("node", "pk")
+    grouped = entries.join(known, "pk", "left").withColumn("comp", F.coalesce("component", "pk")).drop("component")
+    second = durable(_exact(base, _product(grouped, percent).distinct(), n, percent))
     found = components(first.unionByName(second))
     labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     out = sets.join(labelled, "sig", "left").select("pk", "n", F.coalesce("component", "pk").alias("component")).distinct()
