@@ -167,7 +167,8 @@ def _placed(base: DataFrame, distinct: DataFrame, occ: DataFrame, spec: Spec, fi
                 if len(held) >= HELD and row[0] != last:
                     yield from out(held)
                     held = []
-                held.append(row)
+                if not held or held[-1][:4] != row[:4]:  # a repeated document brings its runs twice
+                    held.append(row)
                 last = row[0]
         if held:
             yield from out(held)
@@ -193,7 +194,7 @@ def marked_starts(marks: list[dict] | None) -> np.ndarray:
     out = [np.zeros(0, np.int64)]
     for m in marks or ():
         flags = None if m["bits"] is None else np.flatnonzero(np.frombuffer(m["bits"], np.uint8))
-        for i, at in enumerate(m["ats"]):
+        for at in m["ats"]:
             start, n = divmod(at, SLOT)
-            out.append(start + (np.arange(n) if flags is None or m["rest"] and i else flags))
+            out.append(start + (np.arange(n) if flags is None or m["rest"] and at != m["ats"][0] else flags))
     return np.concatenate(out)
