@@ -33,9 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import small_batches
+from .windows import chunks
 
 BLANK = "▁"
-REMEMBERED = 150_000
+#: Segmentations that a worker remembers by variant, characters from which a chunk is merged by
+#: itself, and chunks that are merged at once.
+REMEMBERED, LONG, AT_ONCE = 150_000, 40, 1 << 15
 #: Largest vocabulary that is broadcast.
 MOST_PIECES = 1 << 20
 _MASK = (1 << 64) - 1
@@ -63,7 +66,7 @@ class MergeCoder:
         self.plain, self.of_bytes, self.seed = plain, of_bytes, seed
         self.limit, self.variants = int(rate * (1 << 64)), variants if rate else 1
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.n_known = 0
+        self.n_known, self.tables = 0, None
         self.text: dict[int, bytes] = {i: p.replace(BLANK, " ").encode() for p, (_, i) in plain.items()}
         self.text |= {i: bytes([b]) for b, i in enumerate(of_bytes)}
 
@@ -106,29 +109,128 @@ class MergeCoder:
                 out.extend(self.of_bytes[b] for b in (BLANK if part == literal else part).encode())
         return out.tobytes()
 
+    def _tables(self) -> tuple:
+        """Symbols (pieces, and characters of pieces) and the pairs of symbols that join to a piece."""
+        names = list(self.plain)
+        symbol = {p: i for i, p in enumerate(names)}
+        for c in {c for p in names for c in p} - symbol.keys():
+            symbol[c] = len(symbol)
+        ids = np.full(len(symbol) + 1, -1, np.int32)  # the last is for characters that no piece has
+        ids[: len(names)] = [self.plain[p][1] for p in names]
+        order = np.unique([-self.plain[p][0] for p in names], return_inverse=True)[1].astype(np.int64)
+        of_char = np.full(0x110000, len(symbol), np.int32)
+        pairs = {}
+        for p in names:
+            if len(p) == 1:
+                continue
+            for k in range(1, len(p)):
+                if (x := symbol.get(p[:k])) is not None and (y := symbol.get(p[k:])) is not None:
+                    pairs[x << 32 | y] = symbol[p]
+        for c, i in symbol.items():
+            if len(c) == 1:
+                of_char[ord(c)] = i
+        keys = np.array(sorted(pairs), np.int64)
+        return ids, order, of_char, keys, np.array([pairs[k] for k in keys.tolist()], np.int32)
+
+    def merge_many(self, chunks: list[str], variants: list[int]) -> list[bytes]:
+        """Ids of many chunks at once: in each round every chunk takes the best of its agenda.
+
+        Whether a candidate is skipped depends on its place and piece alone, so it makes no
+        difference that it is skipped on entering the agenda, and the result is that of ``merge``.
+        """
+        if self.tables is None:
+            self.tables = self._tables()
+        ids, order, of_char, keys, joined = self.tables
+        sizes = np.array([len(c) for c in chunks], np.int64)
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        place = np.arange(n) - np.repeat(ends - sizes, sizes)
+        sym = np.append(of_char[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)], np.int32(len(ids) - 1))
+        right, left = np.arange(1, n + 2), np.arange(-1, n)  # n stands for no neighbour
+        right[ends - 1] = right[n] = left[ends - sizes] = left[n] = n
+        owner = np.repeat(np.arange(len(chunks)), sizes)
+        if self.limit:
+            keyed = np.array([xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + v) for c, v in zip(chunks, variants)], np.uint64)
+
+        def candidates(at: np.ndarray) -> np.ndarray:
+            """The piece to which the symbols at these places and their neighbours join, or -1."""
+            pair = sym[at].astype(np.int64) << 32 | sym[right[at]]
+            found = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+            hit = np.flatnonzero(keys[found] == pair) if len(keys) else np.zeros(0, np.int64)
+            out = np.full(len(at), -1, np.int32)
+            piece = joined[found[hit]]
+            if self.limit:
+                here = at[hit]
+                x = keyed[owner[here]] ^ (place[here].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[piece].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+                stays = x ^ x >> np.uint64(32) >= np.uint64(min(self.limit, _MASK))
+                hit, piece = hit[stays], piece[stays]
+            out[hit] = piece
+            return out
+
+        agenda = np.append(candidates(np.arange(n)), np.int32(-1))
+        alive = np.ones(n, bool)
+        while len(at := np.flatnonzero(agenda >= 0)):
+            first = np.flatnonzero(np.diff(owner[at], prepend=-1))
+            a = np.minimum.reduceat(order[agenda[at]] << 32 | at, first) & 0xFFFFFFFF
+            b = right[a]
+            sym[a] = agenda[a]
+            right[a] = right[b]
+            left[right[a]] = a
+            left[n] = n
+            alive[b], agenda[b] = False, -1
+            agenda[a] = candidates(a)
+            before = left[a]
+            before = before[before < n]
+            agenda[before] = candidates(before)
+        found = ids[sym[:n][alive]]
+        cuts = np.cumsum(np.bincount(owner[alive], minlength=len(chunks))).tolist()
+        odd = set(owner[alive][found < 0].tolist())
+        data = found.tobytes()
+        return [self.chunk_ids(chunks[i], variants[i], None) if i in odd else data[4 * x : 4 * y] for i, (x, y) in enumerate(zip([0, *cuts], cuts))]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts; blanks are BLANK inside, and one stands before each text."""
+        held, fresh = [], [{} for _ in range(self.variants)]
+        for text in texts:
+            if not text:
+                held.append(([], [], []))
+                continue
+            literal = None
+            if BLANK in text:  # it takes the place of a character that no piece has
+                literal = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text and c not in self.plain)
+                text = text.replace(BLANK, literal)
+            chunks = self.CHUNK.findall((" " + text).replace(" ", BLANK))
+            base = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed) | 1)
+            number = np.arange(1, len(chunks) + 1, dtype=np.uint64)
+            variants = ((base * number >> np.uint64(40) & np.uint64(0xFFFF)) % np.uint64(self.variants)).tolist()
+            known = self.known
+            ids = [known[v].get(c) for v, c in zip(variants, chunks)]
+            for i, x in enumerate(ids):
+                if x is None or literal:
+                    c, v = chunks[i], variants[i]
+                    if literal and literal in c:
+                        ids[i] = self.chunk_ids(c, v, literal)
+                    elif x is None and len(c) >= LONG:
+                        ids[i] = self.chunk_ids(c, v, None)
+                    elif x is None:
+                        fresh[v][c] = b""
+            held.append((chunks, variants, ids))
+        todo = [(c, v) for v, x in enumerate(fresh) for c in x]
+        for i in range(0, len(todo), AT_ONCE):
+            part = todo[i : i + AT_ONCE]
+            for (c, v), ids in zip(part, self.merge_many(*map(list, zip(*part)))):
+                fresh[v][c] = ids
+        if self.n_known + len(todo) > REMEMBERED * self.variants:
+            self.known, self.n_known = [{} for _ in range(self.variants)], 0
+        if len(todo) <= REMEMBERED * self.variants:
+            for old, new in zip(self.known, fresh):
+                old.update(new)
+            self.n_known += len(todo)
+        return [np.frombuffer(b"".join([fresh[v][c] if x is None else x for c, v, x in zip(*h)]), np.int32) for h in held]
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text; blanks are BLANK inside, and one stands before the text."""
-        if not text:
-            return np.zeros(0, np.int32)
-        literal = None
-        if BLANK in text:  # it takes the place of a character that no piece has
-            literal = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text and c not in self.plain)
-            text = text.replace(BLANK, literal)
-        chunks = self.CHUNK.findall((" " + text).replace(" ", BLANK))
-        base = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed) | 1
-        out = []
-        for i, chunk in enumerate(chunks, 1):
-            variant = (base * i >> 40 & 0xFFFF) % self.variants if self.variants > 1 else 0
-            ids = self.known[variant].get(chunk)
-            if ids is None or literal and literal in chunk:
-                ids = self.chunk_ids(chunk, variant, literal)
-                if not literal and len(chunk) < 40:
-                    if self.n_known > REMEMBERED * self.variants:
-                        self.known, self.n_known = [{} for _ in range(self.variants)], 0
-                    self.known[variant][chunk] = ids
-                    self.n_known += 1
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_many([text])[0]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.text.__getitem__, ids)).decode()[1:]
@@ -157,10 +259,10 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, model: str, rate: float
         coder = _coders[key]
         for batch in batches:
             ids, same = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                found = coder.encode(text or "")
-                ids.append(found)
-                same.append(coder.decode(found.tolist()) == (text or ""))
+            every = [text or "" for text in batch.column(batch.num_columns - 1).to_pylist()]
+            for a, b in chunks([len(text) for text in every]):
+                ids += coder.encode_many(every[a:b])
+                same += [coder.decode(x.tolist()) == text for x, text in zip(ids[a:b], every[a:b])]
             sizes = np.array([len(x) for x in ids], np.int32)
             lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(sizes), pa.array(same)], [*batch.schema.names[:-1], "ids", "n_tokens", "lossless"])

@@ -55,6 +55,15 @@ def test_pieces_without_dropout_equal_the_library():
         assert sp.encode(t) == coder.encode(t).tolist()
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.3, 1.0])
+def test_chunks_merged_together_equal_chunks_merged_alone(rate):
+    rng = random.Random(3)
+    coder = MergeCoder(*read_pieces(MODEL)[:2], rate, 11)
+    chunks = ["▁", "\n", "▁▁▁ab", "aaaaaaaa", "漢字🎉", *("▁" + "".join(rng.choice("abeinrst'é.") for _ in range(rng.randrange(1, 30))) for _ in range(500))]
+    variants = [i % 4 if rate else 0 for i in range(len(chunks))]
+    assert coder.merge_many(chunks, variants) == [coder.chunk_ids(c, v, None) for c, v in zip(chunks, variants)]
+
+
 def test_dropout_varies_and_repeats():
     pieces = read_pieces(MODEL)[:2]
     a, b, c = MergeCoder(*pieces, 0.3, 1), MergeCoder(*pieces, 0.3, 1), MergeCoder(*pieces, 0.3, 2)
