@@ -1,7 +1,7 @@
 """Corpus pipeline: five text operators one after the other over ``documents``.
 
 toxicity (documents predicted toxic go), n-gram Jaccard join (the document with the least id of
-each group of near duplicates stays), benchmark decontamination (documents that hold a benchmark
+each group of near duplicates stays; sets of five-word shingles, linked from a similarity of 0.8), benchmark decontamination (documents that hold a benchmark
 window go), secret scans (spans that look live are replaced), SentencePiece encoding (adds ids).
 
 Rows with a null or repeated doc_id: such rows share their group's decision in the second stage,
@@ -35,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one whose id names it."""
-    stays = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    stays = jaccard_components(docs, n=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
     once = docs.select(COLUMNS).dropDuplicates(["doc_id"])
     return once.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import __spark_entry__ as entry
 from fluxalign.llm import queries
@@ -34,3 +36,21 @@ def test_all_ten_are_registered(spark):
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
     for name in ("op1_substring_dedup", "op6_suffix_dedup", "op7_secret_scan", "op9_decontamination", "op10_quality_rules"):
         assert entry.queries()[name](spark, TINY).count() == spark.read.parquet(f"{TINY}/documents.parquet").count()
+
+
+def test_near_duplicates_against_brute_force_at_five_words(spark):
+    """One inner word of 50 changed: 41 of 51 shingles of five words are shared, 43 of 51 of four."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(0, 60, 2):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(50)]
+        rows.append((i, " ".join(words)))
+        for k in rng.sample(range(5, 45), 1 + i % 3):
+            words[k] = f"e{k}"
+        rows.append((i + 1, " ".join(words)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    linked = {b for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert 1 in linked and 3 not in linked
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, TINY)
+    assert {r.doc_id for r in kept.collect()} == set(sets) - linked
