@@ -2,13 +2,14 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from fluxalign.llm import decontamination, secrets_scan, toxicity
+from fluxalign.llm import decontamination, quality_rules, secrets_scan, toxicity
 from fluxalign.llm.chat_format import chat_digest, chat_windows, escape, unescape
 from fluxalign.llm.components import components
 from fluxalign.llm.jaccard_join import jaccard_components
@@ -127,6 +128,26 @@ def test_quality_rejects_junk_only(spark):
     assert not got[99].base_failed and not got[99].kept and all(got[i].char_distance < 0.3 for i in range(20))
 
 
+def test_quality_judges_texts_without_common_words(spark):
+    """Every text of least_words is compared on common words, the last bin being all other words."""
+    rng = random.Random(12)
+    common = quality_rules.COMMON["en"]
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(7))
+    text = lambda share: " ".join(rng.choices(common, [1 / (i + 1) for i in range(15)])[0] if rng.random() < share else word() for _ in range(150))
+    rows = [(i, text(0.2), "en") for i in range(40)] + [(90, text(0), "en"), (91, text(0.01), "en"), (92, text(0), None), (93, "short text", "en")]
+    shares = {}
+    for i, t, lang in rows:
+        if lang and len(w := t.split()) >= 50:
+            shares[i] = [w.count(c) / len(w) for c in common] + [sum(x not in common for x in w) / len(w)]
+    ref = [sum(x) / len(shares) for x in zip(*shares.values())]
+    term = lambda a, m: a * math.log2(a / m) if a else 0.0
+    far = {i: math.sqrt(max(0.0, sum(term(a, (a + b) / 2) + term(b, (a + b) / 2) for a, b in zip(p, ref)) / 2)) for i, p in shares.items()}
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, DOC + ", lang string")).collect()}
+    assert all(abs(got[i].word_distance - d) < 1e-5 for i, d in far.items())
+    assert not got[90].base_failed and not got[90].kept and not got[91].kept and all(got[i].kept for i in range(40))
+    assert got[92].word_distance is None and got[92].kept and got[93].word_distance is None
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (200, 100), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
