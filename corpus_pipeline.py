@@ -4,8 +4,8 @@ toxicity (documents predicted toxic go), n-gram Jaccard join (the document with
 each group of near duplicates stays; sets of five-word shingles, linked from a similarity of 0.8), benchmark decontamination (documents that hold a benchmark
 window go), secret scans (spans that look live are replaced), SentencePiece encoding (adds ids).
 
-Rows with a null or repeated doc_id: such rows share their group's decision in the second stage,
-where one row of each doc_id stays.
+Rows with a null or repeated doc_id: those with the same text are one document in the second
+stage, which keeps one row of it; those with different texts are judged each for itself.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxalign.llm.common import durable, table
+from fluxalign.llm.common import NULL_ID, durable, table
 from fluxalign.llm.decontamination import decontaminate
-from fluxalign.llm.jaccard_join import jaccard_components
+from fluxalign.llm.jaccard_join import components_of_texts, text_hash
 from fluxalign.llm.piece_encoding import encode_pieces
 from fluxalign.llm.queries import TOKENIZERS
 from fluxalign.llm.secrets_scan import redact
@@ -34,10 +34,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one whose id names it."""
-    stays = jaccard_components(docs, n=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    once = docs.select(COLUMNS).dropDuplicates(["doc_id"])
-    return once.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One document of each component stays: the least by id and hash of the text."""
+    stays = components_of_texts(docs, n=5, percent=80).where("id = least.id and th = least.th").select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+    keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), text_hash(F.col("text").cast("string")).alias("_th"))
+    return keyed.join(stays, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

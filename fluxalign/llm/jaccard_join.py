@@ -1,7 +1,7 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
-Documents with equal sets of shingles collapse into classes first; one document of each class
-goes on. The product M x M' is taken row by row over prefixes: shingles are ordered rare first,
+Documents with equal sets of shingles collapse into classes first; one text of each class
+goes on, under a number (``pk`` below) that is taken from the hash of the set. The product M x M' is taken row by row over prefixes: shingles are ordered rare first,
 by a document-frequency sketch of fixed size, and of n shingles only the first
 n - ceil(t n) + 1 can be without a partner's prefix if the Jaccard similarity reaches t. A row
 accumulates overlap counts over the posting lists of its shingles, and a pair is discarded when
@@ -15,8 +15,9 @@ in different components after that enter the product.
 Nothing large reaches the driver but the sketch, which has SKETCH counters at every scale.
 
 Defined cases: null text, and text without words, has the empty set and links with nothing;
-rows with the same doc_id and text are one document; a null doc_id is a document before all
-others; extra columns are ignored.
+rows with the same doc_id and text are one document, rows with the same doc_id (or none) and
+different texts are different ones; a null doc_id is before all others; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, durable, partitions, record, small_batches, texts
@@ -51,17 +52,22 @@ def shingles(raw: bytes, n: int) -> np.ndarray:
     return np.unique(mix(rolling(sym, n)))
 
 
+def number(digest: bytes) -> int:
+    """The class of equal sets: 63 bits of the hash of the set."""
+    return int.from_bytes(digest[:8], "big") >> 1
+
+
 def needed(size: np.ndarray | int, percent: int):
     """Least overlap of a set of this size with any set at the threshold."""
     return -(-percent * size // 100)
 
 
-SIGNED = pa.schema([("pk", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+SIGNED = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("pk", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 PREFIX = pa.schema([("pk", pa.int64()), ("n", pa.int32()), ("last", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
 
 def _signatures(base: DataFrame, n: int) -> DataFrame:
-    """A row (pk, n, sig) for each document, and rows (part, counts) of each task's sketch."""
+    """A row (id, th, n, pk) for each document, and rows (part, counts) of each task's sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
@@ -70,16 +76,16 @@ def _signatures(base: DataFrame, n: int) -> DataFrame:
             for raw in texts(batch.column("text")):
                 s = shingles(raw, n)
                 seen.append(s)
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes())))
+                rows.append((len(s), number(xxhash.xxh3_128_digest(s.tobytes()))))
             if rows:
                 sketch += np.bincount((np.concatenate(seen) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
                 none = [None] * len(rows)
-                yield record(SIGNED, batch.column("pk"), *map(list, zip(*rows)), none, none)
+                yield record(SIGNED, batch.column("id"), batch.column("th"), *map(list, zip(*rows)), none, none)
         if sketch.any():
             for p, counts in enumerate(np.split(np.minimum(sketch, 65535).astype(np.uint16), PARTS)):
-                yield record(SIGNED, [None], [None], [None], [p], [counts.tobytes()])
+                yield record(SIGNED, [None], [None], [None], [None], [p], [counts.tobytes()])
 
-    return base.select("text", "pk").mapInArrow(sign, "pk long, n long, sig binary, part int, counts binary")
+    return base.select("text", "id", "th").mapInArrow(sign, "id long, th long, n long, pk long, part int, counts binary")
 
 
 def _sketch(signed: DataFrame) -> np.ndarray:
@@ -107,14 +113,14 @@ def _prefixes(base: DataFrame, rank, n: int, percent: int) -> DataFrame:
         rare = rank.value
         for batch in batches:
             ids, sizes, last, grams = [], [], [], []
-            for pk, raw in zip(batch.column("pk").to_pylist(), texts(batch.column("text"))):
+            for raw in texts(batch.column("text")):
                 s = shingles(raw, n)
                 if not len(s):
                     continue
                 order = rare[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
                 p = len(s) - needed(len(s), percent) + 1
                 first = np.argpartition(order, p - 1)[:p] if p < len(s) else np.arange(len(s))
-                ids.append(pk)
+                ids.append(number(xxhash.xxh3_128_digest(s.tobytes())))
                 sizes.append(len(s))
                 last.append(int(order[first].max()))
                 grams.append(s[first].view(np.int64))
@@ -122,7 +128,7 @@ def _prefixes(base: DataFrame, rank, n: int, percent: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(g) for g in grams])].astype(np.int32), pa.array(np.concatenate(grams)))
                 yield record(PREFIX, ids, sizes, last, lists)
 
-    return base.mapInArrow(cut, "pk long, n int, last long, grams array<long>")
+    return base.select("text").mapInArrow(cut, "pk long, n int, last long, grams array<long>")
 
 
 def _shared_entries(prefix: DataFrame) -> DataFrame:
@@ -134,10 +140,10 @@ def _shared_entries(prefix: DataFrame) -> DataFrame:
     return flat.withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1").drop("c")
 
 
-def _exact(base: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _exact(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets reach the threshold.
 
-    Only the texts of documents in a pair are shuffled: their ids filter the scan as a broadcast
+    Only one text of each class in a pair is shuffled: their hashes filter the scan as a broadcast
     while they are MOST_BROADCAST at most, else by a join.
     """
 
@@ -146,12 +152,13 @@ def _exact(base: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
             sets = [shingles(raw, n).view(np.int64) for raw in texts(batch.column("text"))]
             if sets:
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column("pk"), lists], ["pk", "grams"])
+                ids = [number(xxhash.xxh3_128_digest(s.tobytes())) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["pk", "grams"])
 
     pairs = durable(pairs)
-    asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("pk")).distinct())
+    asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("pk")).distinct().join(classes, "pk").select("th"))
     asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
-    sets = base.join(asked, "pk", "left_semi").select("text", "pk").mapInArrow(whole, "pk long, grams array<long>").dropDuplicates(["pk"])
+    sets = base.join(asked, "th", "left_semi").select("text").mapInArrow(whole, "pk long, grams array<long>").dropDuplicates(["pk"])
     left, right = (sets.select(F.col("pk").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
     shared = F.size(F.array_intersect("ga", "gb"))
     linked = shared * 100 >= percent * (F.size("ga") + F.size("gb") - shared)
@@ -232,25 +239,39 @@ def _product(entries: DataFrame, percent: int) -> DataFrame:
     return by_row.mapInArrow(accumulate, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: components of 100 |A and B| >= percent |A or B|.
-
-    component_id is the least doc_id that links reach, the document itself included.
-    """
+def components_of_texts(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, th, n, least: each document by id (null as NULL_ID) and hash of the text, its number of
+    shingles, and the least (id, th) of its component."""
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("pk"))
+    text = F.col(text_col).cast("string")
+    base = docs.select(text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text_hash(text).alias("th"))
     signed = durable(_signatures(base, n))
     rank = docs.sparkSession.sparkContext.broadcast(_sketch(signed))
-    sets = signed.where("part is null").select("pk", "n", "sig")
-    classes = sets.where("n > 0").groupBy("sig").agg(F.min("pk").alias("rep"))
-    prefix = _prefixes(base, rank, n, percent).join(classes.select(F.col("rep").alias("pk")), "pk", "left_semi").dropDuplicates(["pk"])
+    sets = signed.where("part is null").select("id", "th", "n", "pk").distinct()
+    classes = durable(sets.where("n > 0").groupBy("pk").agg(F.min(F.struct("id", "th")).alias("least"), F.min("th").alias("th")))
+    prefix = _prefixes(base, rank, n, percent).dropDuplicates(["pk"])
     entries = durable(_shared_entries(prefix))
-    first = durable(_exact(base, _leaders(entries), n, percent))
+    first = durable(_exact(base, classes, _leaders(entries), n, percent))
     known = components(first).withColumnRenamed("node", "pk")
     grouped = entries.join(known, "pk", "left").withColumn("comp", F.coalesce("component", "pk")).drop("component")
-    second = durable(_exact(base, _product(grouped, percent).distinct(), n, percent))
-    found = components(first.unionByName(second))
-    labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(labelled, "sig", "left").select("pk", "n", F.coalesce("component", "pk").alias("component")).distinct()
+    second = durable(_exact(base, classes, _product(grouped, percent).distinct(), n, percent))
+    found = components(first.unionByName(second)).withColumnRenamed("node", "pk")
+    # Few classes are linked; all others are their own component.
+    linked = found.join(classes, "pk").select("pk", "component", "least")
+    reached = linked.join(linked.groupBy("component").agg(F.min("least").alias("reached")), "component").select("pk", "reached")
+    labelled = classes.join(reached, "pk", "left").select("pk", F.coalesce("reached", "least").alias("least"))
+    return sets.join(labelled, "pk", "left").select("id", "th", "n", F.coalesce("least", F.struct("id", "th")).alias("least"))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: components of 100 |A and B| >= percent |A or B|.
+
+    component_id is the least doc_id that links reach, the document itself included.
+    """
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(back("pk").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"))
+    found = components_of_texts(docs, n, percent, id_col, text_col)
+    return found.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("least.id").alias("component_id"))

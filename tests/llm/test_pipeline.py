@@ -54,3 +54,17 @@ def test_near_duplicates_against_brute_force_at_five_words(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.drop_near_duplicates(spark, df, TINY)
     assert {r.doc_id for r in kept.collect()} == set(sets) - linked
+
+
+def test_rows_without_an_id_or_with_the_same_go_only_as_copies(spark):
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))
+    own, two, near = [text() for _ in range(6)], text(), text().split()
+    copy = [*near[:20], "changed", *near[21:]]
+    rows = [(None, t) for t in own] + [(7, t) for t in (text(), text())]
+    rows += [(None, two), (None, two), (9, two), (None, " ".join(near)), (None, " ".join(copy)), (8, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, TINY).collect()]
+    sure = {(i, t) for i, t in rows[:8]} | {(None, two), (8, None), (None, None)}
+    assert sure <= set(kept) and len(kept) == len(set(kept)) == len(sure) + 1
+    assert {t for _, t in kept} & {" ".join(near), " ".join(copy)}
