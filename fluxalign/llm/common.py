@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Place of a null doc_id: before every other document.
@@ -25,16 +25,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def by_document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, pk) dealt by pk, the id with null as NULL_ID.
+    """(text, pk, th) dealt by document: pk is the id with null as NULL_ID, th a hash of the text.
 
-    Every later join with facts about documents is on pk, so the texts move once: Spark reuses
-    this exchange wherever the frame is used again within a plan. That needs the same columns
-    each time, so there is no other column, and doc_id is read back from pk.
+    Rows with the same id, or none, and different texts are different documents. Every later join
+    with facts about documents is on (pk, th), so the texts move once: Spark reuses this exchange
+    wherever the frame is used again within a plan. That needs the same columns each time, so
+    there is no other column, and doc_id is read back from pk.
     """
-    return docs.select(
-        F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("pk"),
-    ).repartition(partitions(docs), "pk")
+    text = F.col(text_col).cast("string")
+    return docs.select(text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("pk"), text_hash(text).alias("th")).repartition(partitions(docs), "pk", "th")
 
 
 def doc_ids(pk: pa.Array) -> pa.Array:
@@ -62,11 +66,26 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The frame written to the session's checkpoint folder, cut from its lineage."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: the one set, or the one that spark.checkpoint.dir names.
+
+    A local session without either gets a temporary folder; on a cluster that is an error, since
+    machines don't see each other's folders.
+    """
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp()
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+
+def durable(df: DataFrame) -> DataFrame:
+    """The frame written to the shared checkpoint folder, cut from its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

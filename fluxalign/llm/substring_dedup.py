@@ -7,10 +7,13 @@ its windows, and its automaton stands in the task to which those runs are sent.
 streamed through its shard's automaton; where the matching statistic reaches ``min_words``, the
 first place of the automaton's state tells whether the window also starts earlier.
 
-Defined cases: null or empty text has no words; a repeated doc_id is one place (neither of two
-rows of the same text removes the other, and what is removed at a place is removed in all of
-them); a null doc_id comes first; texts with fewer words than a window are kept; extra columns
-are ignored (the result has its own columns only).
+Runs are told apart by two independent 64-bit hashes (of the minimizer and of the content).
+
+Defined cases: null or empty text has no words; rows with the same doc_id and text are one place
+(neither removes the other, and what is removed in one is removed in all); rows with the same
+doc_id, or none, and different texts are different documents, ordered by a hash of the text; a
+null doc_id comes before all others; texts with fewer words than a window are kept; extra
+columns are ignored (the result has its own columns only).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import by_document, doc_ids, record, small_batches, texts
-from .repeats import Spec, marked_starts, marks
+from .repeats import DOCUMENT, Spec, marked_starts, marks
 from .windows import covered
 
 
@@ -99,16 +102,16 @@ def _cutter(raw: bytes):
 
 
 def automaton_resolver(w: int):
-    """Rows (key, seg, place, at, n, body) by key and place -> flags of each row's windows."""
+    """SEGMENT rows by key and place -> flags of each row's windows."""
 
-    def settle(rows: list[tuple]) -> list[bytes | None]:
-        out: list[bytes | None] = []
+    def settle(rows: list[tuple]) -> list[bytes]:
+        out: list[bytes] = []
         begin = 0
         while begin < len(rows):
             end = begin
             while end < len(rows) and rows[end][0] == rows[begin][0]:
                 end += 1
-            shard = [r[5].split() for r in rows[begin:end]]
+            shard = [r[6].split() for r in rows[begin:end]]
             if len(shard) == 1:
                 out.append(bytes(max(0, len(shard[0]) - w + 1)))  # a run has no window twice
             else:
@@ -153,6 +156,6 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id"
                 yield record(schema, doc_ids(batch.column("pk")), *map(list, zip(*rows)))
 
     ddl = "doc_id long, n_words long, n_removed long, " + ("kept_sha256" if digest else "kept") + " string"
-    return base.join(found, "pk", "left").select("text", "pk", "marks").mapInArrow(remove, ddl)
+    return base.join(found, DOCUMENT, "left").select("text", "pk", "marks").mapInArrow(remove, ddl)
 
 

@@ -4,11 +4,13 @@ The suffixes (window starts) that can be equal stand under one minimizer key (wi
 each task they are ordered through ``min_bytes`` bytes only, most significant digit first,
 eight bytes a pass. A group that is alone is settled and dropped; a group that a pass doesn't
 divide needs no sorting. Groups that are left after the last pass are exactly the windows that
-occur again, byte for byte; the numbers of places of their runs tell how often.
+occur again; the numbers of places of their runs tell how often. Runs that are equal as a whole
+(by two independent 64-bit hashes, of the minimizer and of the content) bring their bytes once;
+different runs are compared byte for byte.
 
 Defined cases: null or empty text has no bytes; two rows with the same doc_id and text repeat
-each other; a null doc_id is a document; texts shorter than a window are kept; extra columns
-are ignored.
+each other; rows with the same doc_id, or none, and different texts are different documents;
+texts shorter than a window are kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_document, doc_ids, record, small_batches, texts
-from .repeats import Spec, marked_starts, marks
+from .repeats import DOCUMENT, Spec, marked_starts, marks
 from .windows import covered
 
 #: Hash value of each byte, from a fixed seed.
@@ -74,7 +76,7 @@ def radix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, weight
 
 def radix_resolver(w: int):
     def settle(rows: list[tuple]) -> list[bytes]:
-        body = [r[5] for r in rows]
+        body = [r[6] for r in rows]
         data = np.frombuffer(b"".join(body), np.uint8)
         size = np.array([len(b) for b in body])
         n = np.maximum(size - w + 1, 0)
@@ -83,7 +85,7 @@ def radix_resolver(w: int):
         starts = (np.cumsum(size) - size)[number] + np.arange(len(number)) - begin[number]
         key = np.array([r[0] for r in rows])
         group = np.cumsum(np.r_[0, key[1:] != key[:-1]])[number]
-        flags = radix_groups(data, starts, group, np.array([r[4] for r in rows])[number], w).astype(np.uint8).tobytes()
+        flags = radix_groups(data, starts, group, np.array([r[5] for r in rows])[number], w).astype(np.uint8).tobytes()
         return [flags[a : a + m] for a, m in zip(begin.tolist(), n.tolist())]
 
     def bounded(rows: list[tuple]) -> list[bytes]:
@@ -94,7 +96,7 @@ def radix_resolver(w: int):
                 out += settle(held)
                 held, total = [], 0
             held.append(r)
-            total += len(r[5])
+            total += len(r[6])
         return out + settle(held) if held else out
 
     return bounded
@@ -130,4 +132,4 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 400, id_col: str = "doc_id",
                 yield record(schema, doc_ids(batch.column("pk")), *map(list, zip(*rows)))
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
-    return base.join(found, "pk", "left").select("text", "pk", "marks").mapInArrow(remove, ddl)
+    return base.join(found, DOCUMENT, "left").select("text", "pk", "marks").mapInArrow(remove, ddl)
