@@ -3,8 +3,9 @@
 Documents with equal sets of shingles collapse into classes first; one text of each class
 goes on, under a number (``pk`` below) that is taken from the hash of the set. The product M x M' is taken row by row over prefixes: shingles are ordered rare first,
 by a document-frequency sketch of fixed size, and of n shingles only the first
-n - ceil(t n) + 1 can be without a partner's prefix if the Jaccard similarity reaches t. A row
-accumulates overlap counts over the posting lists of its shingles, and a pair is discarded when
+n - ceil(t n) + 1 can be without a partner's prefix if the Jaccard similarity reaches t. Posting
+lists are cut into blocks, and every pair of blocks is a cell of the product, dealt for itself.
+Overlap counts of a row and a column accumulate over the cells, and a pair is discarded when
 the count plus all that may still follow stays under the overlap that the two sizes demand.
 What is left is compared on whole sets, so links are exact; the order only decides the speed.
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, durable, partitions, record, small_batches, texts
+from .common import NULL_ID, durable, partitions, record, small_batches, text_hash, texts
 from .components import components
 from .windows import mix, rolling
 
@@ -144,7 +145,8 @@ def _exact(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percen
     """Those of the pairs (a, b) whose whole sets reach the threshold.
 
     Only one text of each class in a pair is shuffled: their hashes filter the scan as a broadcast
-    while they are MOST_BROADCAST at most, else by a join.
+    while they are MOST_BROADCAST at most, else by a join. Copies go before the sets are made, so
+    that both sides of the joins below are plain exchanges, of which Spark splits a leader's.
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +160,8 @@ def _exact(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percen
     pairs = durable(pairs)
     asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("pk")).distinct().join(classes, "pk").select("th"))
     asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
-    sets = base.join(asked, "th", "left_semi").select("text").mapInArrow(whole, "pk long, grams array<long>").dropDuplicates(["pk"])
+    one = base.join(asked, "th", "left_semi").select("text", "th").dropDuplicates(["th"])
+    sets = one.select("text").mapInArrow(whole, "pk long, grams array<long>")
     left, right = (sets.select(F.col("pk").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
     shared = F.size(F.array_intersect("ga", "gb"))
     linked = shared * 100 >= percent * (F.size("ga") + F.size("gb") - shared)
@@ -167,76 +170,75 @@ def _exact(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percen
 
 def _leaders(entries: DataFrame) -> DataFrame:
     """For each document the leader that it shares most prefix shingles with, if they are many."""
-    least = entries.groupBy("gram").agg(F.min("pk").alias("leader"), F.count("*").alias("c")).where("c > 1").select("gram", "leader")
+    least = durable(entries.groupBy("gram").agg(F.min("pk").alias("leader"), F.count("*").alias("c")).where("c > 1").select("gram", "leader"))
     met = entries.join(least, "gram").where("pk != leader").groupBy("pk", "leader").agg(F.count("*").alias("c"), F.first("p").alias("p"))
     return met.where("4 * c >= p").groupBy("pk").agg(F.max(F.struct("c", F.negative("leader").alias("minus"))).alias("best")).select(
         F.col("pk").alias("a"), F.negative("best.minus").alias("b"))
 
 
-ROW = pa.schema([("pk", pa.int64()), ("n", pa.int32()), ("p", pa.int32()), ("others", pa.binary())])
-OTHER = np.dtype([("pk", np.int64), ("n", np.int32)])
-#: Entries of posting lists, and documents of one list, that a block of the product takes.
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("p", pa.int32())])
+#: Entries of a posting list in one block: a cell of the product has two blocks at most.
 BLOCK = 2048
 
 
-def _product(entries: DataFrame, percent: int) -> DataFrame:
+def _cells(live: DataFrame, block: int) -> DataFrame:
+    """Posting lists (gram, c entries each) cut into blocks, an entry once for every pair (i, j) of
+    blocks that holds its own one."""
+    n = F.ceil(F.col("c") / block)
+    cut = live.withColumn("own", F.pmod(F.xxhash64("pk"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    cell = cut.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pk", "n", "p", "last", "comp")
+    return cell.repartition(partitions(live), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+
+
+def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of different components whose accumulated overlap can reach the threshold.
 
     ``entries`` has a row for each prefix shingle: gram, pk, n, p (prefix length), last, comp.
     """
-    mixed = entries.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("gram")
-    live = entries.join(mixed, "gram", "left_semi").repartition(partitions(entries), "gram").sortWithinPartitions("gram")
+    mixed = durable(entries.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("gram", "c"))
+    cells = _cells(entries.join(mixed, "gram"), block)
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row's part of the product over one posting list."""
-        held: list[pa.RecordBatch] = []
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs of each cell; a cell may come in several batches."""
+        held: list[np.ndarray] = []
         for batch in batches:
-            gram = batch.column("gram").to_numpy()
-            edge = int(np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])[-1]) if len(gram) else 0
-            if edge or held and len(gram) and held[-1].column("gram")[-1].as_py() != gram[0]:
-                held.append(batch.slice(0, edge))
-                yield from rows(held)
-                held = []
-            held.append(batch.slice(edge))
-        yield from rows(held)
-
-    def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in held if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        gram, pk, n, p, last, comp = (table.column(c).to_numpy() for c in ("gram", "pk", "n", "p", "last", "comp"))
-        begin = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        out = []
-        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(gram)]):
-            other = np.empty(b - a, OTHER)
-            other["pk"], other["n"] = pk[a:b], n[a:b]
-            size, end, group, ident = n[a:b].astype(np.int64), last[a:b], comp[a:b], pk[a:b]
-            for i in range(b - a):
-                near = (group != group[i]) & ((end > end[i]) | (end == end[i]) & (ident > ident[i])) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-                if near.any():
-                    out.append((int(ident[i]), int(size[i]), int(p[a + i]), other[near].tobytes()))
-            if len(out) >= BLOCK:
-                yield record(ROW, *map(list, zip(*out)))
-                out = []
+            x = np.array([batch.column(c).to_numpy() for c in ("gram", "i", "j", "own", "pk", "n", "p", "last", "comp")])
+            if held:
+                x = np.concatenate([*held, x], axis=1)
+            edges = np.flatnonzero((x[:3, 1:] != x[:3, :-1]).any(axis=0)) + 1
+            if len(edges):
+                yield from pairs(x[:, : edges[-1]], edges[:-1].tolist())
+                held = [x[:, edges[-1] :]]
+            else:
+                held = [x] if x.shape[1] else held
+        if held:
+            yield from pairs(held[0], [])
+
+    def pairs(x: np.ndarray, edges: list[int]) -> Iterator[pa.RecordBatch]:
+        out, total = [], 0
+        for a, b in zip([0, *edges], [*edges, x.shape[1]]):
+            _, i, j, own, pk, size, p, end, group = x[:, a:b]
+            across = i[0] != j[0] if b > a else False
+            for k in range(b - a):
+                near = (group != group[k]) & ((end > end[k]) | (end == end[k]) & (pk > pk[k])) & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
+                if across:
+                    near &= own != own[k]
+                found = np.flatnonzero(near)
+                if len(found):
+                    out.append((k + a, found + a))
+                    total += len(found)
+                if total > 1 << 16:
+                    yield rows(x, out)
+                    out, total = [], 0
         if out:
-            yield record(ROW, *map(list, zip(*out)))
+            yield rows(x, out)
 
-    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Overlap counts of one row of the product, and the size-derived bound."""
-        for batch in batches:
-            a, b = [], []
-            for pk, n, p, parts in zip(*(batch.column(c).to_pylist() for c in ("pk", "n", "p", "parts"))):
-                other, count = np.unique(np.frombuffer(b"".join(parts), OTHER), return_counts=True)
-                total = n + other["n"].astype(np.int64)
-                keep = (count + n - p) * (100 + percent) >= percent * total
-                b += other["pk"][keep].tolist()
-                a += [pk] * int(keep.sum())
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def rows(x: np.ndarray, out: list) -> pa.RecordBatch:
+        left, right = np.repeat([k for k, _ in out], [len(f) for _, f in out]), np.concatenate([f for _, f in out])
+        return record(PAIR, x[4, left], x[4, right], x[5, left].astype(np.int32), x[5, right].astype(np.int32), x[6, left].astype(np.int32))
 
-    by_row = live.mapInArrow(lists, "pk long, n int, p int, others binary").groupBy("pk", "n", "p").agg(F.collect_list("others").alias("parts"))
-    return by_row.mapInArrow(accumulate, "a long, b long")
+    met = cells.mapInArrow(multiply, "a long, b long, na int, nb int, p int").groupBy("a", "b", "na", "nb", "p").agg(F.count("*").alias("shared"))
+    return met.where(f"(shared + na - p) * {100 + percent} >= {percent} * (na + nb)").select("a", "b")
 
 
 def components_of_texts(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,7 +256,7 @@ def components_of_texts(docs: DataFrame, n: int, percent: int, id_col: str = "do
     first = durable(_exact(base, classes, _leaders(entries), n, percent))
     known = components(first).withColumnRenamed("node", "pk")
     grouped = entries.join(known, "pk", "left").withColumn("comp", F.coalesce("component", "pk")).drop("component")
-    second = durable(_exact(base, classes, _product(grouped, percent).distinct(), n, percent))
+    second = durable(_exact(base, classes, _product(grouped, percent), n, percent))
     found = components(first.unionByName(second)).withColumnRenamed("node", "pk")
     # Few classes are linked; all others are their own component.
     linked = found.join(classes, "pk").select("pk", "component", "least")
@@ -263,10 +265,6 @@ def components_of_texts(docs: DataFrame, n: int, percent: int, id_col: str = "do
     return sets.join(labelled, "pk", "left").select("id", "th", "n", F.coalesce("least", F.struct("id", "th")).alias("least"))
 
 
-def text_hash(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: components of 100 |A and B| >= percent |A or B|.
 
