@@ -3,12 +3,16 @@
 A scan of each text gives candidates: assignments to credential names, access keys, long hex
 strings (the base kinds) and other long tokens that mix cases and digits. Hashes of the
 candidate values are aggregated over the corpus: in how many repositories, and of how many
-owners, does a value occur? A value of many owners is a widely copied example; one of few
-owners looks live. Candidates beyond the base kinds become spans only when they look live.
+owners, does a value occur? A value is a widely copied example if it has more than
+``most_owners`` owners, or several and more than ``most_repositories`` repositories; a value of
+one owner looks live in however many of the owner's repositories it stands. Candidates beyond
+the base kinds become spans only when they look live.
 
-Candidates are few rows without text. They are reduced to distinct (value, owner, repository)
-with map-side combine before values meet, and the verdict joins back on the value's hash, where
-Spark may split a value that very many documents share. The texts are never shuffled.
+The texts are scanned once; what is found (rows without text) is kept in the shared folder.
+Candidates are reduced to distinct (value, owner, repository) with map-side combine before values
+meet, and the verdict joins back on the value's hash, where Spark may split a value that very
+many documents share. ``redact`` reads the texts again and joins them with the documents that
+hold a live value, which are broadcast while they are MOST_BROADCAST at most.
 
 Defined cases: null text is empty; a null owner or repository counts as one of its own; rows
 with the same doc_id and text give one row in ``scan`` and stay apart in ``redact``; extra
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, small_batches
+from .common import NULL_ID, durable, small_batches, text_hash
 
 #: Fixed values of the scan: patterns of the base kinds, in the order in which ties are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -36,6 +40,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Beyond the base: long tokens that mix upper case, lower case and digits.
 MIXED = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+#: Documents with live values that are broadcast at most; beyond that, texts are shuffled.
+MOST_BROADCAST = 50_000
 KINDS = ("assign", "access", "hex", "mixed")
 
 
@@ -86,7 +92,7 @@ def _scanned(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
                 old = [n for n in batch.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in old), *new], [*old, "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
-    narrow = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("pk"), F.xxhash64("text").alias("th"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), F.col("text").cast("string").alias("text"))
+    narrow = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("pk"), text_hash(F.col("text").cast("string")).alias("th"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), F.col("text").cast("string").alias("text"))
     kinds = "owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<s:int,k:int,e:int,h:long>>"
     return narrow.mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pk long, th long, {kinds}")
 
@@ -98,19 +104,19 @@ def ownership(candidate_rows: DataFrame) -> DataFrame:
     return by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
 
 
-def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, most_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, most_owners: int = 2, most_repositories: int = 4) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live, pk, th.
 
     ``owner`` is the column source and a repository is an owner's part in one language unless
-    given. A value of more than ``most_owners`` owners is an example. ``live`` lists the spans
-    that look live.
+    given. ``live`` lists the spans that look live.
     """
     small_batches(docs.sparkSession)
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
-    rows = _scanned(docs, owner, repository)
+    rows = durable(_scanned(docs, owner, repository))
     flat = rows.select("pk", "th", "owner", "repository", F.explode("found").alias("c")).select("pk", "th", "owner", "repository", "c.*")
-    verdict = flat.join(ownership(flat), "h").select("pk", "th", F.struct("s", "k", "e", (F.col("owners") <= most_owners).alias("live")).alias("v"))
+    example = (F.col("owners") > most_owners) | (F.col("owners") > 1) & (F.col("repositories") > most_repositories)
+    verdict = flat.join(ownership(flat), "h").select("pk", "th", F.struct("s", "k", "e", (~example).alias("live")).alias("v"))
     by_doc = verdict.groupBy("pk", "th").agg(F.array_sort(F.collect_set("v")).alias("v"))
     shown = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1), x["s"], x["e"])
     v = F.coalesce("v", F.expr("cast(array() as array<struct<s:int,k:int,e:int,live:boolean>>)"))
@@ -124,9 +130,10 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     )
 
 
-def redact(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, most_owners: int = 2, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, most_owners: int = 2, most_repositories: int = 4, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span that looks live replaced by ``mark``; all rows stay."""
-    live = scan(docs, owner, repository, most_owners).where("n_live > 0").select("pk", "th", "live")
+    live = durable(scan(docs, owner, repository, most_owners, most_repositories).where("n_live > 0").select("pk", "th", "live"))
+    live = F.broadcast(live) if live.count() <= MOST_BROADCAST else live
     # Spans from the last to the first, so that earlier places stay valid; overlaps merge.
     merged = F.aggregate(
         "live", F.expr("cast(array() as array<struct<s:int,e:int>>)"),
@@ -134,6 +141,6 @@ def redact(docs: DataFrame, owner: Column | None = None, repository: Column | No
             F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["s"].alias("s"), F.greatest(F.element_at(done, -1)["e"], x["e"]).alias("e"))),
         )).otherwise(F.concat(done, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))))
     clean = F.aggregate(F.reverse("merged"), F.col("text"), lambda t, x: F.concat(F.substring(t, F.lit(1), x["s"]), F.lit(mark), F.substring(t, x["e"] + 1, F.length(t))))
-    keyed = docs.withColumns({"_pk": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_th": F.xxhash64("text")})
+    keyed = docs.withColumns({"_pk": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_th": text_hash(F.col("text").cast("string"))})
     out = keyed.join(live.withColumn("merged", merged).select(F.col("pk").alias("_pk"), F.col("th").alias("_th"), "merged"), ["_pk", "_th"], "left")
     return out.withColumn("text", F.when(F.col("merged").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
