@@ -140,7 +140,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     frame = docs.select(*columns, F.col("text").cast("string").alias("_scanned"), F.lit("").alias("_found"))
     blocks = benchmark_blocks(benchmark, block_bytes)
     for number, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in block.toLocalIterator()])
+        items = sorted(((r.item_id, r.text.encode()) for r in block.toLocalIterator()), key=repr)
+        name = (hashlib.sha256(repr(items).encode()).hexdigest(), window, k)
+        shared = spark.sparkContext.broadcast(items)
         last = number == len(blocks) - 1
         schema = frame.schema
         if last:
@@ -148,13 +150,20 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
             for f in OUT if keep is None else [OUT.field("contaminated")]:
                 if f.name != "doc_id":
                     schema = schema.add(f.name, {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean"}[f.type])
-        frame = frame.mapInArrow(_scan(shared, window, k, last, keep is not None), schema)
+        frame = frame.mapInArrow(_scan(shared, name, last, keep is not None), schema)
     return frame
 
 
-def _scan(shared, window: int, k: int, last: bool, brief: bool):
+#: The index that a worker used last, by the digest of its block of items and its window.
+_indexes: dict[tuple, Benchmark] = {}
+
+
+def _scan(shared, name: tuple, last: bool, brief: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Benchmark(shared.value, window, k)
+        if name not in _indexes:
+            _indexes.clear()
+            _indexes[name] = Benchmark(shared.value, *name[1:])
+        block = _indexes[name]
         for batch in batches:
             columns = batch.columns[:-2]
             raw, before = texts(batch.columns[-2]), batch.columns[-1].to_pylist()
