@@ -16,9 +16,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxalign.llm.common import NULL_ID, durable, table
+from fluxalign.llm.common import NULL_ID, shared_folder, table, text_hash
 from fluxalign.llm.decontamination import decontaminate
-from fluxalign.llm.jaccard_join import components_of_texts, text_hash
+from fluxalign.llm.jaccard_join import components_of_texts
 from fluxalign.llm.piece_encoding import encode_pieces
 from fluxalign.llm.queries import TOKENIZERS
 from fluxalign.llm.secrets_scan import redact
@@ -67,8 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what each keeps is written to the shared folder and read by the next."""
-    durable(spark.range(1))  # sets a checkpoint folder where the session has none
-    shared = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    shared = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
