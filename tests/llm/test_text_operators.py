@@ -73,27 +73,76 @@ def test_dropout_varies_and_repeats():
     assert len({tuple(a.encode(f"{i} unbelievable").tolist()[2:]) for i in range(40)}) > 1
 
 
-def test_chat_round_trip(spark):
-    rng = random.Random(2)
-    rows = [(c, t, ["system", "user", "assistant"][0 if t == 0 and c % 2 else 1 + t % 2], " ".join(["w<a>&amp;</turn>\n"] * rng.randrange(0, 60))) for c in range(12) for t in range(rng.randrange(1, 30))]
-    rows += [(50, None, None, None), (51, 1, "user", "tie"), (51, 1, "user", "tie"), (None, 0, "assistant", "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def digests(rows):
+    """What the digest of each conversation must say, whose ties don't hold different turns."""
     by = collections.defaultdict(list)
     for c, t, r, x in rows:
         by[c].append((t or 0, r or "", x or ""))
-    got = {r.conv_id: r for r in chat_digest(df, 120, 40).collect()}
-    assert got.keys() == by.keys()
+    out = {}
     for c, turns in by.items():
-        turns.sort()
+        turns.sort(key=lambda t: t[0])
         loss = "".join(x for _, r, x in turns if r == "assistant")
-        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
-        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    windows = chat_windows(df, 300, 60)  # turns and system turns have 64 tokens at most
-    assert windows.where("n_tokens > 300").count() == 0 and windows.where("window > 0").count() > 0
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        out[c] = (len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(loss), sha(loss))
+    return out
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(2)
+    rows = [(c, t, ["system", "user", "assistant"][0 if t == 0 and c % 2 else 1 + t % 2], " ".join(["w<a>&amp;</turn>\n"] * rng.randrange(0, 60))) for c in range(12) for t in range(rng.randrange(1, 30))]
+    rows += [(50, None, None, None), (51, 1, "user", "tie"), (51, 1, "user", "tie"), (None, 0, "assistant", "x")]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], CHAT + ", window long, h1 string")
+    got = {r.conv_id: r for r in chat_digest(df, 520, 160).collect()}
+    assert {c: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for c, r in got.items()} == digests(rows)
+    windows = chat_windows(df, 1300, 260).cache()
+    assert windows.where("n_tokens > 1300").count() == 0 and windows.where("window > 0").count() > 0
     assert windows.where("window > 0 and conv_id = 1").where(~F.startswith("formatted", F.lit("<again role=system>"))).count() == 0
+    assert windows.where("window > 0").where(F.contains("formatted", F.lit("<again role=user>")) | F.contains("formatted", F.lit("<again role=assistant>"))).count() > 0
     assert chat_digest(df.limit(0)).count() == 0
 
 
+def chat_model(turns, budget, history):
+    """Windows of one conversation by the rule of the module, turn by turn."""
+    tokens = [max(len(x.split()), -(-len(x.encode()) // 4)) + 4 for _, _, x in turns]
+    first = next((i for i, t in enumerate(turns) if t[1] == "system"), None)
+    room = max(2, budget - history - (tokens[first] if first is not None else 0))
+    normal = max([n for n in tokens if n <= room / 2], default=0)
+    spans, key, before, bigs = [], None, 0, 0
+    for i, n in enumerate(tokens):
+        bigs += n > room / 2
+        now = (bigs, 0) if n > room / 2 else (bigs, 1, before // (room - normal))
+        before += 0 if n > room / 2 else n
+        if now != key:
+            spans.append([])
+        spans[-1].append(i)
+        key = now
+    out = []
+    for k, span in enumerate(spans):
+        again = [i for i in (spans[k - 1] if k else []) if sum(tokens[i : span[0]]) <= history and i != first]
+        out.append(([first] if first is not None and first not in span else []) + again + span)
+    return [sum(tokens[i] for i in x) for x in out]
+
+
+def test_chat_windows_follow_one_rule_at_any_length(spark):
+    """3,000 turns with sparse numbers over many partitions: no place where the rule changes."""
+    rng = random.Random(21)
+    rows = [(1, 1000 * t, "system" if t == 2 else ["user", "assistant"][t % 2], " ".join(["word"] * rng.choice([3, 10, 40, 400]))) for t in range(3000)]
+    rows += [(None, t % 5, "user", f"n{t}") for t in range(400)]
+    windows = chat_windows(spark.createDataFrame(rows, CHAT).repartition(7), 700, 100)
+    got = sorted((r.window, r.n_tokens) for r in windows.where("conv_id = 1").collect())
+    assert got == list(enumerate(chat_model([r[1:] for r in rows[:3000]], 700, 100)))
+    r = chat_digest(spark.createDataFrame(rows, CHAT), 700, 100).where("conv_id is null").first()
+    assert r.n_turns == 400 and r.loss_chars == 0
+
+
+def test_chat_takes_a_token_column(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a", 500), (1, 1, "assistant", "b", None)], CHAT + ", n int")
+    assert [(r.window, r.n_tokens) for r in chat_windows(df, 300, 20, "n").orderBy("window").collect()] == [(0, 504), (1, 4)]
+
+
 def test_escape_is_reversible(spark):
     t = "&lt;<&amp;></turn>&"
     assert spark.range(1).select(unescape(escape(F.lit(t)))).first()[0] == t
