@@ -34,7 +34,9 @@ from .common import small_batches
 
 WORD = re.compile(r"[^\W_]+")
 STEM = range(4, 8)
-LEAST_FUZZY, REMEMBERED, MOST_TERMS, MISSPELLED = 5, 300_000, 400, 0.7
+LEAST_FUZZY, REMEMBERED, MISSPELLED = 5, 300_000, 0.7
+#: Terms that a lexicon may have; it is sent to all machines.
+MOST_TERMS = 1 << 18
 #: Fixed words of the context: reporting somebody's words, and addressing somebody.
 REPORTING = frozenset("said says wrote quote quoted quotes called claims reported according dit sagte schrieb dijo escribió".split())
 ADDRESS = frozenset("you your youre tu vous du ihr tú usted".split())
@@ -135,7 +137,7 @@ class Scorer:
     @staticmethod
     def _quoted(text: str, wanted: set[int]) -> set[int]:
         """Which words stand between quote marks; a mark closes the one before it on its line."""
-        spans = [m.span() for m in re.finditer(f"[{QUOTES}][^{QUOTES}\n]{{1,400}}[{QUOTES}]", text)]
+        spans = [m.span() for m in re.finditer(f"[{QUOTES}][^{QUOTES}\n]+[{QUOTES}]", text)]
         out, s = set(), 0
         for i, m in enumerate(WORD.finditer(text.lower())):
             while s < len(spans) and spans[s][1] <= m.start():
@@ -181,7 +183,7 @@ def _terms(counts: list, least: int, precision: float) -> tuple[dict, dict]:
     return words, stems
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_rows: int = 8000, least: int = 8, precision: float = 0.9) -> ToxicityModel:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_rows: int = 8000, least: int = 5, precision: float = 0.8) -> ToxicityModel:
     """Learn from labelled rows whose remainder isn't 0, at most ``most_rows`` of them."""
     small_batches(spark)
     chosen = labels.where((remainder() != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
@@ -200,7 +202,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_rows: in
 
     counts = sample.mapInArrow(count, "term string, whole boolean, toxic long, clean long").groupBy("term", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))))
-    words, stems = _terms(counts.orderBy(F.desc("toxic"), "term", "whole").limit(MOST_TERMS).collect(), least, precision)
+    terms = counts.limit(MOST_TERMS + 1).collect()
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms mark toxic texts; raise least or precision")
+    words, stems = _terms(terms, least, precision)
     lexicon = Lexicon(words, stems)
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
