@@ -2,12 +2,13 @@
 
 Merge-type segmentation: a text starts as single characters; an agenda holds the neighbouring
 pairs that join to a vocabulary piece, the best score (then the leftmost) first. Dropout skips
-a candidate when a keyed hash of (seed, variant, text of the chunk, place, piece) falls under
-the rate, so the segmentation varies from place to place and is the same again on every run.
+a candidate when a keyed hash of (seed, text of the document, number of the chunk, place, piece)
+falls under the rate, so the segmentation varies from occurrence to occurrence and is the same
+again on every run.
 
 No piece of a merge vocabulary crosses from text into a following blank, so a text is cut there
-into chunks, and what a chunk became under one of ``variants`` keys is remembered. The variant
-of a chunk follows from the document's text and the chunk's number.
+into chunks. What a chunk becomes without dropout is remembered, together with the merges made:
+an occurrence none of whose merges is skipped has that segmentation, all others are merged anew.
 
 Decoding is lossless for every text: characters without a piece become byte pieces, and so does
 a literal U+2581, which would else be read back as a blank. With rate 0 the ids equal those of
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import small_batches
-from .windows import chunks
+from .windows import chunks, mix
 
 BLANK = "▁"
-#: Segmentations that a worker remembers by variant, characters from which a chunk is merged by
-#: itself, and chunks that are merged at once.
-REMEMBERED, LONG, AT_ONCE = 150_000, 40, 1 << 15
+#: Chunks that a worker remembers, characters from which a chunk is merged by itself, and chunks
+#: that are merged at once.
+REMEMBERED, LONG, AT_ONCE = 300_000, 40, 1 << 13
+#: Odd multipliers of the place and the piece in a candidate's hash.
+PLACE, PIECE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Largest vocabulary that is broadcast.
 MOST_PIECES = 1 << 20
 _MASK = (1 << 64) - 1
@@ -59,22 +61,49 @@ def read_pieces(path: str) -> tuple[dict[str, tuple[float, int]], list[int], str
     return plain, of_bytes, hashlib.sha256(repr((size, sorted(plain.items())[:1000], of_bytes)).encode()).hexdigest()
 
 
+class Ragged:
+    """Lists of numbers, end to end."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.flat, self.size = flat, size
+        self.start = np.cumsum(size) - size
+
+    def __add__(self, other: Ragged) -> Ragged:
+        return Ragged(np.concatenate([self.flat, other.flat]), np.concatenate([self.size, other.size]))
+
+    def take(self, which: np.ndarray) -> Ragged:
+        size = self.size[which]
+        begin = np.cumsum(size) - size
+        return Ragged(self.flat[np.arange(size.sum()) + np.repeat(self.start[which] - begin, size)], size)
+
+    def lists(self) -> list[list]:
+        return [self.flat[a : a + n].tolist() for a, n in zip(self.start.tolist(), self.size.tolist())]
+
+    @staticmethod
+    def of(lists: list, dtype) -> Ragged:
+        return Ragged(np.concatenate([np.zeros(0, dtype), *(np.asarray(x, dtype) for x in lists)]), np.array([len(x) for x in lists], np.int64))
+
+
 class MergeCoder:
     CHUNK = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 
-    def __init__(self, plain: dict[str, tuple[float, int]], of_bytes: list[int], rate: float = 0.0, seed: int = 0, variants: int = 4) -> None:
+    def __init__(self, plain: dict[str, tuple[float, int]], of_bytes: list[int], rate: float = 0.0, seed: int = 0) -> None:
         self.plain, self.of_bytes, self.seed = plain, of_bytes, seed
-        self.limit, self.variants = int(rate * (1 << 64)), variants if rate else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.n_known, self.tables = 0, None
+        self.limit = int(rate * (1 << 64))
+        self._forget()
+        self.tables = None
         self.text: dict[int, bytes] = {i: p.replace(BLANK, " ").encode() for p, (_, i) in plain.items()}
         self.text |= {i: bytes([b]) for b, i in enumerate(of_bytes)}
 
-    def merge(self, chunk: str, variant: int) -> list[str]:
+    def _forget(self) -> None:
+        """No chunk is known; those learned get numbers, their ids and merge codes stand by number."""
+        self.known: dict[str, int] = {}
+        self.ids, self.codes = Ragged.of([], np.int32), Ragged.of([], np.uint64)
+
+    def merge(self, chunk: str, key: int) -> list[str]:
         plain, n = self.plain, len(chunk)
         parts: list[str | None] = list(chunk)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        key = xxhash.xxh64_intdigest(chunk.encode(), self.seed * 1_000_003 + variant) if self.limit else 0
         agenda = []
         for i in range(n - 1):
             if (hit := plain.get(chunk[i : i + 2])) is not None:
@@ -85,7 +114,7 @@ class MergeCoder:
             if parts[a] is None or parts[b] is None or right[a] != b or len(parts[a]) + len(parts[b]) != size:
                 continue
             if self.limit:
-                x = (key ^ (a * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F)) & _MASK
+                x = key ^ ((a * PLACE + piece * PIECE) & _MASK)
                 x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _MASK
                 if x ^ x >> 32 < self.limit:
                     continue
@@ -99,15 +128,21 @@ class MergeCoder:
                     heappush(agenda, (-hit[0], x, hit[1], y, len(parts[x]) + len(parts[y])))
         return [p for p in parts if p is not None]
 
-    def chunk_ids(self, chunk: str, variant: int, literal: str | None) -> bytes:
-        out = array("i")
-        for part in self.merge(chunk, variant):
+    def chunk_ids(self, chunk: str, key: int, literal: str | None = None) -> list[int]:
+        out: list[int] = []
+        for part in self.merge(chunk, key):
             hit = self.plain.get(part)
             if hit is not None and part != literal:
                 out.append(hit[1])
             else:
                 out.extend(self.of_bytes[b] for b in (BLANK if part == literal else part).encode())
-        return out.tobytes()
+        return out
+
+    def skipped(self, keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Which candidates (their codes are place * PLACE + piece * PIECE) dropout skips."""
+        x = keys ^ codes
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ x >> np.uint64(32) < np.uint64(min(self.limit, _MASK))
 
     def _tables(self) -> tuple:
         """Symbols (pieces, and characters of pieces) and the pairs of symbols that join to a piece."""
@@ -132,15 +167,16 @@ class MergeCoder:
         keys = np.array(sorted(pairs), np.int64)
         return ids, order, of_char, keys, np.array([pairs[k] for k in keys.tolist()], np.int32)
 
-    def merge_many(self, chunks: list[str], variants: list[int]) -> list[bytes]:
-        """Ids of many chunks at once: in each round every chunk takes the best of its agenda.
+    def merge_many(self, chunks: list[str], keys: np.ndarray | None) -> tuple[Ragged, Ragged | None]:
+        """Ids of many chunks at once, with dropout by ``keys`` or without, and the codes of the
+        merges made: in each round every chunk takes the best of its agenda.
 
         Whether a candidate is skipped depends on its place and piece alone, so it makes no
         difference that it is skipped on entering the agenda, and the result is that of ``merge``.
         """
         if self.tables is None:
             self.tables = self._tables()
-        ids, order, of_char, keys, joined = self.tables
+        ids, order, of_char, joins, joined = self.tables
         sizes = np.array([len(c) for c in chunks], np.int64)
         ends = np.cumsum(sizes)
         n = int(ends[-1])
@@ -149,32 +185,33 @@ class MergeCoder:
         right, left = np.arange(1, n + 2), np.arange(-1, n)  # n stands for no neighbour
         right[ends - 1] = right[n] = left[ends - sizes] = left[n] = n
         owner = np.repeat(np.arange(len(chunks)), sizes)
-        if self.limit:
-            keyed = np.array([xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + v) for c, v in zip(chunks, variants)], np.uint64)
+
+        def codes(at: np.ndarray, piece: np.ndarray) -> np.ndarray:
+            return place[at].astype(np.uint64) * np.uint64(PLACE) + ids[piece].astype(np.uint64) * np.uint64(PIECE)
 
         def candidates(at: np.ndarray) -> np.ndarray:
             """The piece to which the symbols at these places and their neighbours join, or -1."""
             pair = sym[at].astype(np.int64) << 32 | sym[right[at]]
-            found = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-            hit = np.flatnonzero(keys[found] == pair) if len(keys) else np.zeros(0, np.int64)
+            found = np.minimum(np.searchsorted(joins, pair), len(joins) - 1)
+            hit = np.flatnonzero(joins[found] == pair) if len(joins) else np.zeros(0, np.int64)
             out = np.full(len(at), -1, np.int32)
             piece = joined[found[hit]]
-            if self.limit:
-                here = at[hit]
-                x = keyed[owner[here]] ^ (place[here].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[piece].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-                stays = x ^ x >> np.uint64(32) >= np.uint64(min(self.limit, _MASK))
+            if keys is not None:
+                stays = ~self.skipped(keys[owner[at[hit]]], codes(at[hit], piece))
                 hit, piece = hit[stays], piece[stays]
             out[hit] = piece
             return out
 
         agenda = np.append(candidates(np.arange(n)), np.int32(-1))
         alive = np.ones(n, bool)
+        made: list[tuple[np.ndarray, np.ndarray]] = []
         while len(at := np.flatnonzero(agenda >= 0)):
             first = np.flatnonzero(np.diff(owner[at], prepend=-1))
             a = np.minimum.reduceat(order[agenda[at]] << 32 | at, first) & 0xFFFFFFFF
             b = right[a]
             sym[a] = agenda[a]
+            if keys is None:
+                made.append((owner[a], codes(a, sym[a])))
             right[a] = right[b]
             left[right[a]] = a
             left[n] = n
@@ -184,50 +221,72 @@ class MergeCoder:
             before = before[before < n]
             agenda[before] = candidates(before)
         found = ids[sym[:n][alive]]
-        cuts = np.cumsum(np.bincount(owner[alive], minlength=len(chunks))).tolist()
-        odd = set(owner[alive][found < 0].tolist())
-        data = found.tobytes()
-        return [self.chunk_ids(chunks[i], variants[i], None) if i in odd else data[4 * x : 4 * y] for i, (x, y) in enumerate(zip([0, *cuts], cuts))]
+        out = Ragged(found, np.bincount(owner[alive], minlength=len(chunks)))
+        odd = np.unique(owner[alive][found < 0])  # chunks with characters that no piece has
+        if len(odd):
+            which = np.arange(len(chunks))
+            which[odd] = len(chunks) + np.arange(len(odd))
+            out = (out + Ragged.of([self.chunk_ids(chunks[i], int(keys[i]) if keys is not None else 0) for i in odd.tolist()], np.int32)).take(which)
+        if keys is not None:
+            return out, None
+        of, code = np.concatenate([np.zeros(0, np.int64), *(m[0] for m in made)]), np.concatenate([np.zeros(0, np.uint64), *(m[1] for m in made)])
+        return out, Ragged(code[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(chunks)))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids and merges without dropout of chunks that aren't known."""
+        limit, self.limit = self.limit, 0
+        for i in range(0, len(chunks), AT_ONCE):
+            ids, codes = self.merge_many(chunks[i : i + AT_ONCE], None)
+            self.ids, self.codes = self.ids + ids, self.codes + codes
+        self.limit = limit
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts; blanks are BLANK inside, and one stands before each text."""
-        held, fresh = [], [{} for _ in range(self.variants)]
+        every, bounds, alone, keys = [], [0], {}, [np.zeros(0, np.uint64)]
         for text in texts:
-            if not text:
-                held.append(([], [], []))
-                continue
-            literal = None
-            if BLANK in text:  # it takes the place of a character that no piece has
-                literal = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text and c not in self.plain)
-                text = text.replace(BLANK, literal)
-            chunks = self.CHUNK.findall((" " + text).replace(" ", BLANK))
-            base = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed) | 1)
-            number = np.arange(1, len(chunks) + 1, dtype=np.uint64)
-            variants = ((base * number >> np.uint64(40) & np.uint64(0xFFFF)) % np.uint64(self.variants)).tolist()
-            known = self.known
-            ids = [known[v].get(c) for v, c in zip(variants, chunks)]
-            for i, x in enumerate(ids):
-                if x is None or literal:
-                    c, v = chunks[i], variants[i]
-                    if literal and literal in c:
-                        ids[i] = self.chunk_ids(c, v, literal)
-                    elif x is None and len(c) >= LONG:
-                        ids[i] = self.chunk_ids(c, v, None)
-                    elif x is None:
-                        fresh[v][c] = b""
-            held.append((chunks, variants, ids))
-        todo = [(c, v) for v, x in enumerate(fresh) for c in x]
-        for i in range(0, len(todo), AT_ONCE):
-            part = todo[i : i + AT_ONCE]
-            for (c, v), ids in zip(part, self.merge_many(*map(list, zip(*part)))):
-                fresh[v][c] = ids
-        if self.n_known + len(todo) > REMEMBERED * self.variants:
-            self.known, self.n_known = [{} for _ in range(self.variants)], 0
-        if len(todo) <= REMEMBERED * self.variants:
-            for old, new in zip(self.known, fresh):
-                old.update(new)
-            self.n_known += len(todo)
-        return [np.frombuffer(b"".join([fresh[v][c] if x is None else x for c, v, x in zip(*h)]), np.int32) for h in held]
+            if text:
+                literal = None
+                if BLANK in text:  # it takes the place of a character that no piece has
+                    used = set(text)
+                    literal = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in used and c not in self.plain)
+                    text = text.replace(BLANK, literal)
+                chunks = self.CHUNK.findall((" " + text).replace(" ", BLANK))
+                base = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed))
+                keys.append(mix(base + np.arange(1, len(chunks) + 1, dtype=np.uint64) * np.uint64(PLACE)))
+                if literal or max(map(len, chunks)) >= LONG:
+                    alone |= {len(every) + i: literal for i, c in enumerate(chunks) if len(c) >= LONG or literal and literal in c}
+                every += chunks
+            bounds.append(len(every))
+        key = np.concatenate(keys)
+        usual = every
+        if alone:
+            usual = every.copy()
+            for i in alone:
+                usual[i] = BLANK
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        which = list(map(self.known.get, usual))
+        if None in which:
+            self._learn(list({c: None for c, x in zip(usual, which) if x is None}))
+            which = map(self.known.__getitem__, usual)
+        which = np.fromiter(which, np.int64, len(usual))
+        anew, n = [], len(self.known)
+        if self.limit:
+            codes = self.codes.take(which)
+            lost = np.r_[0, np.cumsum(self.skipped(np.repeat(key, codes.size), codes.flat))]
+            changed = np.flatnonzero(lost[codes.start + codes.size] > lost[codes.start])
+            for i in range(0, len(changed), AT_ONCE):
+                part = changed[i : i + AT_ONCE]
+                anew.append(self.merge_many([usual[k] for k in part.tolist()], key[part])[0])
+            which[changed] = n + np.arange(len(changed))
+            n += len(changed)
+        if alone:
+            anew.append(Ragged.of([self.chunk_ids(every[i], int(key[i]), literal if literal and literal in every[i] else None) for i, literal in alone.items()], np.int32))
+            which[list(alone)] = n + np.arange(len(alone))
+        flat = Ragged(np.concatenate([self.ids.flat, *(x.flat for x in anew)]), np.concatenate([self.ids.size, *(x.size for x in anew)])).take(which)
+        ends = np.r_[0, np.cumsum(flat.size)][bounds].tolist()
+        return [flat.flat[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
@@ -239,7 +298,7 @@ class MergeCoder:
 _coders: dict[tuple, MergeCoder] = {}
 
 
-def encode_pieces(spark: SparkSession, docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7, variants: int = 4, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode_pieces(spark: SparkSession, docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id if not given), then ids array<int>, n_tokens, lossless.
 
     lossless: decoding the ids gave the text back. Narrow, no shuffle; the model is bounded by
@@ -248,14 +307,14 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, model: str, rate: float
     small_batches(spark)
     plain, of_bytes, name = read_pieces(model)
     shared = spark.sparkContext.broadcast((plain, of_bytes))
-    key = (name, rate, seed, variants)
+    key = (name, rate, seed)
     keep = ["doc_id"] if keep is None else keep
     kept = docs.select(*keep, F.col(text_col).cast("string").alias("_text_to_encode"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _coders:
             _coders.clear()
-            _coders[key] = MergeCoder(*shared.value, rate, seed, variants)
+            _coders[key] = MergeCoder(*shared.value, rate, seed)
         coder = _coders[key]
         for batch in batches:
             ids, same = [], []

@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from fluxalign.llm import decontamination, quality_rules, secrets_scan, toxicity
 from fluxalign.llm.chat_format import chat_digest, chat_windows, escape, unescape
 from fluxalign.llm.components import components
 from fluxalign.llm.jaccard_join import jaccard_components
-from fluxalign.llm.piece_encoding import MergeCoder, decode_pieces, encode_pieces, read_pieces
+from fluxalign.llm.piece_encoding import MergeCoder, Ragged, decode_pieces, encode_pieces, read_pieces
 from fluxalign.llm.quality_rules import quality
 from fluxalign.llm.token_counts import LongestMatch, token_counts
 
@@ -61,8 +62,34 @@ def test_chunks_merged_together_equal_chunks_merged_alone(rate):
     rng = random.Random(3)
     coder = MergeCoder(*read_pieces(MODEL)[:2], rate, 11)
     chunks = ["▁", "\n", "▁▁▁ab", "aaaaaaaa", "漢字🎉", *("▁" + "".join(rng.choice("abeinrst'é.") for _ in range(rng.randrange(1, 30))) for _ in range(500))]
-    variants = [i % 4 if rate else 0 for i in range(len(chunks))]
-    assert coder.merge_many(chunks, variants) == [coder.chunk_ids(c, v, None) for c, v in zip(chunks, variants)]
+    keys = np.array([rng.randrange(1 << 64) for _ in chunks], np.uint64)
+    assert coder.merge_many(chunks, keys)[0].lists() == [coder.chunk_ids(c, k) for c, k in zip(chunks, keys.tolist())]
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.6])
+def test_remembered_segmentations_change_nothing(rate):
+    """Each occurrence equals its own agenda with its own key, remembered chunks or not."""
+    rng = random.Random(31)
+    words = ["unbelievable", "the", "segmentation", "漢字", "naïve", "x" * 60, "a▁b", ""]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))) for _ in range(30)]
+    coder = MergeCoder(*read_pieces(MODEL)[:2], rate, 5)
+    seen = []
+    plain = coder.chunk_ids
+    first = [x.tolist() for x in coder.encode_many(texts)]
+    of = lambda chunks, keys: Ragged.of([plain(c, int(k)) for c, k in zip(chunks, keys if keys is not None else [0] * len(chunks))], np.int32)
+    coder.merge_many = lambda chunks, keys: seen.append(keys) or (of(chunks, keys), Ragged.of([[0]] * len(chunks), np.uint64))
+    coder.skipped = lambda keys, codes: np.ones(len(codes), bool)  # every occurrence is merged anew
+    coder._forget()
+    assert [x.tolist() for x in coder.encode_many(texts)] == first and seen
+    assert [coder.decode(x) for x in first] == texts
+
+
+def test_a_word_varies_over_documents():
+    coder = MergeCoder(*read_pieces(MODEL)[:2], 0.1, 7)
+    ids = coder.encode_many([f"{i} unbelievableness" for i in range(100)])
+    assert len({tuple(x.tolist()[len(coder.encode(str(i))) :]) for i, x in enumerate(ids)}) > 8
+    again = coder.encode_many(["5 unbelievableness"])[0]
+    assert again.tolist() == ids[5].tolist()
 
 
 def test_dropout_varies_and_repeats():
