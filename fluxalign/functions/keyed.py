@@ -21,3 +21,16 @@ def uniform(*key) -> Column:
 def normal(*key) -> Column:
     """Box-Muller on two uniforms of the key."""
     return F.sqrt(-2.0 * F.log(uniform("a", *key))) * F.cos(2.0 * math.pi * uniform("b", *key))
+
+
+#: Prime modulus of the draws, and odd multipliers; fixed values that the SQL of the tests repeats.
+PRIME, BY_REPLICATE, BY_PLACE, STEP_A, STEP_B = 2147483647, 104729, 15485863, 48271, 40692
+
+
+def keyed_draw(g: Column, replicate: Column, j: Column, n: Column) -> Column:
+    """Draw j of a replicate: 0 to n - 1, by squaring modulo a prime (no product exceeds 63 bits)."""
+    x1 = (g + replicate * BY_REPLICATE + j * BY_PLACE) % PRIME
+    x2 = (x1 * x1 + g) % PRIME
+    x3 = (x2 * x2 + x1 * STEP_A) % PRIME
+    x4 = (x3 * x3 + x2 * STEP_B + replicate) % PRIME
+    return (x3 * 2147483648 + x4) % n

@@ -1,55 +1,90 @@
 """Bootstrap intervals over sentence clusters with keyed draws.
 
-Clusters are reduced to additive vectors first (sums of correctness, confusion counts), so a
-replicate is a sum over its draws. The join of draws with clusters is the largest intermediate:
-samples x clusters rows, partially aggregated to one row a replicate before any shuffle.
+Rows are reduced to one additive vector a cluster first (counts of hits and classes), so a
+replicate is a sum over its draws, and accuracy and macro-F1 come from the same draws. Clusters
+are numbered inside hash buckets, never ordered in one task. A draw is a few integer operations on
+(group, replicate, number); the clusters are a broadcast while they are MOST_BROADCAST at most,
+else a shuffled join, and sums are partly aggregated to one row a replicate before any shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keyed import keyed_hash
-from .metrics import CLASSES, macro_f1
+from ..functions.keyed import keyed_draw, keyed_hash
+from ..sources.shared import durable
+from .folds import rank_by_hash
+from .metrics import CLASSES
 
 QUANTILES = [0.025, 0.975]
+#: Clusters that are broadcast at most: rows of 20 numbers, so about 40 MB.
+MOST_BROADCAST = 200_000
+#: Hits, predicted and true counts of each class; x is the candidate's side, y the other one.
+SIDE = [f"{p}{kind}{k}" for p in "xy" for kind in ("hit", "said") for k in range(CLASSES)]
+CELLS = [*SIDE, *(f"true{k}" for k in range(CLASSES))]
 
 
-def draws(clusters: DataFrame, group: list[str], samples: int, seed: int) -> DataFrame:
-    """(group, replicate, the cluster's columns): as many clusters as there are, with replacement."""
-    by = Window.partitionBy(*group)
-    placed = clusters.withColumn("place", F.row_number().over(by.orderBy("sentence_id")) - 1).withColumn("n_clusters", F.count("*").over(by))
-    asked = placed.select(*group, F.col("place").alias("j"), "n_clusters", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("replicate"))
-    drawn = asked.select(*group, "replicate", (keyed_hash(seed, *map(F.col, group), F.col("replicate"), F.col("j")) % F.col("n_clusters")).cast("int").alias("place"))
-    return drawn.join(placed.drop("n_clusters"), [*group, "place"])
+def resampled(clusters: DataFrame, cells: list[str], group: list[str], samples: int, seed: int) -> DataFrame:
+    """group, replicate and the cells' sums over as many draws as the group has clusters.
+
+    ``clusters``: group, sentence_id, cells. Groups are few (one row each is numbered).
+    """
+    groups = clusters.groupBy(*group).agg(F.count("*").alias("n_clusters"))
+    groups = groups.withColumns({"gid": F.row_number().over(Window.orderBy(*group)).cast("long"), "g": keyed_hash(seed, *map(F.col, group))})
+    groups = durable(groups)
+    placed = rank_by_hash(clusters, group, keyed_hash("cluster", F.col("sentence_id")), "sentence_id", "place").join(groups, group)
+    key = lambda place: F.col("gid") * (1 << 40) + place
+    placed = durable(placed.select("gid", "g", "n_clusters", (F.col("place") - 1).alias("place"), *cells))
+    asked = placed.select("gid", "g", "n_clusters", F.col("place").alias("j"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long"))).alias("replicate"))
+    asked = asked.select("gid", "replicate", key(keyed_draw(F.col("g"), F.col("replicate"), F.col("j"), F.col("n_clusters"))).alias("at"))
+    found = placed.select(key(F.col("place")).alias("at"), *cells)
+    found = F.broadcast(found) if placed.count() <= MOST_BROADCAST else found
+    sums = asked.join(found, "at").groupBy("gid", "replicate").agg(*(F.sum(c).alias(c) for c in cells))
+    return sums.join(F.broadcast(groups.select("gid", *group)), "gid").drop("gid")
+
+
+def _interval(replicates: DataFrame, group: list[str], **values: Column) -> DataFrame:
+    """group and name_low, name_high for each value."""
+    at = F.array(*map(F.lit, QUANTILES))
+    q = replicates.groupBy(*group).agg(*(F.percentile(v, at).alias(k) for k, v in values.items()))
+    return q.select(*group, *(F.get(k, F.lit(i)).alias(f"{k}_{end}") for k in values for i, end in enumerate(("low", "high"))))
 
 
 def accuracy_interval(rows: DataFrame, group: list[str], samples: int, seed: int) -> DataFrame:
     """group, low, high of mean(delta), resampling sentences with all their rows."""
     clusters = rows.groupBy(*group, "sentence_id").agg(F.sum("delta").alias("s"), F.count("delta").alias("c"))
-    drawn = draws(clusters, group, samples, seed).groupBy(*group, "replicate").agg((F.sum("s") / F.sum("c")).alias("d"))
-    return drawn.groupBy(*group).agg(F.percentile("d", F.array(*map(F.lit, QUANTILES))).alias("q")).select(*group, F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    drawn = resampled(clusters, ["s", "c"], group, samples, seed)
+    return _interval(drawn, group, d=F.col("s") / F.col("c")).withColumnsRenamed({"d_low": "low", "d_high": "high"})
+
+
+def class_counts(rows: DataFrame, group: list[str], candidate: str, baseline: str) -> DataFrame:
+    """One row a sentence: hits and predictions of both sides, and true counts, by class."""
+    said = lambda c, k: F.sum((F.col(c) == k).cast("int"))
+    hit = lambda c, k: F.sum(((F.col(c) == k) & (F.col("target") == k)).cast("int"))
+    sums = {f"{p}{kind}{k}": f(c, k) for p, c in (("x", candidate), ("y", baseline)) for kind, f in (("hit", hit), ("said", said)) for k in range(CLASSES)}
+    return rows.groupBy(*group, "sentence_id").agg(*(v.alias(k) for k, v in sums.items()), *(said("target", k).alias(f"true{k}") for k in range(CLASSES)))
 
 
-def confusion_vectors(rows: DataFrame, group: list[str], sides: dict[str, str]) -> DataFrame:
-    """One row a sentence: nine counts for each side; ``sides`` maps a prefix to its prediction column."""
-    sums = [F.sum(((F.col("target") == i) & (F.col(p) == j)).cast("int")).alias(f"{x}{i}{j}") for x, p in sides.items() for i in range(CLASSES) for j in range(CLASSES)]
-    return rows.groupBy(*group, "sentence_id").agg(*sums)
+def _macro(side: str, present_only: bool) -> Column:
+    """Macro-F1 of one side: over the fixed classes, or those true or predicted at least once."""
+    both = [F.col(f"{side}said{k}") + F.col(f"true{k}") for k in range(CLASSES)]
+    scores = sum((F.coalesce(F.try_divide(2.0 * F.col(f"{side}hit{k}"), both[k].cast("double")), F.lit(0.0)) for k in range(CLASSES)), F.lit(0.0))
+    return F.try_divide(scores, sum(((b > 0).cast("int") for b in both), F.lit(0)).cast("double")) if present_only else scores / float(CLASSES)
 
 
-def f1_interval(rows: DataFrame, group: list[str], samples: int, seed: int, candidate: str, baseline: str, present_only: bool = False) -> DataFrame:
-    """group, low, high of macro-F1(candidate) - macro-F1(baseline), resampling sentences."""
-    clusters = confusion_vectors(rows, group, {"x": candidate, "y": baseline})
-    cells = [f"{p}{i}{j}" for p in "xy" for i in range(CLASSES) for j in range(CLASSES)]
-    sums = draws(clusters, group, samples, seed).groupBy(*group, "replicate").agg(*(F.sum(c).alias(c) for c in cells))
-    d = sums.select(*group, (macro_f1("x", present_only) - macro_f1("y", present_only)).alias("d"))
-    return d.groupBy(*group).agg(F.percentile("d", F.array(*map(F.lit, QUANTILES))).alias("q")).select(*group, F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+def comparison_intervals(rows: DataFrame, group: list[str], samples: int, seed: int, candidate: str, baseline: str, present_only: bool = False) -> DataFrame:
+    """group, accuracy_low, accuracy_high, f1_low, f1_high of candidate minus baseline, from the
+    same draws of sentences, with all their rows."""
+    drawn = resampled(class_counts(rows, group, candidate, baseline), CELLS, group, samples, seed)
+    hits = lambda p: sum((F.col(f"{p}hit{k}") for k in range(CLASSES)), F.lit(0))
+    true = sum((F.col(f"true{k}") for k in range(CLASSES)), F.lit(0))
+    return _interval(drawn, group, accuracy=(hits("x") - hits("y")) / true, f1=_macro("x", present_only) - _macro("y", present_only))
 
 
 def paired_delta(rows: DataFrame, group: list[str], samples: int, seed: int, candidate: str, baseline: str) -> DataFrame:
     """group, delta_macro_f1, low, high; F1 means run over the classes present."""
-    clusters = confusion_vectors(rows, group, {"x": candidate, "y": baseline})
-    cells = [f"{p}{i}{j}" for p in "xy" for i in range(CLASSES) for j in range(CLASSES)]
-    seen = clusters.groupBy(*group).agg(*(F.sum(c).alias(c) for c in cells)).select(*group, (macro_f1("x", True) - macro_f1("y", True)).alias("delta_macro_f1"))
-    return seen.join(f1_interval(rows, group, samples, seed, candidate, baseline, True), group)
+    seen = class_counts(rows, group, candidate, baseline).groupBy(*group).agg(*(F.sum(c).alias(c) for c in CELLS))
+    seen = seen.select(*group, (_macro("x", True) - _macro("y", True)).alias("delta_macro_f1"))
+    between = comparison_intervals(rows, group, samples, seed, candidate, baseline, True)
+    return seen.join(between.select(*group, F.col("f1_low").alias("low"), F.col("f1_high").alias("high")), group)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .align import require_none
-from .bootstrap import accuracy_interval, f1_interval, paired_delta
-from .diagnostics import quartiles
+from .bootstrap import accuracy_interval, comparison_intervals, paired_delta
+from .diagnostics import rank_quantiles, ranked
 from .metrics import classification_metrics, confusion_columns, macro_f1
 
 CONTROLS = ["shuffled", "noise", "zero"]
@@ -15,7 +15,10 @@ PRIORITY = ["low_confidence_25", "low_confidence_50", "no_eeg_incorrect"]
 
 
 def paired_frame(diagnostics: DataFrame) -> DataFrame:
-    """Aligned rows beside each control's, with correctness difference, agreement and quartile."""
+    """Aligned rows beside each control's, with correctness difference, agreement and quartile.
+
+    _rank and _n are the place by confidence within (text mode, control, seed) and its size.
+    """
     keys = ["text_mode", "seed", "sentence_id", "target"]
     both = ["prediction_with_eeg", "correct_with_eeg"]
     aligned = diagnostics.where("eeg_control = 'aligned'").select(*(F.col(c).alias(f"{c}_aligned") if c in both else F.col(c) for c in diagnostics.columns if c not in ("setup", "eeg_control")))
@@ -23,7 +26,7 @@ def paired_frame(diagnostics: DataFrame) -> DataFrame:
     pair = aligned.join(other, keys)
     pair = pair.withColumn("delta", F.col("correct_with_eeg_aligned") - F.col("correct_with_eeg_control"))
     pair = pair.withColumn("prediction_agreement", (F.col("prediction_with_eeg_aligned") == F.col("prediction_with_eeg_control")).cast("int"))
-    return quartiles(pair, ["text_mode", "control", "seed"])
+    return ranked(pair, ["text_mode", "control", "seed"])
 
 
 def check_pairs(diagnostics: DataFrame) -> None:
@@ -36,10 +39,9 @@ def check_pairs(diagnostics: DataFrame) -> None:
 def subset_rows(rows: DataFrame, by: list[str]) -> DataFrame:
     """Each row once for every subset that holds it: (subset_type, subset_name, with_f1).
 
-    The confidence quantiles are those of each group ``by`` and seed.
+    ``rows`` are ranked by confidence within ``by`` and seed, whose quantiles bound two subsets.
     """
-    w = Window.partitionBy(*by, "seed")
-    x = rows.withColumn("_q", F.percentile("text_path_confidence", F.array(F.lit(0.25), F.lit(0.5))).over(w))
+    x = rows.join(rank_quantiles(rows, [*by, "seed"], "text_path_confidence", [0.25, 0.5]), [*by, "seed"])
 
     def tag(kind: str, name: str | Column, when: Column, f1: bool = False) -> Column:
         named = F.lit(name) if isinstance(name, str) else name
@@ -47,12 +49,12 @@ def subset_rows(rows: DataFrame, by: list[str]) -> DataFrame:
 
     sure = F.col("text_path_confidence")
     tags = [
-        tag("all", "all", F.lit(True), True), tag("text_difficulty", PRIORITY[0], sure <= F.get("_q", F.lit(0)), True), tag("text_difficulty", PRIORITY[1], sure <= F.get("_q", F.lit(1)), True),
+        tag("all", "all", F.lit(True), True), tag("text_difficulty", PRIORITY[0], sure <= F.col("q0"), True), tag("text_difficulty", PRIORITY[1], sure <= F.col("q1"), True),
         tag("text_difficulty", PRIORITY[2], F.col("correct_without_eeg") == 0, True), tag("true_class", F.col("class_name"), F.lit(True)),
         tag("sentence_length", F.col("length_group"), F.lit(True)), tag("confidence_quartile", F.col("confidence_quartile"), F.lit(True))]
     if "reader_count" in rows.columns:
         tags.append(tag("reader_count", F.col("reader_count").cast("string"), F.lit(True)))
-    return x.select("*", F.explode(F.array_compact(F.array(*tags))).alias("_s")).select("*", "_s.*").drop("_q", "_s")
+    return x.select("*", F.explode(F.array_compact(F.array(*tags))).alias("_s")).select("*", "_s.*").drop("q0", "q1", "_rank", "_n", "_s")
 
 
 SUBSET = ["subset_type", "subset_name"]
@@ -65,7 +67,7 @@ def _per_seed(rows: DataFrame, group: list[str]) -> DataFrame:
 
 def contribution_comparisons(diagnostics: DataFrame, samples: int = 2000, seed: int = 20260724) -> DataFrame:
     """Each gated setup with and without its own contribution, by subset."""
-    x = quartiles(diagnostics, ["text_mode", "eeg_control", "seed"]).withColumn("delta", F.col("correct_with_eeg") - F.col("correct_without_eeg"))
+    x = ranked(diagnostics, ["setup", "seed"]).withColumn("delta", F.col("correct_with_eeg") - F.col("correct_without_eeg"))
     group = ["setup", *SUBSET]
     rows = subset_rows(x, ["setup"])
     out = rows.groupBy(*group).agg(
@@ -87,9 +89,11 @@ def subset_comparisons(paired: DataFrame, samples: int = 2000, seed: int = 20260
         F.avg("correct_with_eeg_control").alias("control_accuracy"), F.avg("delta").alias("delta_accuracy"), F.avg("prediction_agreement").alias("prediction_agreement"), *cells)
     out = out.withColumns({"aligned_macro_f1": macro_f1("x"), "control_macro_f1": macro_f1("y")}).withColumn("delta_macro_f1", F.col("aligned_macro_f1") - F.col("control_macro_f1"))
     out = out.drop(*(f"{p}{i}{j}" for p in "xy" for i in range(3) for j in range(3)))
-    sure = accuracy_interval(rows, group, samples, seed).withColumnsRenamed({"low": "delta_accuracy_ci95_low", "high": "delta_accuracy_ci95_high"})
-    f1 = f1_interval(rows.where("with_f1"), group, samples, seed, "prediction_with_eeg_aligned", "prediction_with_eeg_control").withColumnsRenamed({"low": "delta_macro_f1_ci95_low", "high": "delta_macro_f1_ci95_high"})
-    return out.join(sure, group).join(f1, group, "left").join(_per_seed(rows, group).withColumnRenamed("n_seeds_better", "n_seeds_aligned_better"), group)
+    flagged = rows.where("with_f1").select(*group).distinct().withColumn("with_f1", F.lit(True))
+    between = comparison_intervals(rows, group, samples, seed, "prediction_with_eeg_aligned", "prediction_with_eeg_control").join(flagged, group, "left")
+    f1 = lambda end: F.when(F.col("with_f1"), F.col(f"f1_{end}")).alias(f"delta_macro_f1_ci95_{end}")
+    between = between.select(*group, *(F.col(f"accuracy_{e}").alias(f"delta_accuracy_ci95_{e}") for e in ("low", "high")), f1("low"), f1("high"))
+    return out.join(between, group).join(_per_seed(rows, group).withColumnRenamed("n_seeds_better", "n_seeds_aligned_better"), group)
 
 
 def stop_decision(comparisons: DataFrame, minimum_delta: float = 0.015) -> DataFrame:

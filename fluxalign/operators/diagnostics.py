@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax, class_name, l2, margin, minus, ratio, softmax
 from .align import require_none
+from .folds import rank_in_buckets
 
 NORMS = ["text_embedding_norm", "eeg_embedding_norm", "candidate_eeg_contribution_norm", "gated_eeg_contribution_norm"]
 
@@ -41,12 +44,26 @@ def check_predictions(predictions: DataFrame, metadata: DataFrame) -> None:
 
 def quartiles(rows: DataFrame, by: list[str], value: str = "text_path_confidence") -> DataFrame:
     """Adds confidence_quartile: ranks (ties by sentence) cut at 1 + (n - 1) q, right-closed."""
-    w = Window.partitionBy(*by)
-    rank, n = F.row_number().over(w.orderBy(value, "sentence_id")), F.count("*").over(w)
-    x = rows.withColumns({"_rank": rank, "_n": n})
+    return ranked(rows, by, value).drop("_rank", "_n")
+
+
+def ranked(rows: DataFrame, by: list[str], value: str = "text_path_confidence") -> DataFrame:
+    """Adds _rank and _n within ``by`` and confidence_quartile; the value lies in 0 to 1."""
+    x = rank_in_buckets(rows, by, F.col(value), F.col(value), "sentence_id", "_rank", "_n")
     edge = lambda q: F.col("_rank") <= 1 + (F.col("_n") - 1) * q
     name: Column = F.when(edge(0.25), "q1_lowest").when(edge(0.5), "q2").when(edge(0.75), "q3").otherwise("q4_highest")
-    return x.withColumn("confidence_quartile", name).drop("_rank", "_n")
+    return x.withColumn("confidence_quartile", name)
+
+
+def rank_quantiles(ranks: DataFrame, by: list[str], value: str, quantiles: list[float]) -> DataFrame:
+    """by and q0, q1, ...: linear quantiles of a ranked frame, from the two rows beside each."""
+    place = lambda q: 1 + (F.col("_n") - 1) * q
+    beside = lambda q: (F.col("_rank") == F.floor(place(q))) | (F.col("_rank") == F.ceil(place(q)))
+    wanted = ranks.where(reduce(lambda a, b: a | b, map(beside, quantiles)))
+    low = lambda q: F.min(F.when(beside(q), F.col(value)))
+    high = lambda q: F.max(F.when(beside(q), F.col(value)))
+    share = lambda q: F.max(place(q) - F.floor(place(q)))
+    return wanted.groupBy(*by).agg(*((low(q) + share(q) * (high(q) - low(q))).alias(f"q{i}") for i, q in enumerate(quantiles)))
 
 
 def flip_summary(diagnostics: DataFrame) -> DataFrame:

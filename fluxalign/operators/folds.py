@@ -15,14 +15,25 @@ from ..functions.keyed import keyed_hash
 BUCKETS = 4096
 
 
-def rank_by_hash(df: DataFrame, group: list[str], h: Column, tie: str, name: str) -> DataFrame:
-    """row_number by (h, tie) within a group, without a group in one task."""
-    x = df.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / (1 << 32) * BUCKETS))
+def rank_in_buckets(df: DataFrame, group: list[str], value: Column, share: Column, tie: str, name: str, size: str | None = None) -> DataFrame:
+    """row_number by (value, tie) within a group, without a group in one task.
+
+    ``share``, 0 to 1 and rising with the value, deals a group's rows over BUCKETS. ``size`` names
+    a column for the number of rows of the group. Rows of equal value share a bucket.
+    """
+    bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+    x = df.withColumn("_h", value).withColumn("_b", bucket)
     sizes = x.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
-    offset = F.sum("_n").over(Window.partitionBy(*group).orderBy("_b")) - F.col("_n")
-    sizes = sizes.withColumn("_o", offset).drop("_n")
+    by = Window.partitionBy(*group)
+    sizes = sizes.withColumns({"_o": F.sum("_n").over(by.orderBy("_b")) - F.col("_n"), "_all": F.sum("_n").over(by)}).drop("_n")
     inside = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", tie))
-    return x.withColumn("_r", inside).join(sizes, [*group, "_b"]).withColumn(name, (F.col("_r") + F.col("_o")).cast("long")).drop("_h", "_b", "_r", "_o")
+    x = x.withColumn("_r", inside).join(sizes, [*group, "_b"]).withColumn(name, (F.col("_r") + F.col("_o")).cast("long"))
+    return (x if size is None else x.withColumn(size, F.col("_all"))).drop("_h", "_b", "_r", "_o", "_all")
+
+
+def rank_by_hash(df: DataFrame, group: list[str], h: Column, tie: str, name: str) -> DataFrame:
+    """row_number by (h, tie) within a group; h has 32 bits."""
+    return rank_in_buckets(df, group, h, h / (1 << 32), tie, name)
 
 
 def assign_folds(labels: DataFrame, seeds: list[int], n_folds: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-SEEDS, SAMPLES = [42, 52, 62], 100
+SEEDS, SAMPLES = [42, 52, 62], 2000
 VALUES_SEED = "(VALUES (42),(52),(62)) s(seed)"
 
 
@@ -133,9 +133,14 @@ def subsets(by: str, source: str) -> str:
 
 def drawn(clusters: str, group: str, seed: int, name: str) -> str:
     """Bootstrap draws: every cluster column of ``clusters`` for each replicate."""
-    return f"""{name}_placed AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY sentence_id) - 1 AS place, count(*) OVER (PARTITION BY {group}) AS nc FROM {clusters}),
-{name}_asked AS (SELECT {group}, b.replicate, {h(str(seed), *[g.strip() for g in group.split(',')], 'b.replicate', 'place')} % nc AS place FROM {name}_placed, (SELECT unnest(range(1, {SAMPLES + 1})) AS replicate) b),
-{name} AS (SELECT * FROM {name}_asked JOIN {name}_placed USING ({group}, place))"""
+    names = [g.strip() for g in group.split(",")]
+    p, a, b, c, d = 2147483647, 104729, 15485863, 48271, 40692
+    return f"""{name}_placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {h("'cluster'", 'sentence_id')}, sentence_id) - 1 AS place, count(*) OVER (PARTITION BY {group}) AS nc, {h(str(seed), *names)} AS g, dense_rank() OVER (ORDER BY {group}) AS gid FROM {clusters}),
+{name}_x1 AS (SELECT gid, nc, g, replicate, (g + replicate * {a} + place * {b}) % {p} AS x1 FROM {name}_placed, (SELECT unnest(range(1, {SAMPLES + 1})) AS replicate)),
+{name}_x2 AS (SELECT *, (x1 * x1 + g) % {p} AS x2 FROM {name}_x1),
+{name}_x3 AS (SELECT *, (x2 * x2 + x1 * {c}) % {p} AS x3 FROM {name}_x2),
+{name}_asked AS (SELECT gid, replicate, (x3 * 2147483648 + (x3 * x3 + x2 * {d} + replicate) % {p}) % nc AS place FROM {name}_x3),
+{name} AS (SELECT k.replicate, p.* FROM {name}_asked k JOIN {name}_placed p USING (gid, place))"""
 
 
 def accuracy_ci(source: str, group: str, seed: int) -> str:

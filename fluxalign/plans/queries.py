@@ -13,8 +13,7 @@ from ..sources import runs
 from . import views
 
 SEEDS = views.SEEDS
-#: Bootstrap replicates of the registered queries; the operators' own default is 2000.
-SAMPLES = 100
+SAMPLES = 2000
 #: Channels and reference channel of the feature view (64 positions: 16 families of 4 channels).
 N_CHANNELS, REFERENCE = 4, 3
 
