@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What is not part of a word, and how recordings are named.
+NO_WORD, RECORDING = "[^a-z0-9]+", r"results([A-Za-z0-9]+)_SR"
+
+
 def normalize_text(c: Column) -> Column:
     """Lower case, everything but a-z and 0-9 as single blanks, no blanks at the ends."""
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), NO_WORD, " "))
 
 
 def word_count(c: Column) -> Column:
@@ -19,6 +23,6 @@ def word_count(c: Column) -> Column:
 def subject_from_path(c: Column) -> Column:
     """Reader id of a recording's path: results<ID>_SR, else the base name without affixes."""
     base = F.regexp_extract(c, r"([^/]*)$", 1)
-    found = F.regexp_extract(base, r"results([A-Za-z0-9]+)_SR", 1)
+    found = F.regexp_extract(base, RECORDING, 1)
     plain = F.regexp_replace(F.regexp_replace(base, r"\.[^.]*$", ""), r"^results|_SR$", "")
     return F.when(found != "", found).otherwise(plain)

@@ -30,18 +30,17 @@ def resampled(clusters: DataFrame, cells: list[str], group: list[str], samples:
 
     ``clusters``: group, sentence_id, cells. Groups are few (one row each is numbered).
     """
-    groups = clusters.groupBy(*group).agg(F.count("*").alias("n_clusters"))
-    groups = groups.withColumns({"gid": F.row_number().over(Window.orderBy(*group)).cast("long"), "g": keyed_hash(seed, *map(F.col, group))})
-    groups = durable(groups)
-    placed = rank_by_hash(clusters, group, keyed_hash("cluster", F.col("sentence_id")), "sentence_id", "place").join(groups, group)
-    key = lambda place: F.col("gid") * (1 << 40) + place
-    placed = durable(placed.select("gid", "g", "n_clusters", (F.col("place") - 1).alias("place"), *cells))
-    asked = placed.select("gid", "g", "n_clusters", F.col("place").alias("j"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long"))).alias("replicate"))
-    asked = asked.select("gid", "replicate", key(keyed_draw(F.col("g"), F.col("replicate"), F.col("j"), F.col("n_clusters"))).alias("at"))
-    found = placed.select(key(F.col("place")).alias("at"), *cells)
+    groups = clusters.groupBy(*group).agg(F.count("*").alias("_n"))
+    groups = durable(groups.withColumns({"_gid": F.row_number().over(Window.orderBy(*group)).cast("long"), "_g": keyed_hash(seed, *map(F.col, group))}))
+    placed = rank_by_hash(clusters, group, keyed_hash("cluster", F.col("sentence_id")), "sentence_id", "_place").join(groups, group)
+    key = lambda place: F.col("_gid") * (1 << 40) + place
+    placed = durable(placed.select("_gid", "_g", "_n", (F.col("_place") - 1).alias("_place"), *cells))
+    asked = placed.select("_gid", "_g", "_n", "_place", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long"))).alias("replicate"))
+    asked = asked.select("_gid", "replicate", key(keyed_draw(F.col("_g"), F.col("replicate"), F.col("_place"), F.col("_n"))).alias("_at"))
+    found = placed.select(key(F.col("_place")).alias("_at"), *cells)
     found = F.broadcast(found) if placed.count() <= MOST_BROADCAST else found
-    sums = asked.join(found, "at").groupBy("gid", "replicate").agg(*(F.sum(c).alias(c) for c in cells))
-    return sums.join(F.broadcast(groups.select("gid", *group)), "gid").drop("gid")
+    sums = asked.join(found, "_at").groupBy("_gid", "replicate").agg(*(F.sum(c).alias(c) for c in cells))
+    return sums.join(F.broadcast(groups.select("_gid", *group)), "_gid").drop("_gid")
 
 
 def _interval(replicates: DataFrame, group: list[str], **values: Column) -> DataFrame:

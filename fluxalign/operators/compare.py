@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .align import require_none
+from .align import check_same_sentences, require_none
 from .bootstrap import accuracy_interval, comparison_intervals, paired_delta
 from .diagnostics import rank_quantiles, ranked
 from .metrics import classification_metrics, confusion_columns, macro_f1
@@ -65,7 +65,11 @@ def _per_seed(rows: DataFrame, group: list[str]) -> DataFrame:
         F.avg("d").alias("seed_delta_accuracy_mean"), F.min("d").alias("seed_delta_accuracy_min"), F.max("d").alias("seed_delta_accuracy_max"), F.count_if(F.col("d") > 0).alias("n_seeds_better"))
 
 
-def contribution_comparisons(diagnostics: DataFrame, samples: int = 2000, seed: int = 20260724) -> DataFrame:
+#: The seeds of the two comparisons.
+CONTRIBUTION_SEED, SUBSET_SEED = 20260724, 20260723
+
+
+def contribution_comparisons(diagnostics: DataFrame, samples: int = 2000, seed: int = CONTRIBUTION_SEED) -> DataFrame:
     """Each gated setup with and without its own contribution, by subset."""
     x = ranked(diagnostics, ["setup", "seed"]).withColumn("delta", F.col("correct_with_eeg") - F.col("correct_without_eeg"))
     group = ["setup", *SUBSET]
@@ -78,7 +82,7 @@ def contribution_comparisons(diagnostics: DataFrame, samples: int = 2000, seed:
     return out.withColumnsRenamed({"low": "delta_accuracy_ci95_low", "high": "delta_accuracy_ci95_high"})
 
 
-def subset_comparisons(paired: DataFrame, samples: int = 2000, seed: int = 20260723) -> DataFrame:
+def subset_comparisons(paired: DataFrame, samples: int = 2000, seed: int = SUBSET_SEED) -> DataFrame:
     """Aligned against each control by subset, with cluster bootstrap intervals."""
     group = ["text_mode", "control", *SUBSET]
     rows = subset_rows(paired, ["text_mode", "control"])
@@ -107,11 +111,16 @@ def stop_decision(comparisons: DataFrame, minimum_delta: float = 0.015) -> DataF
 def control_report(predictions: DataFrame, samples: int = 2000, seed: int = 42) -> DataFrame:
     """text_mode, control: means over seeds of macro-F1, paired difference, interval, agreement.
 
+    Compared runs must have the same sentences and targets.
+
     ``predictions``: text_mode, eeg_control, seed, sentence_id, target, prediction.
     """
     keys = ["text_mode", "seed", "sentence_id", "target"]
     aligned = predictions.where("eeg_control = 'aligned'").select(*keys, F.col("prediction").alias("pa"))
-    pair = predictions.where("eeg_control != 'aligned'").select(*keys, F.col("eeg_control").alias("control"), F.col("prediction").alias("pc")).join(aligned, keys)
+    others = predictions.where("eeg_control != 'aligned'").select(*keys, F.col("eeg_control").alias("control"), F.col("prediction").alias("pc"))
+    groups = others.select("text_mode", "seed", "control").distinct()
+    check_same_sentences(others, aligned.join(groups, ["text_mode", "seed"]), ["text_mode", "control", "seed"])
+    pair = others.join(aligned, keys)
     group = ["text_mode", "control", "seed"]
     delta = paired_delta(pair, group, samples, seed, "pa", "pc")
     f1 = lambda c, n: classification_metrics(pair.withColumn("prediction", F.col(c)), group).select(*group, F.col("macro_f1").alias(n))
@@ -128,9 +137,15 @@ def baseline_name(setup: Column) -> Column:
 
 
 def baseline_delta(candidates: DataFrame, baselines: DataFrame, samples: int = 2000, seed: int = 42) -> DataFrame:
-    """setup, baseline, n_seeds and means over matched seeds of the paired bootstrap."""
+    """setup, baseline, n_seeds and means over matched seeds of the paired bootstrap.
+
+    Matched runs must have the same sentences and targets.
+    """
     base = baselines.select(F.col("setup").alias("baseline"), "seed", "sentence_id", "target", F.col("prediction").alias("pb"))
-    pair = candidates.withColumn("baseline", baseline_name(F.col("setup"))).join(base, ["baseline", "seed", "sentence_id", "target"])
+    named = candidates.withColumn("baseline", baseline_name(F.col("setup")))
+    groups = named.select("setup", "baseline", "seed").distinct()
+    check_same_sentences(named, base.join(groups, ["baseline", "seed"]), ["setup", "baseline", "seed"])
+    pair = named.join(base, ["baseline", "seed", "sentence_id", "target"])
     each = paired_delta(pair, ["setup", "baseline", "seed"], samples, seed, "prediction", "pb")
     return each.groupBy("setup", "baseline").agg(F.count("*").alias("n_seeds"), F.avg("delta_macro_f1").alias("delta_macro_f1"), F.avg("low").alias("delta_ci95_low"), F.avg("high").alias("delta_ci95_high"))
 
@@ -152,10 +167,33 @@ def initialization_audit(fingerprints: DataFrame) -> DataFrame:
     return x.where("n_setups >= 2").select("text_mode", "seed", "fold", "n_setups", (F.col("n") == 1).alias("matched"))
 
 
+def verified_initializations(fingerprints: DataFrame) -> int:
+    """How many groups of gated setups started from the same parameters; raises if any did not."""
+    audit = initialization_audit(fingerprints)
+    require_none(audit.where("not matched"), "setups of one text mode, seed and fold start from different parameters")
+    return audit.count()
+
+
 def fingerprint(parameters: DataFrame, by: list[str], skip_prefix: str = "text_encoder.") -> DataFrame:
-    """by, sha256 over the ordered (name, kind, value) lines of parameters."""
-    line = F.concat_ws("|", "name", "kind", "value")
-    return parameters.where(~F.col("name").startswith(skip_prefix)).groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("task_sha256"))
+    """by, task_sha256 over name, kind, shape (strings) and value (binary) of the parameters, by name.
+
+    A group is one model's parameters; prefixes that differ on purpose are left out.
+    """
+    item = F.struct("name", F.concat(*(F.hex(F.encode(c, "utf-8")) for c in ("name", "kind", "shape")), F.hex("value")).alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["x"]), "")
+    return parameters.where(~F.col("name").startswith(skip_prefix)).groupBy(*by).agg(F.sha2(F.unhex(joined), 256).alias("task_sha256"))
+
+
+def score_chart(summary: DataFrame) -> DataFrame:
+    """setup, metric, bar, error: mean and deviation over seeds of accuracy and macro-F1."""
+    bars = F.array(*(F.struct(F.lit(m).alias("metric"), F.round(f"{m}_mean", 4).alias("bar"), F.round(F.greatest(F.lit(0.0), F.col(f"{m}_std")), 4).alias("error")) for m in ("accuracy", "macro_f1")))
+    return summary.select("setup", F.explode(bars).alias("x")).select("setup", "x.*")
+
+
+def flip_chart(flips: DataFrame) -> DataFrame:
+    """setup, kind, bar: favorable flips upward, unfavorable ones downward."""
+    bars = F.array(F.struct(F.lit("favorable").alias("kind"), F.col("favorable_flip_count").alias("bar")), F.struct(F.lit("unfavorable").alias("kind"), F.negative("unfavorable_flip_count").alias("bar")))
+    return flips.select("setup", F.explode(bars).alias("x")).select("setup", "x.*")
 
 
 def chart_rows(comparisons: DataFrame) -> DataFrame:

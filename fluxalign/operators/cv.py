@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
 from ..functions.vectors import argmax
+from ..sources.shared import durable
 from .controls import apply_control
 from .metrics import classification_metrics
 from .preprocess import fit, pooled, transform
@@ -45,7 +46,7 @@ def cross_validate(rows: DataFrame, setup: str, penalties: list[float], iteratio
     ``rows``: seed, fold, split, sentence_id, target, fused. The penalty with the best macro-F1
     on the validation split is kept (the first of equals), and the test split is read once.
     """
-    rows = rows.persist()
+    rows = durable(rows)
     out = []
     for key in rows.select("seed", "fold").distinct().orderBy("seed", "fold").toLocalIterator():
         part = rows.where((F.col("seed") == key.seed) & (F.col("fold") == key.fold))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import known
+from .align import require_none
 
 #: Fixed names of the statistics and frequency bands, in the order of the feature matrix.
 RAW_STATS = ["mean", "std", "var", "min", "max", "ptp", "median", "iqr", "skew", "kurtosis", "rms", "mav", "line_length", "zcr", "hjorth_mobility", "hjorth_complexity"]
@@ -22,7 +23,7 @@ KEYS = ["recording", "channel"]
 def signal_statistics(samples: DataFrame, line_length: str = "normalized") -> DataFrame:
     """recording, channel and the 16 statistics; undefined ones are null."""
     if line_length not in ("normalized", "sum"):
-        raise ValueError("line_length must be 'normalized' or 'sum'")
+        raise ValueError(f"no way {line_length!r} to measure a line")
     by = Window.partitionBy(*KEYS)
     ordered = by.orderBy("at")
     x = samples.withColumn("value", known(F.col("value")))
@@ -52,6 +53,17 @@ def channel_counts(samples: DataFrame) -> DataFrame:
     return samples.groupBy("recording").agg(F.countDistinct("channel").alias("n_channels"))
 
 
+def subject_layouts(samples: DataFrame) -> DataFrame:
+    """subject, n_channels of the subject's first recording; subjects without samples have no row."""
+    sizes = samples.groupBy("subject", "recording").agg(F.countDistinct("channel").alias("n"))
+    return sizes.groupBy("subject").agg(F.min_by("n", "recording").alias("n_channels"))
+
+
+def check_layouts(layouts: DataFrame) -> None:
+    """All subjects have the same number of channels."""
+    require_none(layouts.groupBy("n_channels").agg(F.min("subject").alias("subject")).withColumn("n", F.count("*").over(Window.partitionBy())).where("n > 1"), "channel layouts differ between subjects")
+
+
 def feature_names(n_channels: int, spark) -> DataFrame:
     """pos, family, channel, name: family by family, channels within."""
     families = [f"raw_{s}" for s in RAW_STATS] + [f"bandmean_{b}" for b in BANDS]
@@ -64,12 +76,15 @@ def feature_names(n_channels: int, spark) -> DataFrame:
 def feature_rows(stats: DataFrame, bands: DataFrame, channels: DataFrame) -> DataFrame:
     """recording, pos, name, value: statistics and band means in matrix order, null where missing.
 
-    Every recording has a row for every position, whichever blocks it lacks.
+    Every recording has a row for every position, whichever blocks it lacks. A block of the wrong
+    shape (raw statistics, or one band, not of exactly the channels there are) is null throughout.
     """
+    n = channels.count()
     raw = stats.select(*KEYS, F.explode(F.array(*(F.struct(F.lit(f"raw_{s}").alias("family"), F.col(s).cast("double").alias("value")) for s in RAW_STATS))).alias("x")).select(*KEYS, "x.*")
     band = bands.select(*KEYS, F.concat(F.lit("bandmean_"), F.col("band")).alias("family"), "value")
-    present = raw.unionByName(band).join(F.broadcast(channels), "channel").drop("channel")
-    n = channels.count()
+    numbered = lambda x: x.join(channels, "channel").drop("channel")
+    whole = lambda x, block: x.join(x.groupBy("recording", *block).agg(F.countDistinct("channel").alias("_n")).where(F.col("_n") == n).drop("_n"), ["recording", *block], "left_semi")
+    present = numbered(whole(raw, [])).unionByName(numbered(whole(band, ["family"])))
     dim = feature_names(n, stats.sparkSession)
     every = stats.select("recording").distinct().crossJoin(F.broadcast(dim))
     return every.join(present, (every.recording == present.recording) & (every.family == present.family) & (every.channel == present.number), "left").select(every.recording, "pos", "name", "value")

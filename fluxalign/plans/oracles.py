@@ -48,7 +48,7 @@ v_quota AS (SELECT seed, fold, sentiment_label, floor(exact) + CASE WHEN row_num
 v_split AS (SELECT sentence_id, sentiment_label, seed, fold, 'test' AS split FROM v_every WHERE own = fold UNION ALL
  SELECT e.sentence_id, e.sentiment_label, e.seed, e.fold, CASE WHEN e.rn <= q.quota THEN 'val' ELSE 'train' END FROM
  (SELECT *, row_number() OVER (PARTITION BY seed, fold, sentiment_label ORDER BY {h("'val'", 'seed', 'fold', 'sentence_id')}, sentence_id) AS rn FROM v_every WHERE own <> fold) e JOIN v_quota q USING (seed, fold, sentiment_label))"""
-FEATURE_SPLITS = f"{FEATURES}, {folds('v_flabels', '(VALUES (42)) s(seed)')}, {SPLITS}"
+FEATURE_SPLITS = f"{FEATURES}, {folds('v_flabels')}, {SPLITS}"
 PERMUTATION = f"""v_perm AS (SELECT a.seed, a.fold, a.split, a.sentence_id, b.sentence_id AS source_id FROM
  (SELECT *, row_number() OVER (PARTITION BY seed, fold, split ORDER BY {h("'to'", 'seed', 'fold', 'split', 'sentence_id')}, sentence_id) AS p FROM v_split) a JOIN
  (SELECT *, row_number() OVER (PARTITION BY seed, fold, split ORDER BY {h("'from'", 'seed', 'fold', 'split', 'sentence_id')}, sentence_id) AS p FROM v_split) b USING (seed, fold, split, p))"""
@@ -123,11 +123,13 @@ PAIRS = """v_pair0 AS (SELECT a.text_mode, c.eeg_control AS control, a.seed, a.s
 """ + quartile("text_mode, control, seed", "v_pair0", "v_pair")
 
 
-def subsets(by: str, source: str) -> str:
+def subsets(by: str, source: str, readers: bool = False) -> str:
     q = f"v_cut AS (SELECT {by}, seed, quantile_cont(text_path_confidence, 0.25) AS q25, quantile_cont(text_path_confidence, 0.5) AS q50 FROM {source} GROUP BY {by}, seed)"
     parts = [
         ("all", "'all'", "true", 1), ("text_difficulty", "'low_confidence_25'", "text_path_confidence <= q25", 1), ("text_difficulty", "'low_confidence_50'", "text_path_confidence <= q50", 1),
         ("text_difficulty", "'no_eeg_incorrect'", "correct_without_eeg = 0", 1), ("true_class", "class_name", "true", 0), ("sentence_length", "length_group", "true", 0), ("confidence_quartile", "confidence_quartile", "true", 0)]
+    if readers:
+        parts.append(("reader_count", "reader_count::VARCHAR", "true", 0))
     return q + f", v_in AS (SELECT x.*, q25, q50 FROM {source} x JOIN v_cut USING ({by}, seed)), v_sub AS (" + " UNION ALL ".join(f"SELECT *, '{t}' AS subset_type, {n} AS subset_name, {f} AS with_f1 FROM v_in WHERE {w}" for t, n, w, f in parts) + ")"
 
 
@@ -156,17 +158,19 @@ v_f1seen AS (SELECT {group}, {macro('x', present)} - {macro('y', present)} AS de
 
 
 G3, G4 = "setup, subset_type, subset_name", "text_mode, control, subset_type, subset_name"
-CONTRIBUTIONS = f"""{quartile('text_mode, eeg_control, seed', 'v_diag', 'v_dq')}, v_dd AS (SELECT *, correct_with_eeg - correct_without_eeg AS delta FROM v_dq), {subsets('setup', 'v_dd')}, {accuracy_ci('v_sub', G3, 20260724)},
+CONTRIBUTIONS = f"""{quartile('setup, seed', 'v_diag', 'v_dq')}, v_dd AS (SELECT *, correct_with_eeg - correct_without_eeg AS delta FROM v_dq), {subsets('setup', 'v_dd')}, {accuracy_ci('v_sub', G3, 20260724)},
 v_seed AS (SELECT {G3}, count_if(d > 0) AS n_seeds_modality_better FROM (SELECT {G3}, seed, avg(delta) AS d FROM v_sub GROUP BY ALL) GROUP BY {G3}),
 v_contrib AS (SELECT x.*, a.low AS delta_accuracy_ci95_low, a.high AS delta_accuracy_ci95_high, s.n_seeds_modality_better FROM
  (SELECT {G3}, any_value(text_mode) AS text_mode, any_value(eeg_control) AS eeg_control, count(DISTINCT sentence_id) AS n_sentences, count(*) AS n_seed_predictions, avg(correct_with_eeg) AS with_modality_accuracy, avg(correct_without_eeg) AS without_modality_accuracy,
  avg(delta) AS delta_accuracy, avg(prediction_changed) AS prediction_changed_rate, sum(favorable_flip) AS favorable_flip_count, sum(unfavorable_flip) AS unfavorable_flip_count FROM v_sub GROUP BY {G3}) x JOIN v_acc a USING ({G3}) JOIN v_seed s USING ({G3}))"""
-COMPARISONS = f"""{PAIRS}, {subsets('text_mode, control', 'v_pair')}, {accuracy_ci('v_sub', G4, 20260723)}, v_subf AS (SELECT * FROM v_sub WHERE with_f1 = 1), {f1_ci('v_subf', G4, 20260723, 'pa', 'pc', False)},
+COMPARISONS = f"""{PAIRS}, {subsets('text_mode, control', 'v_pair')}, """ + (COMPARED := f"""{accuracy_ci('v_sub', G4, 20260723)}, v_subf AS (SELECT * FROM v_sub WHERE with_f1 = 1), {f1_ci('v_subf', G4, 20260723, 'pa', 'pc', False)},
 v_seed AS (SELECT {G4}, avg(d) AS seed_delta_accuracy_mean, min(d) AS seed_delta_accuracy_min, max(d) AS seed_delta_accuracy_max, count_if(d > 0) AS n_seeds_aligned_better FROM (SELECT {G4}, seed, avg(delta) AS d FROM v_sub GROUP BY ALL) GROUP BY {G4}),
 v_cmp AS (SELECT x.* EXCLUDE ({', '.join(f'{p}{i}{j}' for p in 'xy' for i in range(3) for j in range(3))}), {macro('x')} AS aligned_macro_f1, {macro('y')} AS control_macro_f1, {macro('x')} - {macro('y')} AS delta_macro_f1, a.low AS delta_accuracy_ci95_low, a.high AS delta_accuracy_ci95_high,
  f.low AS delta_macro_f1_ci95_low, f.high AS delta_macro_f1_ci95_high, s.* EXCLUDE ({G4}) FROM
  (SELECT {G4}, count(DISTINCT sentence_id) AS n_sentences, count(*) AS n_seed_predictions, avg(ca) AS aligned_accuracy, avg(cc) AS control_accuracy, avg(delta) AS delta_accuracy, avg(prediction_agreement) AS prediction_agreement,
- {confusion('target', 'pa', 'x')}, {confusion('target', 'pc', 'y')} FROM v_sub GROUP BY {G4}) x JOIN v_acc a USING ({G4}) LEFT JOIN v_f1 f USING ({G4}) JOIN v_seed s USING ({G4}))"""
+ {confusion('target', 'pa', 'x')}, {confusion('target', 'pc', 'y')} FROM v_sub GROUP BY {G4}) x JOIN v_acc a USING ({G4}) LEFT JOIN v_f1 f USING ({G4}) JOIN v_seed s USING ({G4}))""")
+READERS = "v_rc AS (SELECT sentence_id, count(DISTINCT subject) AS reader_count FROM v_aligned GROUP BY 1)"
+READER_COMPARISONS = "v_diagr AS (SELECT d.*, r.reader_count FROM v_diag d JOIN v_rc r USING (sentence_id)), " + PAIRS.replace("a.length_group,", "a.length_group, a.reader_count,").replace("v_diag ", "v_diagr ") + f", {subsets('text_mode, control', 'v_pair', True)}, {COMPARED}"
 PRIORITY = "('low_confidence_25', 'low_confidence_50', 'no_eeg_incorrect')"
 DECISION = f"""SELECT *, (SELECT coalesce(bool_or(passed_all_controls), false) FROM v_dec) AS detected FROM v_dec"""
 V_DEC = f"v_dec AS (SELECT text_mode, subset_name, (list_sort(list_distinct(list(control))) = ['noise', 'shuffled', 'zero']) AND bool_and(delta_accuracy >= 0.015 AND delta_accuracy_ci95_low > 0 AND n_seeds_aligned_better >= 2) AS passed_all_controls FROM v_cmp WHERE subset_name IN {PRIORITY} GROUP BY ALL)"
@@ -249,7 +253,7 @@ SELECT section, text_mode, what, {r('value')} AS value FROM (SELECT 'all' AS sec
  SELECT 'priority', text_mode, control || '|' || subset_name, delta_accuracy FROM v_a WHERE subset_name IN {PRIORITY} UNION ALL
  SELECT 'contribution', text_mode, subset_name, delta_accuracy FROM v_b WHERE eeg_control = 'aligned' AND (subset_name = 'all' OR subset_name IN {PRIORITY}) UNION ALL
  SELECT 'flips', text_mode, setup, net_correct_change FROM v_flip WHERE eeg_control = 'aligned')"""
-    return {
+    out = {
         "labels_scan": f"WITH {LABELS} SELECT sentence_id, md5({NORM.format('sentence')}) AS norm_md5, {WORDS.format('sentence')} AS word_count, sentiment_label + 1 AS target, ['negative', 'neutral', 'positive'][sentiment_label + 2] AS class_name FROM v_labels",
         "label_lookup": f"WITH {LABELS} SELECT md5({NORM.format('sentence')}) AS norm_md5, max(sentence_id) AS sentence_id, arg_max(sentiment_label, sentence_id) AS sentiment_label FROM v_labels GROUP BY {NORM.format('sentence')}",
         "recording_match": f"WITH {LABELS}, k AS (SELECT {NORM.format('sentence')} AS t, max(sentence_id) AS sentence_id, arg_max(sentiment_label, sentence_id) AS sentiment_label FROM v_labels GROUP BY 1) SELECT d.doc_id AS recording, k.sentence_id, k.sentiment_label FROM documents d JOIN k ON {NORM.format('d.text')} = k.t",
@@ -257,12 +261,14 @@ SELECT section, text_mode, what, {r('value')} AS value FROM (SELECT 'all' AS sec
         "signal_statistics": f"WITH {STATS} SELECT recording, channel, {cols(*STAT_COLUMNS)} FROM v_stats",
         "line_length_sum": f"WITH {STATS} SELECT recording, channel, {r('line_sum')} AS line_length FROM v_stats",
         "channel_layout": "SELECT user_id AS recording, count(DISTINCT event_type) AS n_channels FROM events GROUP BY 1",
-        "feature_matrix": f"""WITH {STATS}, v_chan AS (SELECT channel, row_number() OVER (ORDER BY channel) - 1 AS number FROM (SELECT DISTINCT event_type AS channel FROM events)), v_val AS ({_MATRIX} UNION ALL {_BAND}),
+        "feature_matrix": f"""WITH {STATS}, v_chan AS (SELECT channel, row_number() OVER (ORDER BY channel) - 1 AS number FROM (SELECT DISTINCT event_type AS channel FROM events)), v_n AS (SELECT count(*) AS n FROM v_chan), v_all AS ({_MATRIX} UNION ALL {_BAND}),
+v_val AS (SELECT v.* FROM v_all v JOIN (SELECT recording, fam >= 16 AS band, CASE WHEN fam >= 16 THEN fam END AS b FROM v_all GROUP BY ALL HAVING count(DISTINCT channel) = (SELECT n FROM v_n)) w ON v.recording = w.recording AND (v.fam >= 16) = w.band AND (CASE WHEN v.fam >= 16 THEN v.fam END) IS NOT DISTINCT FROM w.b),
 v_dim AS (SELECT r.recording, (f.fam * c.n + k.number)::INT AS pos, {_NAMES}[f.fam + 1] || '_ch' || k.number AS name, f.fam, k.channel FROM (SELECT DISTINCT user_id AS recording FROM events) r, (SELECT unnest(range(24)) AS fam) f, v_chan k, (SELECT count(*) AS n FROM v_chan) c)
 SELECT d.recording, d.pos, d.name, {r('v.value')} AS value FROM v_dim d LEFT JOIN v_val v ON d.recording = v.recording AND d.fam = v.fam AND d.channel = v.channel""",
         "aligned_features": f"WITH {FEATURES}, {ALIGNED} SELECT sentence_id, subject, pos, {r('value')} AS value FROM v_aligned",
         "data_summary": f"""WITH {FEATURES}, {ALIGNED}, b AS (SELECT pos, count(value) AS seen FROM v_aligned GROUP BY pos), q AS (SELECT sentence_id, count(DISTINCT subject) AS c FROM v_aligned GROUP BY 1)
-SELECT (SELECT count(*) FROM b) AS n_features, (SELECT count(*) FROM b WHERE seen = 0) AS n_globally_all_missing_features, coalesce((SELECT string_agg(pos::VARCHAR, ',' ORDER BY pos) FROM b WHERE seen = 0), '') AS all_missing,
+SELECT (SELECT count(*) FROM b) AS n_features, (SELECT count(*) FROM b WHERE seen = 0) AS n_globally_all_missing_features, coalesce((SELECT string_agg('raw_' || {STAT_COLUMNS}[(pos // 3 + 1)::INT] || '_ch' || pos % 3, ',' ORDER BY pos) FROM b WHERE seen = 0), '') AS all_missing,
+ 16 AS n_dropped_reference_features, (SELECT string_agg('raw_' || {STAT_COLUMNS}[i::INT] || '_ch3', ',' ORDER BY i) FROM (SELECT unnest(range(1, 17)) AS i)) AS dropped_reference_features,
  sum(c) AS usable_subject_sentence_rows, min(c) AS subjects_per_sentence_min, max(c) AS subjects_per_sentence_max, round(avg(c), 6) AS subjects_per_sentence_mean, (SELECT count(*) FROM v_flabels) AS n_sentences,
  (SELECT count(*) FROM v_flabels WHERE sentiment_label = -1) AS negative, (SELECT count(*) FROM v_flabels WHERE sentiment_label = 0) AS neutral, (SELECT count(*) FROM v_flabels WHERE sentiment_label = 1) AS positive,
  (SELECT count(DISTINCT subject) FROM v_aligned) AS n_subjects, (SELECT count(*) FROM b) // 16 AS n_channels, 16 AS n_feature_families FROM q""",
@@ -297,8 +303,8 @@ ag AS (SELECT text_mode, control, seed, avg((pa = pc)::INT) AS agreement FROM v_
 SELECT text_mode, control, count(*) AS n_seeds, {r('avg(a.macro_f1)')} AS aligned_macro_f1_mean, {r('avg(c.macro_f1)')} AS control_macro_f1_mean, {r('avg(s.delta_macro_f1)')} AS delta_aligned_minus_control, {r('avg(f.low)')} AS delta_ci95_low, {r('avg(f.high)')} AS delta_ci95_high, {r('avg(agreement)')} AS prediction_agreement_mean
  FROM v_f1 f JOIN v_f1seen s USING (text_mode, control, seed) JOIN v_ma a USING (text_mode, control, seed) JOIN v_mc c USING (text_mode, control, seed) JOIN ag USING (text_mode, control, seed) GROUP BY text_mode, control""",
         "baseline_delta": f"WITH {BASE}, {bp}, {f1_ci('v_bpair', 'setup, baseline, seed', 42, 'pa', 'pb', True)} SELECT setup, baseline, count(*) AS n_seeds, {r('avg(delta_macro_f1)')} AS delta_macro_f1, {r('avg(low)')} AS delta_ci95_low, {r('avg(high)')} AS delta_ci95_high FROM v_f1 JOIN v_f1seen USING (setup, baseline, seed) GROUP BY setup, baseline",
-        "initialization_audit": f"WITH {BASE}, {BY_FOLD}, x AS (SELECT DISTINCT setup, text_mode, seed, fold, sha256('head.bias|float32|' || concat_ws('|', text_mode, seed, fold) || chr(10) || 'head.weight|float32|' || concat_ws('|', text_mode, seed, fold)) AS s FROM v_byfold) SELECT text_mode, seed, fold, count(DISTINCT setup) AS n_setups, count(DISTINCT s) = 1 AS matched FROM x GROUP BY ALL HAVING count(DISTINCT setup) >= 2",
-        "parameter_fingerprints": f"WITH {BASE}, {BY_FOLD} SELECT DISTINCT setup, seed, fold, sha256('a|float32|' || seed || '|' || fold || chr(10) || 'b|float32|' || seed || '|' || fold) AS task_sha256 FROM v_byfold",
+        "initialization_audit": f"WITH {BASE}, {BY_FOLD}, x AS (SELECT DISTINCT setup, text_mode, seed, fold, sha256('head.biasfloat32(3,)' || concat_ws('|', text_mode, seed, fold) || 'head.weightfloat32(3,)' || concat_ws('|', text_mode, seed, fold)) AS s FROM v_byfold) SELECT text_mode, seed, fold, count(DISTINCT setup) AS n_setups, count(DISTINCT s) = 1 AS matched FROM x GROUP BY ALL HAVING count(DISTINCT setup) >= 2",
+        "parameter_fingerprints": f"WITH {BASE}, {BY_FOLD} SELECT DISTINCT setup, seed, fold, sha256('afloat32(2, 2)' || seed || '|' || fold || 'bfloat32(2, 2)' || seed || '|' || fold) AS task_sha256 FROM v_byfold",
         "mean_confusion": f"WITH {BASE}, {metrics('setup, seed')}, x AS ({' UNION ALL '.join(f'SELECT setup, {i} AS true, {j} AS predicted, avg(c{i}{j}) AS mean_count FROM v_metrics GROUP BY setup' for i in range(3) for j in range(3))}) SELECT setup, x.true, predicted, {r('mean_count')} AS mean_count, {r('mean_count / greatest(sum(mean_count) OVER (PARTITION BY setup, x.true), 1.0)')} AS share FROM x".replace(" AS true,", ' AS "true",').replace("x.true", 'x."true"'),
         "best_epochs": best,
         "run_completeness": f"WITH {BASE} SELECT text_mode, count(*) AS n_setups, count(DISTINCT seeds) = 1 AS matched FROM (SELECT text_mode, setup, string_agg(DISTINCT seed::VARCHAR, ',' ORDER BY seed::VARCHAR) AS seeds FROM v_pred GROUP BY ALL) GROUP BY text_mode",
@@ -306,4 +312,15 @@ SELECT text_mode, control, count(*) AS n_seeds, {r('avg(a.macro_f1)')} AS aligne
         "run_manifest": f"WITH {BASE} SELECT 5 AS n_folds, (SELECT string_agg(setup, ',' ORDER BY setup) FROM (SELECT DISTINCT setup FROM v_pred)) AS setups, (SELECT string_agg(seed::VARCHAR, ',' ORDER BY seed) FROM (SELECT DISTINCT seed FROM v_pred)) AS seeds",
         "extraction_manifest": f"WITH {FEATURES} SELECT count(*) AS n_subjects, (SELECT count(DISTINCT pos) FROM v_features) AS n_features, 'normalized' AS line_length, string_agg(subject || ':' || n, ',' ORDER BY subject) AS subjects FROM (SELECT subject, count(DISTINCT sentence_id) AS n FROM v_features GROUP BY 1)",
         "gated_scoring": _gated(),
+        "metadata_with_readers": f"WITH {LABELS}, {META}, {FEATURES}, {ALIGNED}, {READERS} SELECT v_meta.*, reader_count FROM v_meta JOIN v_rc USING (sentence_id)",
+        "subject_layouts": "SELECT recording % 7 AS subject, arg_min(n, recording) AS n_channels FROM (SELECT user_id AS recording, count(DISTINCT event_type) AS n FROM events GROUP BY 1) GROUP BY 1",
+        "subject_ids": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND NOT regexp_full_match(source, '[A-Za-z0-9]+') THEN source WHEN doc_id % 3 = 0 THEN source ELSE regexp_replace(source, '[^A-Za-z0-9]', '', 'g') || doc_id END AS subject FROM documents",
+        "run_tags": "SELECT event_id, strftime(ts, 'run_%Y%m%d_%H%M%S') AS tag FROM events",
+        "labels_from_csv": f"WITH {LABELS} SELECT sentence_id, md5({NORM.format('sentence')}) AS norm_md5, sentiment_label FROM v_labels",
+        "features_from_cache": f"WITH {FEATURES} SELECT sentence_id, subject, pos, {r('value')} AS value FROM v_features",
+        "reader_subsets": f"WITH {DIAGNOSTICS}, {FEATURES}, {ALIGNED}, {READERS}, {READER_COMPARISONS} {star('v_cmp', cmp_cols)} WHERE subset_type = 'reader_count'",
+        "score_chart": f"WITH {BASE}, {metrics('setup, seed')}, x AS (SELECT setup, avg(accuracy) AS am, stddev_pop(accuracy) AS asd, avg(macro_f1) AS fm, stddev_pop(macro_f1) AS fsd FROM v_metrics GROUP BY setup) SELECT setup, 'accuracy' AS metric, round(am, 4) AS bar, round(asd, 4) AS error FROM x UNION ALL SELECT setup, 'macro_f1', round(fm, 4), round(fsd, 4) FROM x",
+        "flip_chart": f"WITH {DIAGNOSTICS}, {flips} SELECT setup, 'favorable' AS kind, favorable_flip_count AS bar FROM v_flip UNION ALL SELECT setup, 'unfavorable', -unfavorable_flip_count FROM v_flip",
+        "predictions_from_files": f"WITH {BASE}, {BY_FOLD}, {metrics('setup, seed')}, {metrics('setup, seed, fold', 'v_byfold', 'v_mf')}, x AS (SELECT setup, seed, count(*) AS n_folds, avg(accuracy) AS fold_accuracy_mean FROM v_mf GROUP BY ALL) SELECT setup, seed, n, {r('macro_f1')} AS macro_f1, n_folds, {r('fold_accuracy_mean')} AS fold_accuracy_mean FROM v_metrics JOIN x USING (setup, seed)",
     }
+    return out | {f"{name}_from_files": out[name] for name in ("seed_summary", "setup_diagnostics", "mean_confusion")}

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keyed import uniform
-from ..functions.text import normalize_text, word_count
+from ..functions.text import normalize_text, subject_from_path, word_count
 from ..functions.vectors import argmax, class_name
 from ..operators import align, compare, controls, cv, diagnostics, folds, metrics, preprocess, scoring, signal_features
-from ..sources import runs
+from ..sources import runs, tables
+from ..sources.shared import durable, shared_folder
+from . import runs as whole_runs
 from . import views
 
 SEEDS = views.SEEDS
@@ -81,7 +85,7 @@ def _aligned(spark, sf):
     """The feature view twice, an older and a newer cache; the newer rows stay."""
     x = views.features(spark, sf)
     both = x.withColumns({"value": F.col("value") - 1, "cache_row": F.lit(0)}).unionByName(x.withColumn("cache_row", F.lit(1)))
-    return align.align_features(both, views.feature_labels(spark, sf), N_CHANNELS, REFERENCE, "cache_row")
+    return whole_runs.alignment(both, views.feature_labels(spark, sf), N_CHANNELS, REFERENCE, "cache_row")
 
 
 @query
@@ -91,7 +95,9 @@ def aligned_features(spark, sf):
 
 @query
 def data_summary(spark, sf):
-    return align.data_summary(_aligned(spark, sf), views.feature_labels(spark, sf), 16)
+    names = signal_features.feature_names(N_CHANNELS - 1, spark).where("pos < 48")  # the reference is the last channel
+    dropped = signal_features.feature_names(N_CHANNELS, spark).where((F.col("pos") < 64) & (F.col("channel") == REFERENCE))
+    return align.data_summary(_aligned(spark, sf), views.feature_labels(spark, sf), 16, names, dropped)
 
 
 @query
@@ -99,6 +105,53 @@ def reader_counts(spark, sf):
     return align.reader_counts(_aligned(spark, sf))
 
 
+@query
+def metadata_with_readers(spark, sf):
+    """The labelled sentences that have aligned recordings."""
+    return align.sentence_metadata(views.labels(spark, sf), align.reader_counts(_aligned(spark, sf)))
+
+
+@query
+def subject_layouts(spark, sf):
+    x = views.samples(spark, sf).withColumn("subject", F.col("recording") % 7)
+    layouts = signal_features.subject_layouts(x)
+    signal_features.check_layouts(layouts)
+    return layouts
+
+
+@query
+def subject_ids(spark, sf):
+    """Subjects of invented paths, every third one named in another way."""
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/d/results"), "source", F.lit("_SR.mat"))).otherwise(F.concat(F.lit("/d/results"), F.regexp_replace("source", "[^A-Za-z0-9]", ""), "doc_id", F.lit("_SR.x.mat")))
+    return views.table(spark, sf, "documents").select("doc_id", subject_from_path(name).alias("subject"))
+
+
+@query
+def run_tags(spark, sf):
+    return views.table(spark, sf, "events").select("event_id", runs.run_tag(F.col("ts")).alias("tag"))
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query
+def labels_from_csv(spark, sf):
+    """The labels written as CSV and read by the labels source."""
+    path = _folder(spark)
+    views.labels(spark, sf).write.option("header", True).option("escape", '"').csv(path)
+    x = tables.read_labels(spark, path)
+    return x.select("sentence_id", F.md5(normalize_text(F.col("sentence"))).alias("norm_md5"), "sentiment_label")
+
+
+@query
+def features_from_cache(spark, sf):
+    """The features written as a cache of subjects and read back."""
+    path = _folder(spark)
+    tables.write_features(views.features(spark, sf), path)
+    return rounded(tables.read_features(spark, path, 64).select("sentence_id", F.col("subject").cast("long").alias("subject"), "pos", "value"))
+
+
 @query
 def setup_grid(spark, sf):
     """Setups parsed, crossed with the seeds and folds that the label table has."""
@@ -119,7 +172,7 @@ def split_assignment(spark, sf):
 
 
 def _splits(spark, sf):
-    return folds.assign_splits(folds.assign_folds(views.feature_labels(spark, sf), [42]))
+    return folds.assign_splits(folds.assign_folds(views.feature_labels(spark, sf), SEEDS))
 
 
 @query
@@ -220,7 +273,9 @@ def confidence_quartiles(spark, sf):
 
 @query
 def paired_predictions(spark, sf):
-    return compare.paired_frame(_diagnostics(spark, sf)).select("text_mode", "control", "seed", "sentence_id", "target", "prediction_with_eeg_aligned", "prediction_with_eeg_control", "delta", "prediction_agreement", "confidence_quartile")
+    d = _diagnostics(spark, sf)
+    compare.check_pairs(d)
+    return compare.paired_frame(d).select("text_mode", "control", "seed", "sentence_id", "target", "prediction_with_eeg_aligned", "prediction_with_eeg_control", "delta", "prediction_agreement", "confidence_quartile")
 
 
 @query
@@ -237,6 +292,14 @@ def subset_comparisons(spark, sf):
     return rounded(_comparisons(spark, sf))
 
 
+@query
+def reader_subsets(spark, sf):
+    """Comparisons by number of readers, for the sentences with recordings."""
+    metadata = align.sentence_metadata(views.labels(spark, sf), align.reader_counts(_aligned(spark, sf)))
+    paired = compare.paired_frame(diagnostics.sentence_diagnostics(views.predictions(spark, sf), metadata))
+    return rounded(compare.subset_comparisons(paired, SAMPLES).where("subset_type = 'reader_count'"))
+
+
 @query
 def stop_decision(spark, sf):
     return compare.stop_decision(_comparisons(spark, sf))
@@ -268,14 +331,17 @@ def initialization_audit(spark, sf):
     """Fingerprints of parameter tables that depend on text mode, seed and fold only."""
     runs_ = _by_fold(spark, sf).select("setup", "text_mode", "seed", "fold").distinct()
     p = runs_.select("*", F.explode(F.array(F.lit("head.weight"), F.lit("head.bias"), F.lit("text_encoder.weight"))).alias("name"))
-    p = p.withColumns({"kind": F.lit("float32"), "value": F.when(F.col("name").startswith("text_encoder"), F.col("setup")).otherwise(F.concat_ws("|", "text_mode", "seed", "fold"))})
-    return compare.initialization_audit(compare.fingerprint(p, ["setup", "text_mode", "seed", "fold"]))
+    value = F.when(F.col("name").startswith("text_encoder"), F.col("setup")).otherwise(F.concat_ws("|", "text_mode", "seed", "fold"))
+    p = p.withColumns({"kind": F.lit("float32"), "shape": F.lit("(3,)"), "value": value.cast("binary")})
+    prints = compare.fingerprint(p, ["setup", "text_mode", "seed", "fold"])
+    compare.verified_initializations(prints)
+    return compare.initialization_audit(prints)
 
 
 @query
 def parameter_fingerprints(spark, sf):
     runs_ = _by_fold(spark, sf).select("setup", "seed", "fold").distinct()
-    p = runs_.select("*", F.explode(F.array(F.lit("b"), F.lit("a"))).alias("name")).withColumns({"kind": F.lit("float32"), "value": F.concat_ws("|", "seed", "fold")})
+    p = runs_.select("*", F.explode(F.array(F.lit("b"), F.lit("a"))).alias("name")).withColumns({"kind": F.lit("float32"), "shape": F.lit("(2, 2)"), "value": F.concat_ws("|", "seed", "fold").cast("binary")})
     return compare.fingerprint(p, ["setup", "seed", "fold"])
 
 
@@ -284,6 +350,63 @@ def mean_confusion(spark, sf):
     return rounded(metrics.mean_confusion(metrics.classification_metrics(_scored(spark, sf), ["setup", "seed"])))
 
 
+def _documents(spark, sf):
+    """The run's result documents, written with its predictions and read back."""
+    at = ["setup", "seed", "fold"]
+    scored = views.predictions(spark, sf).withColumn("prediction", argmax(F.col("logits_with_eeg")))
+    by_fold = durable(_by_fold(spark, sf))
+    epochs = by_fold.select(*at).distinct().select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("epoch"))
+    u = lambda name: uniform(name, *(F.col(c) for c in (*at, "epoch"))).alias(name)
+    histories = epochs.select(*at, "epoch", *map(u, ("train_loss", "val_loss", "val_accuracy", "val_macro_f1")))
+    prints = by_fold.select(*at, F.md5(F.concat_ws("|", "text_mode", "seed", "fold")).alias("task_sha256")).distinct()
+    splits = folds.assign_splits(folds.assign_folds(views.labels(spark, sf), SEEDS)).groupBy("seed", "fold").agg(*(F.count_if(F.col("split") == s).cast("int").alias(f"n_{s}") for s in ("train", "val", "test")))
+    sizes = by_fold.select(*at).distinct().join(splits, ["seed", "fold"]).withColumn("n_all_missing_train_features", F.lit(0))
+    fold_metrics = metrics.classification_metrics(by_fold, at)
+    folded = runs.fold_documents(fold_metrics, metrics.mean_log_loss(by_fold, at, "logits_with_eeg"), histories, _gates(spark, sf), _fold_diagnostics(spark, sf), prints, sizes)
+    setups = folds.parse_setups(spark.createDataFrame([(s,) for s in folds.SETUPS], "setup string"))
+    documents = runs.result_documents(metrics.classification_metrics(scored, ["setup", "seed"]), folded, metrics.fold_summary(fold_metrics), setups, "multinomial logistic regression")
+    path = _folder(spark)
+    runs.write_results(documents, scored, path)
+    return runs.read_results(spark, path), runs.read_predictions(spark, path)
+
+
+@query
+def seed_summary_from_files(spark, sf):
+    documents, _ = _documents(spark, sf)
+    return rounded(compare.seed_summary(runs.metric_rows(documents), runs.gate_rows(documents)))
+
+
+@query
+def setup_diagnostics_from_files(spark, sf):
+    documents, _ = _documents(spark, sf)
+    return rounded(diagnostics.setup_diagnostics(runs.diagnostic_rows(documents), runs.gate_rows(documents)))
+
+
+@query
+def mean_confusion_from_files(spark, sf):
+    documents, predictions = _documents(spark, sf)
+    compare.verified_initializations(runs.fingerprint_rows(documents))
+    align.check_complete(views.labels(spark, sf), predictions)
+    return rounded(metrics.mean_confusion(runs.metric_rows(documents)))
+
+
+@query
+def predictions_from_files(spark, sf):
+    documents, predictions = _documents(spark, sf)
+    runs.check_controls(documents, predictions.select("setup").distinct())
+    return rounded(metrics.classification_metrics(predictions, ["setup", "seed"]).join(documents.select("setup", "seed", "n_folds", "fold_accuracy_mean"), ["setup", "seed"]).select("setup", "seed", "n", "macro_f1", "n_folds", "fold_accuracy_mean"))
+
+
+@query
+def score_chart(spark, sf):
+    return compare.score_chart(compare.seed_summary(metrics.classification_metrics(_scored(spark, sf), ["setup", "seed"]), _gates(spark, sf)))
+
+
+@query
+def flip_chart(spark, sf):
+    return compare.flip_chart(diagnostics.flip_summary(_diagnostics(spark, sf)))
+
+
 @query
 def best_epochs(spark, sf):
     """Histories of macro-F1 over 12 epochs for each setup, seed and fold with predictions."""
@@ -303,7 +426,7 @@ def pending_runs(spark, sf):
     """The grid without what the run has: the setups that are not controlled ones."""
     names = spark.createDataFrame([(s,) for s in folds.SETUPS], "setup string")
     grid = folds.experiment_grid(names, SEEDS).select("setup", "seed").distinct()
-    return grid.join(views.predictions(spark, sf).select("setup", "seed").distinct(), ["setup", "seed"], "left_anti")
+    return tables.pending(grid, views.predictions(spark, sf), ["setup", "seed"])
 
 
 @query
@@ -349,10 +472,10 @@ def gated_scoring(spark, sf):
 
 @query
 def cross_validated(spark, sf):
-    """Out-of-fold predictions of text and signal together, one seed, two penalties."""
+    """Out-of-fold predictions of text and signal together, two penalties."""
     sentences = views.table(spark, sf, "documents").select(F.col("doc_id").alias("sentence_id"), F.col("text").alias("sentence"))
     labels = views.feature_labels(spark, sf).join(sentences, "sentence_id")
-    splits = folds.assign_splits(folds.assign_folds(labels.select("sentence_id", "sentiment_label"), [42]))
+    splits = folds.assign_splits(folds.assign_folds(labels.select("sentence_id", "sentiment_label"), SEEDS))
     signal = cv.signal_block(views.features(spark, sf), splits, "aligned")
     rows = splits.withColumn("target", align.class_target(F.col("sentiment_label"))).drop("sentiment_label").join(labels.select("sentence_id", "sentence"), "sentence_id")
     out = cv.cross_validate(cv.fused_vectors(rows, signal, "concat"), "concat_frozen", [0.01, 0.1])

@@ -1,40 +1,74 @@
-"""Whole runs: extraction, cross-validated experiments, report and closeout."""
+"""Whole runs: extraction, alignment, cross-validated experiments, report and closeout.
+
+Every run checks its data before it computes: what breaks a rule raises ``align.DataError``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 from ..operators import align, compare, cv, diagnostics, folds, signal_features
+from ..sources import runs
+from ..sources.shared import durable
 
 
 def extraction(samples: DataFrame, bands: DataFrame, recordings: DataFrame, labels: DataFrame, line_length: str = "normalized") -> DataFrame:
-    """Feature rows of the recordings that match a label: sentence_id, label, pos, name, value.
+    """Feature rows of the recordings that match a label: recording, sentence_id, label, pos, name, value.
 
-    Recordings are matched before any statistic is computed, and rows without a value go.
+    Recordings are matched before any statistic is computed, and rows without a value go. Where
+    samples have a subject, all subjects must have the same channels. Values are single precision,
+    as the cache holds them.
     """
+    if "subject" in samples.columns:
+        signal_features.check_layouts(signal_features.subject_layouts(samples))
     matched = align.match_recordings(recordings, align.label_lookup(labels))
     used = samples.join(matched.select("recording"), "recording", "left_semi")
     channels = signal_features.channel_index(samples)
     rows = signal_features.feature_rows(signal_features.signal_statistics(used, line_length), bands, channels)
+    rows = rows.withColumn("value", rows.value.cast("float"))
     usable = rows.where("value is not null").select("recording").distinct()
     return rows.join(usable, "recording", "left_semi").join(matched, "recording")
 
 
+def alignment(features: DataFrame, labels: DataFrame, n_channels: int, reference: int, order: str | None = None, cached_labels: DataFrame | None = None) -> DataFrame:
+    """Aligned features: the reference channel is whole or absent, every sentence has a recording,
+    and cached labels are those of the label table."""
+    align.check_reference(features, n_channels, reference)
+    aligned = align.align_features(features, labels, n_channels, reference, order)
+    align.check_alignment(aligned, labels, cached_labels)
+    return aligned
+
+
 def experiment(features: DataFrame, labels: DataFrame, setup: str, control: str, seeds: list[int], penalties: list[float], n_folds: int = 5) -> DataFrame:
-    """Out-of-fold predictions of one setup; control first, then preprocessing fitted on train."""
+    """Out-of-fold predictions of one setup; control first, then preprocessing fitted on train.
+
+    Every labelled sentence must end with a prediction for every seed.
+    """
     splits = folds.assign_splits(folds.assign_folds(labels, seeds, n_folds), n_folds)
     fusion = "eeg" if setup == "eeg_only" else setup.split("_")[0]
     signal = None if fusion == "text" else cv.signal_block(features, splits, control)
     rows = splits.join(labels.select("sentence_id", "sentence"), "sentence_id").withColumn("target", align.class_target(splits.sentiment_label)).drop("sentiment_label")
-    return cv.cross_validate(cv.fused_vectors(rows, signal, fusion), setup, penalties)
+    out = durable(cv.cross_validate(cv.fused_vectors(rows, signal, fusion), setup, penalties))
+    align.check_complete(labels, out)
+    return out
 
 
 def closeout(predictions: DataFrame, metadata: DataFrame, samples: int = 2000, minimum_delta: float = 0.015) -> dict[str, DataFrame]:
-    """All tables of the post-hoc analysis; the diagnostics are kept, for they feed them all."""
-    frame = diagnostics.sentence_diagnostics(predictions, metadata).persist()
+    """All tables of the post-hoc analysis.
+
+    All controlled setups must be there with the same seeds, predictions must fit labels and
+    logits, and pairs must be complete. The diagnostics feed all tables, so they are written once.
+    """
+    spark = predictions.sparkSession
+    gated = spark.createDataFrame([(s,) for s in folds.SETUPS if s.startswith("gated_")], "setup string")
+    runs.check_controls(predictions.select("setup", "text_mode", "seed").distinct(), gated)
+    diagnostics.check_predictions(predictions, metadata)
+    frame = durable(diagnostics.sentence_diagnostics(predictions, metadata))
+    compare.check_pairs(frame)
     paired = compare.paired_frame(frame)
-    comparisons = compare.subset_comparisons(paired, samples)
+    comparisons = durable(compare.subset_comparisons(paired, samples))
+    contributions, flips = compare.contribution_comparisons(frame, samples), diagnostics.flip_summary(frame)
     return {
-        "sentence_diagnostics": frame, "paired_predictions": paired, "prediction_flips": diagnostics.flip_summary(frame),
-        "modality_contribution_subsets": compare.contribution_comparisons(frame, samples), "subset_control_comparisons": comparisons,
-        "decision": compare.stop_decision(comparisons, minimum_delta)}
+        "sentence_diagnostics": frame, "paired_predictions": paired.drop("_rank", "_n"), "prediction_flips": flips,
+        "modality_contribution_subsets": contributions, "subset_control_comparisons": comparisons,
+        "decision": compare.stop_decision(comparisons, minimum_delta), "findings": compare.findings(comparisons, contributions, flips)}

@@ -16,9 +16,9 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     missing = {"sentence_id", "sentence", "sentiment_label"} - set(header.columns)
     if missing:
-        raise DataError(f"label file is missing columns: {sorted(missing)}")
+        raise DataError(f"no column {', '.join(sorted(missing))} among the labels")
     rows = header.select(F.col("sentence_id").cast("double").cast("bigint").alias("sentence_id"), "sentence", F.col("sentiment_label").cast("double").cast("int").alias("sentiment_label")).dropna()
-    require_none(rows.groupBy("sentence_id").count().where("count > 1"), "sentence_id must be unique")
+    require_none(rows.groupBy("sentence_id").count().where("count > 1"), "several labels for one sentence")
     return rows.orderBy("sentence_id")
 
 
@@ -45,8 +45,8 @@ def pending(requested: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
     return requested.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def write_report(df: DataFrame, path: str, kinds: tuple[str, ...] = ("csv", "json")) -> None:
-    """A report table in several formats, each in a folder of its own; rows in key order."""
+def write_report(df: DataFrame, path: str, keys: list[str], kinds: tuple[str, ...] = ("csv", "json")) -> None:
+    """A report table in several formats, each in a folder of its own; files and rows in key order."""
     for kind in kinds:
-        writer = df.coalesce(1).write.mode("overwrite")
+        writer = df.orderBy(*keys).write.mode("overwrite")
         writer.option("header", True).csv(f"{path}/csv") if kind == "csv" else writer.format(kind).save(f"{path}/{kind}")

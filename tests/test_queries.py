@@ -32,7 +32,7 @@ def duck():
 
 
 #: Those that compute comparisons anew from others that are compared here.
-SLOW = {"cross_validated", "chart_rows", "report_findings"}
+SLOW = {"cross_validated", "chart_rows", "report_findings", "stop_decision", "reader_subsets", "setup_diagnostics_from_files", "predictions_from_files"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))

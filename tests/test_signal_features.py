@@ -1,6 +1,7 @@
 import pytest
 
 from fluxalign.operators import signal_features as sf
+from fluxalign.operators.align import DataError
 
 
 def signal(spark, **series):
@@ -47,9 +48,28 @@ def test_feature_names_are_family_major(spark):
 
 def test_every_recording_has_every_feature(spark):
     x = signal(spark, a=[1.0, 2.0], b=[3.0, 4.0])
-    bands = spark.createDataFrame([(1, "a", "t1", 9.0)], "recording long, channel string, band string, value double")
+    bands = spark.createDataFrame([(1, c, "t1", v) for c, v in (("a", 9.0), ("b", 8.0))], "recording long, channel string, band string, value double")
     rows = {r.name: r.value for r in sf.feature_rows(sf.signal_statistics(x), bands, sf.channel_index(x)).collect()}
-    assert len(rows) == 48 and rows["bandmean_t1_ch0"] == 9.0 and rows["bandmean_t1_ch1"] is None and rows["raw_mean_ch1"] == 3.5
+    assert len(rows) == 48 and rows["bandmean_t1_ch0"] == 9.0 and rows["bandmean_t1_ch1"] == 8.0 and rows["raw_mean_ch1"] == 3.5 and rows["bandmean_t2_ch0"] is None
+
+
+def test_blocks_of_the_wrong_shape_are_missing(spark):
+    """Recording 2 has one of two channels; band t1 of recording 1 too: those blocks are null."""
+    rows = [(1, "a", 0, 1.0), (1, "b", 0, 2.0), (2, "a", 0, 3.0)]
+    x = spark.createDataFrame(rows, "recording long, channel string, at int, value double")
+    bands = spark.createDataFrame([(1, "a", "t1", 9.0), (2, "a", "t2", 7.0), (2, "b", "t2", 6.0)], "recording long, channel string, band string, value double")
+    got = {(r.recording, r.name): r.value for r in sf.feature_rows(sf.signal_statistics(x), bands, sf.channel_index(x)).collect()}
+    assert len(got) == 96 and got[1, "raw_mean_ch1"] == 2.0 and got[1, "bandmean_t1_ch0"] is None
+    assert all(v is None for (i, n), v in got.items() if i == 2 and n.startswith("raw_")) and got[2, "bandmean_t2_ch1"] == 6.0
+
+
+def test_layouts_follow_first_recordings_and_must_agree(spark):
+    rows = [("A", 1, "a"), ("A", 1, "b"), ("A", 2, "a"), ("B", 3, "a"), ("B", 3, "b")]
+    layouts = sf.subject_layouts(spark.createDataFrame(rows, "subject string, recording long, channel string"))
+    assert sorted(map(tuple, layouts.collect())) == [("A", 2), ("B", 2)]
+    sf.check_layouts(layouts)
+    with pytest.raises(DataError, match="layouts differ"):
+        sf.check_layouts(layouts.union(spark.createDataFrame([("C", 3)], "subject string, n long")))
 
 
 def test_empty_samples(spark):
