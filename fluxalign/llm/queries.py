@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import chat_digest
 from .common import table
 from .decontamination import decontaminate
 from .jaccard_join import jaccard_components
+from .oracles import SQL, TOKENIZERS
 from .piece_encoding import encode_pieces
 from .quality_rules import quality
 from .secrets_scan import scan
@@ -18,9 +17,6 @@ from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .toxicity import score, train
 
-#: Folder of the public vocabulary files; the same on all machines of a cluster.
-TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
-
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
@@ -72,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
