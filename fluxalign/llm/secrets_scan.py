@@ -140,7 +140,8 @@ def redact(docs: DataFrame, owner: Column | None = None, repository: Column | No
         lambda done, x: F.when((F.size(done) > 0) & (x["s"] < F.element_at(done, -1)["e"]), F.concat(
             F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["s"].alias("s"), F.greatest(F.element_at(done, -1)["e"], x["e"]).alias("e"))),
         )).otherwise(F.concat(done, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))))
-    clean = F.aggregate(F.reverse("merged"), F.col("text"), lambda t, x: F.concat(F.substring(t, F.lit(1), x["s"]), F.lit(mark), F.substring(t, x["e"] + 1, F.length(t))))
-    keyed = docs.withColumns({"_pk": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_th": text_hash(F.col("text").cast("string"))})
-    out = keyed.join(live.withColumn("merged", merged).select(F.col("pk").alias("_pk"), F.col("th").alias("_th"), "merged"), ["_pk", "_th"], "left")
-    return out.withColumn("text", F.when(F.col("merged").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate(F.reverse("merged"), F.col("row.text").cast("string"), lambda t, x: F.concat(F.substring(t, F.lit(1), x["s"]), F.lit(mark), F.substring(t, x["e"] + 1, F.length(t))))
+    # A row stays one struct, so that its columns may have any names.
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("pk"), text_hash(F.col("text").cast("string")).alias("th"))
+    out = keyed.join(live.withColumn("merged", merged).select("pk", "th", "merged"), ["pk", "th"], "left")
+    return out.select(F.col("row").withField("text", F.when(F.col("merged").isNull(), F.col("row.text")).otherwise(clean)).alias("row")).select("row.*")
