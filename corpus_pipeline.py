@@ -4,8 +4,11 @@ toxicity (documents predicted toxic go), n-gram Jaccard join (the document with
 each group of near duplicates stays; sets of five-word shingles, linked from a similarity of 0.8), benchmark decontamination (documents that hold a benchmark
 window go), secret scans (spans that look live are replaced), SentencePiece encoding (adds ids).
 
-Rows with a null or repeated doc_id: those with the same text are one document in the second
-stage, which keeps one row of it; those with different texts are judged each for itself.
+Defined cases, for every stage: nulls stay nulls, and a null text is judged as an empty one (not
+toxic, no duplicate of another text, without benchmark words or secrets, no ids); very long texts
+are read whole; an empty table gives an empty one; columns beyond those of documents are
+dropped. Rows with a null or repeated doc_id: those with the same text are one document in the
+second stage, which keeps one row of it; those with different texts are judged each for itself.
 """
 
 from __future__ import annotations
@@ -41,15 +44,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of the benchmark; rows are judged one by one."""
     judged = decontaminate(spark, docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
     return judged.where("not contaminated").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; values that look live are replaced in their texts."""
     return redact(docs.select(COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with ids, n_tokens and lossless beside the columns of documents."""
     return encode_pieces(spark, docs, os.path.join(TOKENIZERS, "piece_bpe_32k.model"), keep=COLUMNS)
 
 
