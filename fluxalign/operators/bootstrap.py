@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keyed import keyed_draw, keyed_hash
+from ..functions.keyed import keyed_hash, with_draws
 from ..sources.shared import durable
 from .folds import rank_by_hash
 from .metrics import CLASSES
@@ -36,7 +36,8 @@ def resampled(clusters: DataFrame, cells: list[str], group: list[str], samples:
     key = lambda place: F.col("_gid") * (1 << 40) + place
     placed = durable(placed.select("_gid", "_g", "_n", (F.col("_place") - 1).alias("_place"), *cells))
     asked = placed.select("_gid", "_g", "_n", "_place", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long"))).alias("replicate"))
-    asked = asked.select("_gid", "replicate", key(keyed_draw(F.col("_g"), F.col("replicate"), F.col("_place"), F.col("_n"))).alias("_at"))
+    asked = with_draws(asked, F.col("_g"), F.col("replicate"), F.col("_place"), F.col("_n"), "_draw")
+    asked = asked.select("_gid", "replicate", F.coalesce(key(F.col("_draw")), F.lit(-1)).alias("_at"))
     found = placed.select(key(F.col("_place")).alias("_at"), *cells)
     found = F.broadcast(found) if placed.count() <= MOST_BROADCAST else found
     sums = asked.join(found, "_at").groupBy("_gid", "replicate").agg(*(F.sum(c).alias(c) for c in cells))

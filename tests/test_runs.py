@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fluxalign.functions.keyed import keyed_draw
+from fluxalign.functions.keyed import with_draws
 from fluxalign.operators import align, bootstrap, compare, cv, folds
 from fluxalign.operators.align import DataError
 from fluxalign.plans import runs, views
@@ -111,7 +111,7 @@ def test_fingerprints_tell_shapes_apart(spark):
 
 def test_draws_are_even_and_differ_by_replicate(spark):
     n = 10
-    x = spark.range(200_000).select(keyed_draw(F.lit(123456), F.col("id") % 2000 + 1, F.floor(F.col("id") / 2000), F.lit(n)).alias("d"), (F.col("id") % 2000).alias("b"))
+    x = with_draws(spark.range(200_000).withColumn("b", F.col("id") % 2000), F.lit(123456), F.col("b") + 1, F.floor(F.col("id") / 2000), F.lit(n), "d")
     counts = [r["count"] for r in x.groupBy("d").count().collect()]
     assert len(counts) == n and max(abs(c - 20_000) for c in counts) < 700
     means = x.groupBy("b").agg(F.avg("d").alias("m")).agg(F.stddev("m")).first()[0]
