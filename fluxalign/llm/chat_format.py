@@ -72,17 +72,18 @@ def _overall(rows: DataFrame, name: str, best: Column) -> DataFrame:
 def _spans(narrow: DataFrame, budget: int, history: int) -> DataFrame:
     """c, place, tokens, window, again: each turn in its window, and where it is repeated."""
     turn = F.struct(*PLACE, "tokens")
-    x = _overall(narrow.withColumnRenamed("system", "is_system"), "system", F.when(F.col("is_system"), turn))
+    x = durable(_overall(narrow.withColumnRenamed("system", "is_system"), "system", F.when(F.col("is_system"), turn)))
     x = x.withColumn("room", F.greatest(F.lit(budget - history) - F.coalesce("system.tokens", F.lit(0)), F.lit(2)))
     x = _overall(x, "normal", F.when(F.col("tokens") <= F.col("room") / 2, F.col("tokens")))
     x = x.withColumn("big", F.col("tokens") > F.col("room") / 2)
     x = x.withColumn("small", F.when(F.col("big"), 0).otherwise(F.col("tokens")))
-    x = _totals(x, small=F.col("small"), big=F.col("big").cast("long"), all=F.col("tokens"))
+    x = durable(_totals(x, small=F.col("small"), big=F.col("big").cast("long"), all=F.col("tokens")))
     running = Window.partitionBy(*PART).orderBy(*PLACE)
     up_to = lambda c, offset: F.sum(c).over(running) + F.col(offset)
     x = x.withColumns({"bigs": up_to(F.col("big").cast("long"), "before_big"), "small_before": up_to(F.col("small"), "before_small") - F.col("small"), "end": up_to(F.col("tokens"), "before_all")})
     cell = F.floor(F.col("small_before") / (F.col("room") - F.coalesce("normal", F.lit(0))))
     x = x.withColumn("span", F.struct("bigs", F.when(F.col("big"), 0).otherwise(1).alias("kind"), F.when(F.col("big"), 0).otherwise(cell).alias("cell")))
+    x = durable(x.select("c", *PLACE, "tokens", "pid", "end", "span", "system"))
     spans = x.groupBy("c", "span").agg(F.min("pid").alias("pid"), F.max("end").alias("span_end"))
     spans = _overall(_totals(spans, windows=F.lit(1)), "n_windows", F.lit(1))
     place = F.row_number().over(Window.partitionBy(*PART).orderBy("span"))
