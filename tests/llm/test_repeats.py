@@ -78,6 +78,36 @@ def test_null_ids_repeated_rows_and_extra_columns(spark):
     assert [r.n_removed for r in suffix_dedup(once, 10).collect()] == [len(t)] * 2
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    """Two different texts under one id, or none: only what repeats is cut, in its own text."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    passage, own = text(12), [text(30) for _ in range(4)]
+    rows = [(5, own[0]), (5, f"{own[1]} {passage}"), (None, own[2]), (None, f"{own[3]} {passage}"), (9, passage)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA + ", th long, marks int")
+    by = {r.kept: (r.doc_id, r.n_removed) for r in substring_dedup(df, 6).collect()}
+    assert by == {own[0]: (5, 0), own[1]: (5, 12), own[2]: (None, 0), f"{own[3]} {passage}": (None, 0), "": (9, 12)}
+    raw = {bytes(r.kept): (r.doc_id, r.n_removed) for r in suffix_dedup(df, 20).collect()}
+    assert raw[own[0].encode()] == (5, 0) and raw[own[2].encode()] == (None, 0)
+    assert sorted(n for _, n in raw.values() if n) == sorted([len(passage) + 1] * 2 + [len(passage)])
+
+
+@pytest.mark.parametrize("words, w", [(60, 20), (52, 20)])
+def test_registered_sizes_on_planted_passages(spark, words, w):
+    """20 words and 400 bytes, as registered, against brute force; and very long texts."""
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 10)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(words) for _ in range(6)] + [text(90) for _ in range(6)]
+    rows = [(i, f"{text(80)} {passages[i % 12]} {text(70)}") for i in range(48)] + [(90, text(40_000)), (91, "x" * 200_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup(df).collect()}
+    assert got == brute_words(rows, w)
+    small = [r for r in rows if r[0] != 91]  # brute force on one repeated byte is too slow
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(df).collect()}
+    assert {i: v for i, v in got.items() if i != 91} == brute_bytes(small, 400) and got[91] == (200_000, 200_000, 1, b"")
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert substring_dedup(df).count() == 0 and suffix_dedup(df).count() == 0

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxalign.llm import decontamination, quality_rules, secrets_scan, toxicity
+from fluxalign.llm import decontamination, jaccard_join, quality_rules, secrets_scan, toxicity
 from fluxalign.llm.chat_format import chat_digest, chat_windows, escape, unescape
 from fluxalign.llm.components import components
 from fluxalign.llm.jaccard_join import jaccard_components
@@ -258,6 +258,59 @@ def test_jaccard_components_against_brute_force(spark):
     assert jaccard_components(spark.createDataFrame([], DOC)).count() == 0
 
 
+def brute_components(rows, n=4, percent=85):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
+    comp = {i: i for i in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            least = min(comp[a], comp[b])
+            changed |= comp[a] != least or comp[b] != least
+            comp[a] = comp[b] = least
+    return comp, linked
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(3)
+    for size in (3, 60, 300, 2000):
+        a = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        for changed in (0, 1, size // 10, size // 2):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 64, changed, dtype=np.uint64)]))
+            differ = np.bitwise_count(jaccard_join.bitmap(a).view(np.uint64) ^ jaccard_join.bitmap(b).view(np.uint64)).sum()
+            assert differ <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("block", [2048, 5])
+def test_jaccard_groups_near_the_threshold(spark, monkeypatch, block):
+    """A family of 90 texts of 150 words whose pairs lie on both sides of the threshold, in blocks."""
+    monkeypatch.setattr(jaccard_join._product, "__defaults__", (False, block))
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for k in rng.sample(range(150), rng.randrange(0, 6)):
+            words[k] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(50)) + " " + " ".join(base[:30])) for i in range(30)]
+    comp, linked = brute_components(rows)
+    assert 300 < len(linked) < 3500
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == comp
+
+
+def test_jaccard_tells_texts_of_one_id_apart(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    df = spark.createDataFrame([(5, text("a"), 1), (5, text("b"), 1), (None, text("c"), 1), (None, text("d"), 1), (7, text("b"), 1), (7, text("b"), 1), (9, text("d"), 1)], DOC + ", pk long")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_components(df).collect())
+    assert got == [(0, 0), (0, 0), (5, 5), (5, 5), (7, 5), (9, 0)]
+
+
 @pytest.mark.parametrize("block", [32 << 20, 300])
 def test_decontamination_against_brute_force(spark, block):
     rng = random.Random(8)
