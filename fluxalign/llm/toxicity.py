@@ -60,6 +60,8 @@ class Lexicon:
         # One edit leaves the first two characters or the last two as they are.
         self.starts, self.ends = {w[:2] for w in fuzzy}, {w[-2:] for w in fuzzy}
         self.sizes = {n + d for n in map(len, fuzzy) for d in (-1, 0, 1)}
+        # Words at one edit share a word or a word less one character.
+        self.shorter = {x for w in fuzzy for x in (w, *(w[:i] + w[i + 1 :] for i in range(len(w))))}
 
     def exact(self, word: str) -> float:
         node, best = self.root, 0.0
@@ -74,7 +76,9 @@ class Lexicon:
         """Weight of a term of at least LEAST_FUZZY letters at one edit from the word."""
         if len(word) not in self.sizes or word[:2] not in self.starts and word[-2:] not in self.ends:
             return 0.0
-        n = len(word)
+        n, shorter = len(word), self.shorter
+        if word not in shorter and not any(word[:i] + word[i + 1 :] in shorter for i in range(n)):
+            return 0.0
         # A state is (characters of the word read, edits); all states of a node move together.
         stack, best = [(self.root, 0, ((0, 0), (1, 1)))], 0.0
         while stack:
