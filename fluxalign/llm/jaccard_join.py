@@ -9,9 +9,14 @@ Overlap counts of a row and a column accumulate over the cells, and a pair is di
 the count plus all that may still follow stays under the overlap that the two sizes demand.
 What is left is compared on whole sets, so links are exact; the order only decides the speed.
 
-To keep groups of near copies from giving all their pairs, every document is first compared
-with one leader (the least document of the lists that it shares most), and only pairs that lie
-in different components after that enter the product.
+A set also has a parity bitmap of BITS bits. Two bitmaps differ in at most as many bits as the
+sets differ in shingles, which bounds the overlap from above without the sets; pairs under the
+bound that the sizes demand are discarded before they are sent anywhere.
+
+To keep groups of near copies from giving all their pairs, the product is taken twice. The first
+time an entry of a posting list gives one partner only, of those that bounds allow, and PARTNERS
+of a document are compared with it. Those links join most of a group, and only pairs that lie in
+different components after that leave the second product, which is complete.
 
 Nothing large reaches the driver but the sketch, which has SKETCH counters at every scale.
 
@@ -40,6 +45,10 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MOST_BROADCAST = 1 << 20
 #: Counters of the document-frequency sketch, and the parts in which it is summed.
 SKETCH, PARTS = 1 << 20, 16
+#: Bits of a set's parity bitmap.
+BITS = 512
+#: Partners from the first product that a document is compared with.
+PARTNERS = 2
 
 
 def shingles(raw: bytes, n: int) -> np.ndarray:
@@ -53,6 +62,12 @@ def shingles(raw: bytes, n: int) -> np.ndarray:
     return np.unique(mix(rolling(sym, n)))
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parity of the shingles by the low bits of their hashes, as signed 64-bit numbers."""
+    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def number(digest: bytes) -> int:
     """The class of equal sets: 63 bits of the hash of the set."""
     return int.from_bytes(digest[:8], "big") >> 1
@@ -63,12 +78,12 @@ def needed(size: np.ndarray | int, percent: int):
     return -(-percent * size // 100)
 
 
-SIGNED = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("pk", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+SIGNED = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("pk", pa.int64()), ("bits", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
 PREFIX = pa.schema([("pk", pa.int64()), ("n", pa.int32()), ("last", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
 
 def _signatures(base: DataFrame, n: int) -> DataFrame:
-    """A row (id, th, n, pk) for each document, and rows (part, counts) of each task's sketch."""
+    """A row (id, th, n, pk, bits) for each document, and rows (part, counts) of each task's sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
@@ -77,16 +92,16 @@ def _signatures(base: DataFrame, n: int) -> DataFrame:
             for raw in texts(batch.column("text")):
                 s = shingles(raw, n)
                 seen.append(s)
-                rows.append((len(s), number(xxhash.xxh3_128_digest(s.tobytes()))))
+                rows.append((len(s), number(xxhash.xxh3_128_digest(s.tobytes())), bitmap(s)))
             if rows:
                 sketch += np.bincount((np.concatenate(seen) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
                 none = [None] * len(rows)
                 yield record(SIGNED, batch.column("id"), batch.column("th"), *map(list, zip(*rows)), none, none)
         if sketch.any():
             for p, counts in enumerate(np.split(np.minimum(sketch, 65535).astype(np.uint16), PARTS)):
-                yield record(SIGNED, [None], [None], [None], [None], [p], [counts.tobytes()])
+                yield record(SIGNED, [None], [None], [None], [None], [None], [p], [counts.tobytes()])
 
-    return base.select("text", "id", "th").mapInArrow(sign, "id long, th long, n long, pk long, part int, counts binary")
+    return base.select("text", "id", "th").mapInArrow(sign, "id long, th long, n long, pk long, bits array<long>, part int, counts binary")
 
 
 def _sketch(signed: DataFrame) -> np.ndarray:
@@ -168,14 +183,6 @@ def _exact(base: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percen
     return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
 
 
-def _leaders(entries: DataFrame) -> DataFrame:
-    """For each document the leader that it shares most prefix shingles with, if they are many."""
-    least = durable(entries.groupBy("gram").agg(F.min("pk").alias("leader"), F.count("*").alias("c")).where("c > 1").select("gram", "leader"))
-    met = entries.join(least, "gram").where("pk != leader").groupBy("pk", "leader").agg(F.count("*").alias("c"), F.first("p").alias("p"))
-    return met.where("4 * c >= p").groupBy("pk").agg(F.max(F.struct("c", F.negative("leader").alias("minus"))).alias("best")).select(
-        F.col("pk").alias("a"), F.negative("best.minus").alias("b"))
-
-
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("p", pa.int32())])
 #: Entries of a posting list in one block: a cell of the product has two blocks at most.
 BLOCK = 2048
@@ -186,44 +193,51 @@ def _cells(live: DataFrame, block: int) -> DataFrame:
     blocks that holds its own one."""
     n = F.ceil(F.col("c") / block)
     cut = live.withColumn("own", F.pmod(F.xxhash64("pk"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    cell = cut.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pk", "n", "p", "last", "comp")
+    cell = cut.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pk", "n", "p", "last", "comp", "bits")
     return cell.repartition(partitions(live), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
 
 
-def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def _product(entries: DataFrame, classes: DataFrame, percent: int, first: bool = False, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of different components whose accumulated overlap can reach the threshold.
 
+    ``first``: one pair for each entry of a list, and at most PARTNERS for each document.
+
     ``entries`` has a row for each prefix shingle: gram, pk, n, p (prefix length), last, comp.
     """
     mixed = durable(entries.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("gram", "c"))
-    cells = _cells(entries.join(mixed, "gram"), block)
+    cells = _cells(entries.join(mixed, "gram").join(classes.select("pk", "bits"), "pk"), block)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The pairs of each cell; a cell may come in several batches."""
-        held: list[np.ndarray] = []
+        held = np.zeros((9 + BITS // 64, 0), np.int64)
         for batch in batches:
             x = np.array([batch.column(c).to_numpy() for c in ("gram", "i", "j", "own", "pk", "n", "p", "last", "comp")])
-            if held:
-                x = np.concatenate([*held, x], axis=1)
+            x = np.concatenate([held, np.concatenate([x, batch.column("bits").flatten().to_numpy().reshape(-1, BITS // 64).T])], axis=1)
             edges = np.flatnonzero((x[:3, 1:] != x[:3, :-1]).any(axis=0)) + 1
             if len(edges):
                 yield from pairs(x[:, : edges[-1]], edges[:-1].tolist())
-                held = [x[:, edges[-1] :]]
-            else:
-                held = [x] if x.shape[1] else held
-        if held:
-            yield from pairs(held[0], [])
+            held = x[:, edges[-1] if len(edges) else 0 :]
+        if held.shape[1]:
+            yield from pairs(held, [])
 
     def pairs(x: np.ndarray, edges: list[int]) -> Iterator[pa.RecordBatch]:
         out, total = [], 0
+        bits, mixed = np.ascontiguousarray(x[9:].T).view(np.uint64), mix(x[0].view(np.uint64) ^ mix(x[4].view(np.uint64)))
         for a, b in zip([0, *edges], [*edges, x.shape[1]]):
-            _, i, j, own, pk, size, p, end, group = x[:, a:b]
-            across = i[0] != j[0] if b > a else False
+            _, i, j, own, pk, size, p, end, group = x[:9, a:b]
+            across = i[0] != j[0]
             for k in range(b - a):
-                near = (group != group[k]) & ((end > end[k]) | (end == end[k]) & (pk > pk[k])) & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
+                near = (group != group[k]) & (first | (end > end[k]) | (end == end[k]) & (pk > pk[k])) & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
                 if across:
                     near &= own != own[k]
                 found = np.flatnonzero(near)
+                if len(found):
+                    differ = np.bitwise_count(bits[found + a] ^ bits[k + a]).sum(axis=1, dtype=np.int64)
+                    both = size[found] + size[k]
+                    found = found[(both - differ) * (100 + percent) >= 2 * percent * both]
+                    if first and len(found):
+                        at = int(mixed[k + a] % np.uint64(len(found)))
+                        found = found[at : at + 1]
                 if len(found):
                     out.append((k + a, found + a))
                     total += len(found)
@@ -237,7 +251,12 @@ def _product(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
         left, right = np.repeat([k for k, _ in out], [len(f) for _, f in out]), np.concatenate([f for _, f in out])
         return record(PAIR, x[4, left], x[4, right], x[5, left].astype(np.int32), x[5, right].astype(np.int32), x[6, left].astype(np.int32))
 
-    met = cells.mapInArrow(multiply, "a long, b long, na int, nb int, p int").groupBy("a", "b", "na", "nb", "p").agg(F.count("*").alias("shared"))
+    met = cells.mapInArrow(multiply, "a long, b long, na int, nb int, p int")
+    if first:
+        place = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
+        some = met.select("a", "b").distinct().withColumn("place", place).where(F.col("place") <= PARTNERS)
+        return some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = met.groupBy("a", "b", "na", "nb", "p").agg(F.count("*").alias("shared"))
     return met.where(f"(shared + na - p) * {100 + percent} >= {percent} * (na + nb)").select("a", "b")
 
 
@@ -249,14 +268,16 @@ def components_of_texts(docs: DataFrame, n: int, percent: int, id_col: str = "do
     base = docs.select(text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text_hash(text).alias("th"))
     signed = durable(_signatures(base, n))
     rank = docs.sparkSession.sparkContext.broadcast(_sketch(signed))
-    sets = signed.where("part is null").select("id", "th", "n", "pk").distinct()
-    classes = durable(sets.where("n > 0").groupBy("pk").agg(F.min(F.struct("id", "th")).alias("least"), F.min("th").alias("th")))
+    rows = signed.where("part is null")
+    sets = rows.select("id", "th", "n", "pk").distinct()
+    classes = durable(rows.where("n > 0").groupBy("pk").agg(F.min(F.struct("id", "th")).alias("least"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     prefix = _prefixes(base, rank, n, percent).dropDuplicates(["pk"])
     entries = durable(_shared_entries(prefix))
-    first = durable(_exact(base, classes, _leaders(entries), n, percent))
+    single = entries.withColumn("comp", F.col("pk"))
+    first = durable(_exact(base, classes, _product(single, classes, percent, first=True), n, percent))
     known = components(first).withColumnRenamed("node", "pk")
     grouped = entries.join(known, "pk", "left").withColumn("comp", F.coalesce("component", "pk")).drop("component")
-    second = durable(_exact(base, classes, _product(grouped, percent), n, percent))
+    second = durable(_exact(base, classes, _product(grouped, classes, percent), n, percent))
     found = components(first.unionByName(second)).withColumnRenamed("node", "pk")
     # Few classes are linked; all others are their own component.
     linked = found.join(classes, "pk").select("pk", "component", "least")
