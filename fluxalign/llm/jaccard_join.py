@@ -235,6 +235,8 @@ def _product(entries: DataFrame, classes: DataFrame, percent: int, first: bool =
                     differ = np.bitwise_count(bits[found + a] ^ bits[k + a]).sum(axis=1, dtype=np.int64)
                     both = size[found] + size[k]
                     found = found[(both - differ) * (100 + percent) >= 2 * percent * both]
+                    if first:  # bitmaps rule out nothing between very large sets: those wait for overlap counts
+                        found = found[(size[found] + size[k]) * (100 - percent) < BITS // 2 * (100 + percent)]
                     if first and len(found):
                         at = int(mixed[k + a] % np.uint64(len(found)))
                         found = found[at : at + 1]
