@@ -16,6 +16,7 @@ from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .toxicity import score, train
+from .whitening import whiten
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +63,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    own = [op1_substring_dedup, op2_token_counts, op3_chat_format, op4_toxicity, op5_piece_encoding, op6_suffix_dedup, op7_secret_scan, op8_jaccard_join, op9_decontamination, op10_quality_rules]
+    own = [op1_substring_dedup, op2_token_counts, op3_chat_format, op4_toxicity, op5_piece_encoding, op6_suffix_dedup, op7_secret_scan, op8_jaccard_join, op9_decontamination, op10_quality_rules, op13_whitening]
     return {f.__name__: f for f in own}
 
 
