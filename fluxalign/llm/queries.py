@@ -15,6 +15,7 @@ from .secrets_scan import scan
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
+from .token_files import token_ids
 from .toxicity import score, train
 from .whitening import whiten
 
@@ -63,12 +64,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(spark, table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    own = [op1_substring_dedup, op2_token_counts, op3_chat_format, op4_toxicity, op5_piece_encoding, op6_suffix_dedup, op7_secret_scan, op8_jaccard_join, op9_decontamination, op10_quality_rules, op13_whitening]
+    own = [op1_substring_dedup, op2_token_counts, op3_chat_format, op4_toxicity, op5_piece_encoding, op6_suffix_dedup, op7_secret_scan, op8_jaccard_join, op9_decontamination, op10_quality_rules, op12_token_files, op13_whitening]
     return {f.__name__: f for f in own}
 
 
