@@ -154,6 +154,19 @@ walk AS (SELECT word, h, 1 AS pos, 0 AS n FROM each UNION ALL
 counts AS (SELECT word, max(n) AS n FROM walk GROUP BY word)
 SELECT d.doc_id, len(w) AS n_words, coalesce(t, 0)::BIGINT AS n_tokens, coalesce(m, 0) AS longest_word_tokens FROM d LEFT JOIN (SELECT doc_id, sum(n) AS t, max(n) AS m FROM words JOIN counts USING (word) GROUP BY doc_id) x ON d.doc_id = x.doc_id"""
 
+TRIE = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, turn, substr(sha256(length(role) || ':' || role || text), 1, 32) AS id, len(regexp_extract_all(text, '{WORD}')) AS w FROM t),
+own AS (SELECT conv_id, list({{'id': id, 'w': w}} ORDER BY turn NULLS FIRST, id) AS s FROM i GROUP BY 1),
+steps AS (SELECT *, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS bits FROM own),
+h AS (SELECT *, xor(list_reduce(bits, lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295) % 4 AS h FROM steps),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.s[1:c.h], []), c.s[c.h + 1:]) AS s FROM h c LEFT JOIN own b ON b.conv_id = c.conv_id - (c.conv_id % 20 + 20) % 20),
+pre AS (SELECT conv_id, d, array_to_string(list_transform(s[1:d], lambda x: x.id), '') AS k, array_to_string(list_transform(s[1:d - 1], lambda x: x.id), '') AS up, coalesce(s[d].w, 0) AS w, d = len(s) AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+node AS (SELECT k, any_value(up) AS up, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS e FROM pre GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+under AS (SELECT u.k, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((v.n_convs - 1) * v.w)::BIGINT AS saved FROM (SELECT DISTINCT p.k, q.k AS j FROM pre p JOIN pre q ON p.conv_id = q.conv_id AND p.d <= q.d) u JOIN node v ON v.k = u.j LEFT JOIN kids c ON c.k = u.j GROUP BY u.k)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, n_leaves, saved AS saved_tokens, sha256(coalesce(n.e, '')) AS ends_sha256
+ FROM node n LEFT JOIN node p ON p.k = n.up AND p.d = n.d - 1 LEFT JOIN kids c ON c.k = n.k JOIN under u ON u.k = n.k"""
+
 SQL = {
     "op1_substring_dedup": SUBSTRINGS, "op2_token_counts": TOKENS, "op3_chat_format": CHAT, "op6_suffix_dedup": BYTES, "op7_secret_scan": SECRETS,
-    "op8_jaccard_join": JACCARD, "op9_decontamination": BENCHMARK, "op10_quality_rules": QUALITY}
+    "op8_jaccard_join": JACCARD, "op9_decontamination": BENCHMARK, "op10_quality_rules": QUALITY, "op11_prefix_trie": TRIE}

@@ -10,6 +10,7 @@ from .decontamination import decontaminate
 from .jaccard_join import jaccard_components
 from .oracles import SQL, TOKENIZERS
 from .piece_encoding import encode_pieces
+from .prefix_trie import conversation_trie
 from .quality_rules import quality
 from .secrets_scan import scan
 from .substring_dedup import substring_dedup
@@ -64,6 +65,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(spark, table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -73,7 +78,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_substring_dedup, op2_token_counts, op3_chat_format, op4_toxicity, op5_piece_encoding, op6_suffix_dedup, op7_secret_scan, op8_jaccard_join, op9_decontamination, op10_quality_rules, op12_token_files, op13_whitening]
+    own = [op1_substring_dedup, op2_token_counts, op3_chat_format, op4_toxicity, op5_piece_encoding, op6_suffix_dedup, op7_secret_scan, op8_jaccard_join, op9_decontamination, op10_quality_rules, op11_prefix_trie, op12_token_files, op13_whitening]
     return {f.__name__: f for f in own}
 
 
