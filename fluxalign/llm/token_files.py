@@ -15,9 +15,11 @@ crc32 of the index and the documents u32, magic of 8 bytes. The last block is fi
 last id.
 
 Ids come from the tokenizers library. White space separates words before anything else in such a
-vocabulary, so each worker keeps the ids of up to ``CACHED`` words and asks the library for new ones
-only; texts that may hold a special token go through the library whole. Words of printable ASCII and
-Latin-1 letters are cut at the tokenizer's own places (SPLIT), and the parts go to its model.
+vocabulary, so texts are taken apart into words for a whole batch at once, each worker keeps the ids
+of up to KEPT parts (told apart by 128-bit hashes) and asks the library for new ones only. Words of
+printable ASCII and Latin-1 letters are cut at the tokenizer's own places (letters, single digits,
+other signs) and the parts go to its model; words with an apostrophe or any other sign go through the
+library as they are, and so do whole texts that may hold a special token.
 
 Files go to the session's checkpoint folder unless a folder is named; they are read back with
 Spark's binaryFile source. Offsets of files come from a list with one row for each file.
@@ -46,14 +48,18 @@ from .common import durable, partitions, shared_folder, small_batches, text_hash
 BLOCK, LANES = 256, 64
 PERCENTILES = (75, 90, 95, 99, 100)
 HEAD, PATCH, TRAIL, MAGIC = 7, 5, 36, b"PFORIDS1"
+SPACE = re.compile(rb"[ \t\n\v\f\r]")
 #: Ids that are held before blocks are written, and ids after which a file ends with its document.
 CHUNK, MOST_IDS = 1 << 20, 1 << 25
-#: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED = 2_000_000
-#: Fixed pattern of the vocabulary's file, for words of lower-case ASCII and Latin-1 letters.
-SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Parts and ids that a worker keeps; beyond that it starts anew. SLOTS: of its hash table.
+KEPT, KEPT_IDS, SLOTS = 3_000_000, 1 << 25, 1 << 23
+#: Bytes that are taken apart at once, and the length from which a part is hashed by itself.
+PIECE, LONG = 1 << 20, 64
+#: ASCII to lower case; the kind of each byte of a text (0 space, 1 letter, 2 digit, 3 other, 4 none of these).
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+KIND = np.array([0 if c in b" \t\n\v\f\r" else 2 if 48 <= c <= 57 else 1 if 97 <= c <= 122 or c == 0xC3 else 3 if 32 < c < 127 and c != 39 else 4 for c in range(256)], np.uint8)
+#: Random numbers by place in a part and byte, whose sums are the hashes of parts.
+RANDOM = np.random.default_rng(11).integers(0, 1 << 64, (2, LONG * 256), np.uint64)
 #: Bits of a 16-bit number.
 BITS = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
 
@@ -148,7 +154,8 @@ class TokenFile:
 
 
 class Writer:
-    """Writes the files of one task: ``add`` documents, then ``close``."""
+    """Writes the files of one task: ``add`` documents, then ``close``; a file ends with the document
+    that reaches ``most_ids``."""
 
     def __init__(self, folder: str, task: int, most_ids: int) -> None:
         self.folder, self.task, self.most, self.number, self.done = folder, task, most_ids, 0, []
@@ -157,19 +164,24 @@ class Writer:
     def _begin(self) -> None:
         self.sink, self.at, self.held, self.n_held, self.n_ids, self.starts, self.documents = None, 0, [], 0, 0, [], []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        if self.sink is None:
-            self.name = f"{self.task:06d}-{self.number:06d}.pfor"
-            self.fs, self.path = filesystem(self.folder)
-            self.part = f"{self.path}/{self.name}.{uuid.uuid4().hex}.part"
-            self.sink = self.fs.open_output_stream(self.part)
-        self.documents.append((doc_id is not None, doc_id or 0, len(ids)))
-        self.held.append(ids)
-        self.n_held, self.n_ids = self.n_held + len(ids), self.n_ids + len(ids)
-        if self.n_held >= CHUNK:
-            self._flush(False)
-        if self.n_ids >= self.most:
-            self.close()
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents with the ids that they have, end to end."""
+        ends, at, done = np.cumsum(counts), 0, 0
+        while at < len(ends):
+            if self.sink is None:
+                self.name = f"{self.task:06d}-{self.number:06d}.pfor"
+                self.fs, self.path = filesystem(self.folder)
+                self.part = f"{self.path}/{self.name}.{uuid.uuid4().hex}.part"
+                self.sink = self.fs.open_output_stream(self.part)
+            to = min(int(np.searchsorted(ends, done + self.most - self.n_ids)) + 1, len(ends))
+            self.documents += [(d is not None, d or 0, n) for d, n in zip(doc_ids[at:to], counts[at:to].tolist())]
+            self.held.append(ids[done : ends[to - 1]])
+            self.n_held, self.n_ids = self.n_held + len(self.held[-1]), self.n_ids + len(self.held[-1])
+            at, done = to, int(ends[to - 1])
+            if self.n_held >= CHUNK:
+                self._flush(False)
+            if self.n_ids >= self.most:
+                self.close()
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self.held)
@@ -208,8 +220,48 @@ def filesystem(folder: str):
     return (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder)
 
 
+class Parts:
+    """Bytes of texts in lower case, taken apart: start, end and hashes of each part, and whether it
+    stands for a word that only the library can take apart."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        low = LOWER[data]
+        after_lead = np.r_[False, low[:-1] == 0xC3]
+        low[after_lead & (low >= 0x80) & (low <= 0x9E) & (low != 0x97)] += 0x20
+        kind = KIND[low]
+        kind[after_lead] = np.where((low[after_lead] == 0x97) | (low[after_lead] == 0xB7), 4, 1)
+        space = kind == 0
+        before = np.r_[np.uint8(0), kind[:-1]]
+        first = ~space & (before == 0)
+        begins = ~space & ((kind != before) | (kind == 2))
+        odd = kind == 4
+        if odd.any():
+            word = np.cumsum(first) - 1
+            whole = np.zeros(word[-1] + 1 if len(word) else 0, bool)
+            whole[word[odd]] = True
+            begins &= first | ~whole[word]
+            self.start = np.flatnonzero(begins)
+            self.whole = whole[word[self.start]]
+        else:
+            self.start = np.flatnonzero(begins)
+            self.whole = np.zeros(len(self.start), bool)
+        stops = np.r_[np.flatnonzero(begins | space & (before != 0)), len(low)]
+        self.end = stops[np.searchsorted(stops, self.start) + 1]
+        lens = self.end - self.start
+        place = np.flatnonzero(~space)
+        offsets = np.cumsum(lens) - lens
+        place = np.minimum(np.arange(len(place)) - np.repeat(offsets, lens), LONG - 1) * 256 + low[place]
+        self.hashes = np.stack([np.add.reduceat(r[place], offsets) if len(place) else np.zeros(0, np.uint64) for r in RANDOM])
+        self.low = low
+        for k in np.flatnonzero(lens >= LONG).tolist():
+            self.hashes[:, k] = np.frombuffer(hashlib.blake2b(self.bytes(k), digest_size=16).digest(), np.uint64)
+
+    def bytes(self, k: int) -> bytes:
+        return self.low[self.start[k] : self.end[k]].tobytes()
+
+
 class WordIds:
-    """Ids of texts, from the library's tokenizer; ids of words are kept."""
+    """Ids of texts, from the library's tokenizer; ids of parts are kept."""
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
@@ -217,59 +269,114 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(definition)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [*range(33, 127), *range(192, 256)]}
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [*range(33, 127), *range(192, 256)]}
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.ends, self.count = np.zeros(1 << 16, np.int64), 1
-
-    def _keep(self, word: bytes, ids: list[int]) -> None:
-        end = self.used + len(ids)
-        if end > len(self.pool):
-            self.pool = np.r_[self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)]
-        if self.count == len(self.ends):
-            self.ends = np.r_[self.ends, np.zeros(len(self.ends), np.int64)]
-        self.pool[self.used : end] = ids
-        self.used, self.ends[self.count], self.words[word] = end, end, self.count
-        self.count += 1
-
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(part.translate(self.bytes))]
-        return ids
-
-    def _learn(self, new: list[bytes]) -> None:
-        other = []
-        for word in new:
-            text = word.decode()
-            if len(text) < 100 and PLAIN.fullmatch(text):
-                self._keep(word, [i for part in SPLIT.findall(text.lower()) for i in self._part(part)])
-            else:
-                other.append(word)
-        if other:
-            for word, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
-                self._keep(word, e.ids)
-
-    def encode(self, raw: bytes) -> np.ndarray:
-        low = raw.translate(LOWER)
-        if any(s in low for s in self.special):
-            return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, np.uint32)
-        words = low.split()
-        if self.count > CACHED:
+        self.slots = np.zeros(SLOTS, np.int32)
+        self.hashes, self.count = np.zeros((2, 1 << 16), np.uint64), 1  # number 0 is no part
+        self.ends = np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each part; 0 where it isn't kept."""
+        out = np.zeros(hashes.shape[1], np.int32)
+        left = np.arange(hashes.shape[1])
+        at = (hashes[0] & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            number = self.slots[at]
+            same = (self.hashes[:, number] == hashes[:, left]).all(axis=0) & (number > 0)
+            out[left[same]] = number[same]
+            more = ~same & (number > 0)
+            left, at = left[more], (at[more] + 1) & (SLOTS - 1)
+        return out
+
+    def _keep(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        """New parts, each once."""
+        flat, first, last = np.array([i for x in ids for i in x], np.uint32), self.count, self.count + len(ids)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
+        while last > len(self.ends):
+            self.ends, self.hashes = np.r_[self.ends, np.zeros_like(self.ends)], np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.ends[first:last] = self.used + np.cumsum([len(x) for x in ids])
+        self.hashes[:, first:last] = hashes
+        self.used, self.count = self.used + len(flat), last
+        left, at = np.arange(first, last, dtype=np.int32), (hashes[0] & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(left):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = left[free]
+            more = self.slots[at] != left
+            left, at = left[more], (at[more] + 1) & (SLOTS - 1)
+
+    def _learn(self, parts: Parts, new: np.ndarray) -> None:
+        model, whole = self.tokenizer.model, new[parts.whole[new]]
+        plain = new[~parts.whole[new]]
+        ids = [[t.id for t in model.tokenize(parts.bytes(k).decode().translate(self.letters))] for k in plain.tolist()]
+        if len(whole):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast([parts.bytes(k).decode() for k in whole.tolist()], add_special_tokens=False)]
+        self._keep(parts.hashes[:, np.r_[plain, whole]], ids)
+
+    def _piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts between white space, the starts of their parts, and the parts' numbers of ids."""
+        parts = Parts(data)
+        if self.count > KEPT or self.used > KEPT_IDS:
             self.clear()
-        at = list(map(self.words.get, words))
-        if None in at:
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, at) if k is None)))
-            at = list(map(self.words.get, words))
-        at = np.array(at, np.int64)
-        starts = self.ends[at - 1]
-        lens = self.ends[at] - starts
-        total = np.cumsum(lens)
-        return self.pool[np.repeat(starts - total + lens, lens) + np.arange(total[-1] if len(total) else 0)]
+        number = self._numbers(parts.hashes)
+        missing = np.flatnonzero(number == 0)
+        if len(missing):
+            self._learn(parts, missing[np.unique(parts.hashes[0, missing], return_index=True)[1]])
+            number[missing] = self._numbers(parts.hashes[:, missing])
+        begin = self.ends[number - 1]
+        lens = self.ends[number] - begin
+        before = np.cumsum(lens) - lens
+        return self.pool[np.repeat(begin - before, lens) + np.arange(lens.sum())], parts.start, lens
+
+    def encode(self, raws: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each with the end id, and their numbers."""
+        out: list[np.ndarray] = []
+        counts = np.ones(len(raws), np.int64)
+        end = np.array([end_id], np.uint32)
+        held: list[bytes] = []
+        first = size = 0
+
+        def flush(to: int) -> None:
+            """The texts held are those of the documents from first to before ``to``, whole."""
+            if to == first:
+                return
+            data = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
+            ids, start, lens = self._piece(data)
+            ends = np.cumsum([len(h) + 1 for h in held])
+            by = np.r_[0, np.cumsum(lens)][np.searchsorted(start, ends)]
+            counts[first:to] += np.diff(by, prepend=0)
+            out.append(np.insert(ids, by, end_id).astype(np.uint32))
+
+        for d, raw in enumerate(raws):
+            low = raw.lower()
+            special = any(s in low for s in self.special)
+            if special or len(raw) > PIECE or size + len(raw) > PIECE:
+                flush(d)
+                held, first, size = [], d, 0
+            if special or len(raw) > PIECE:
+                each = [np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, np.uint32)] if special else [self._piece(np.frombuffer(p, np.uint8))[0] for p in pieces(raw)]
+                out += [*each, end]
+                counts[d] += sum(map(len, each))
+                first = d + 1
+            else:
+                held.append(raw)
+                size += len(raw) + 1
+        flush(len(raws))
+        return np.concatenate([np.zeros(0, np.uint32), *out]), counts
+
+
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """A long text in pieces, between words."""
+    at = 0
+    while at < len(raw):
+        cut = SPACE.search(raw, at + PIECE)
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end]
+        at = end
 
 
 #: The encoder that a worker used last, by the digest of its definition.
@@ -291,11 +398,9 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str,
         if name not in _encoders:
             _encoders.clear()
             _encoders[name] = WordIds(definition.value)
-        encoder, end = _encoders[name], np.array([end_id], np.uint32)
-        out = Writer(folder, TaskContext.get().partitionId(), most_ids)
+        encoder, out = _encoders[name], Writer(folder, TaskContext.get().partitionId(), most_ids)
         for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
-                out.add(doc_id, np.r_[encoder.encode(raw), end])
+            out.add(batch.column("doc_id").to_pylist(), *encoder.encode(texts(batch.column("text")), end_id))
         out.close()
         if out.done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out.done)], ["file", "n_docs", "n_ids", "n_bytes"])

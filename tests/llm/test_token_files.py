@@ -39,6 +39,7 @@ def test_hard_texts(spark):
     rng = random.Random(4)
     letters = "abcXYZ'éÉ́ .,!9\nßİ<|>-あ "
     rows = [(i, t) for i, t in enumerate(HARD)] + [(100 + i, "".join(rng.choice(letters) for _ in range(300))) for i in range(60)]
+    rows += [(170 + i, "plain words, 12 and é " * n) for i, n in enumerate((1, 60_000, 60_000, 3))] + [(180, "l" * 1_100_000 + " ß" * 20), (181, "<|endoftext|> " + "a b " * 300_000)]
     rows += [(None, "nobody"), (200, "twice " * 40), (200, "twice " * 40), (-5, "the word " * 90_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS th", "2 AS copy", "3 AS file", "4 AS start").repartition(5)
     for most_ids in (token_files.MOST_IDS, 500):
@@ -81,7 +82,7 @@ def test_blocks_hold_any_ids(tmp_path, kind):
     out = token_files.Writer(str(tmp_path), 3, 1 << 20)
     cuts = sorted({0, n, *rng.integers(0, n, 8).tolist()})
     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        out.add(k or None, ids[a:b])
+        out.add([k or None], ids[a:b], np.array([b - a]))
     out.close()
     assert [d[:3] for d in out.done] == [("000003-000000.pfor", len(cuts) - 1, n)] and [p.name for p in tmp_path.iterdir()] == ["000003-000000.pfor"]
     raw = (tmp_path / "000003-000000.pfor").read_bytes()
