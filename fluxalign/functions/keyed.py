@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +28,11 @@ def normal(*key) -> Column:
 PRIME, BY_REPLICATE, BY_PLACE, STEP_A, STEP_B = 2147483647, 104729, 15485863, 48271, 40692
 
 
-def with_draws(rows: DataFrame, g: Column, replicate: Column, j: Column, n: Column, name: str) -> DataFrame:
-    """Adds draw j of each replicate: 0 to n - 1, by squaring modulo a prime (no product exceeds 63 bits).
-
-    Every step is a column of its own: within one expression each would be repeated in the next.
-    """
-    x1, x2, x3, x4 = (F.col(f"_x{i}") for i in range(1, 5))
-    x = rows.withColumn("_x1", (g + replicate * BY_REPLICATE + j * BY_PLACE) % PRIME).withColumn("_x2", (x1 * x1 + g) % PRIME)
-    x = x.withColumn("_x3", (x2 * x2 + x1 * STEP_A) % PRIME).withColumn("_x4", (x3 * x3 + x2 * STEP_B + replicate) % PRIME)
-    return x.withColumn(name, F.coalesce((x3 * 2147483648 + x4) % n, F.lit(-1))).drop("_x1", "_x2", "_x3", "_x4")
+def draws(g: int, replicate: int, place: np.ndarray, n: int) -> np.ndarray:
+    """The draws at these places of a replicate: 0 to n - 1, by squaring modulo a prime (no product
+    exceeds 63 bits for places below 2^39)."""
+    x1 = (g + replicate * BY_REPLICATE + place * BY_PLACE) % PRIME
+    x2 = (x1 * x1 + g) % PRIME
+    x3 = (x2 * x2 + x1 * STEP_A) % PRIME
+    x4 = (x3 * x3 + x2 * STEP_B + replicate) % PRIME
+    return (x3 * 2147483648 + x4) % n

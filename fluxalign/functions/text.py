@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-#: What is not part of a word, and how recordings are named.
-NO_WORD, RECORDING = "[^a-z0-9]+", r"results([A-Za-z0-9]+)_SR"
+#: What is not part of a word, how recordings are named, and the affixes of other names.
+NO_WORD, RECORDING, AFFIXES = "[^a-z0-9]+", r"results([A-Za-z0-9]+)_SR", ("results", "_SR.mat")
+#: Part files, whose folder has the name.
+PART = r"(/part-[0-9]{5}-[^/]*)+$"
 
 
 def normalize_text(c: Column) -> Column:
@@ -21,8 +23,9 @@ def word_count(c: Column) -> Column:
 
 
 def subject_from_path(c: Column) -> Column:
-    """Reader id of a recording's path: results<ID>_SR, else the base name without affixes."""
-    base = F.regexp_extract(c, r"([^/]*)$", 1)
-    found = F.regexp_extract(base, RECORDING, 1)
-    plain = F.regexp_replace(F.regexp_replace(base, r"\.[^.]*$", ""), r"^results|_SR$", "")
-    return F.when(found != "", found).otherwise(plain)
+    """Reader id of a recording's path: results<ID>_SR anywhere in it, else its last name without affixes."""
+    found = F.regexp_extract(c, RECORDING, 1)
+    name = F.regexp_extract(F.regexp_replace(c, PART, ""), r"([^/]*)$", 1)
+    for affix in AFFIXES:
+        name = F.replace(name, F.lit(affix), F.lit(""))
+    return F.when(found != "", found).otherwise(name)

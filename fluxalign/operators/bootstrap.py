@@ -2,24 +2,29 @@
 
 Rows are reduced to one additive vector a cluster first (counts of hits and classes), so a
 replicate is a sum over its draws, and accuracy and macro-F1 come from the same draws. Clusters
-are numbered inside hash buckets, never ordered in one task. A draw is a few integer operations on
-(group, replicate, number); the clusters are a broadcast while they are MOST_BROADCAST at most,
-else a shuffled join, and sums are partly aggregated to one row a replicate before any shuffle.
+with equal vectors are interchangeable, and there are few different vectors (counts of a few seeds
+and classes), so a group goes on as its vectors and their numbers of clusters: places 0 to n - 1 are
+dealt out to the vectors in their order. A draw is a few integer operations on (group, replicate,
+number), and the place it gives is looked up among the vectors. Work is dealt out by replicates and
+stretches of CHUNK draws; nothing of the size of the clusters is sent anywhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keyed import keyed_hash, with_draws
+from ..functions.keyed import draws, keyed_hash
 from ..sources.shared import durable
-from .folds import rank_by_hash
 from .metrics import CLASSES
 
 QUANTILES = [0.025, 0.975]
-#: Clusters that are broadcast at most: rows of 20 numbers, so about 40 MB.
-MOST_BROADCAST = 200_000
+#: Draws of a replicate, and replicates, that are taken together.
+CHUNK, TOGETHER = 1 << 22, 40
 #: Hits, predicted and true counts of each class; x is the candidate's side, y the other one.
 SIDE = [f"{p}{kind}{k}" for p in "xy" for kind in ("hit", "said") for k in range(CLASSES)]
 CELLS = [*SIDE, *(f"true{k}" for k in range(CLASSES))]
@@ -28,20 +33,30 @@ CELLS = [*SIDE, *(f"true{k}" for k in range(CLASSES))]
 def resampled(clusters: DataFrame, cells: list[str], group: list[str], samples: int, seed: int) -> DataFrame:
     """group, replicate and the cells' sums over as many draws as the group has clusters.
 
-    ``clusters``: group, sentence_id, cells. Groups are few (one row each is numbered).
+    ``clusters``: group, sentence_id, cells (numbers). Groups are few (one row each is numbered).
     """
-    groups = clusters.groupBy(*group).agg(F.count("*").alias("_n"))
+    vectors = durable(clusters.groupBy(*group, *cells).agg(F.count("*").alias("_m")))
+    groups = vectors.groupBy(*group).agg(F.sum("_m").alias("_n"))
     groups = durable(groups.withColumns({"_gid": F.row_number().over(Window.orderBy(*group)).cast("long"), "_g": keyed_hash(seed, *map(F.col, group))}))
-    placed = rank_by_hash(clusters, group, keyed_hash("cluster", F.col("sentence_id")), "sentence_id", "_place").join(groups, group)
-    key = lambda place: F.col("_gid") * (1 << 40) + place
-    placed = durable(placed.select("_gid", "_g", "_n", (F.col("_place") - 1).alias("_place"), *cells))
-    asked = placed.select("_gid", "_g", "_n", "_place", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(samples).cast("long"))).alias("replicate"))
-    asked = with_draws(asked, F.col("_g"), F.col("replicate"), F.col("_place"), F.col("_n"), "_draw")
-    asked = asked.select("_gid", "replicate", F.coalesce(key(F.col("_draw")), F.lit(-1)).alias("_at"))
-    found = placed.select(key(F.col("_place")).alias("_at"), *cells)
-    found = F.broadcast(found) if placed.count() <= MOST_BROADCAST else found
-    sums = asked.join(found, "_at").groupBy("_gid", "replicate").agg(*(F.sum(c).alias(c) for c in cells))
-    return sums.join(F.broadcast(groups.select("_gid", *group)), "_gid").drop("_gid")
+    end = F.sum("_m").over(Window.partitionBy(*group).orderBy(*cells).rowsBetween(Window.unboundedPreceding, 0))
+    listed = vectors.withColumn("_end", end).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_end", F.array(*(F.col(c).cast("double") for c in cells)).alias("x")))).alias("v"))
+    whole = lambda c: F.lit(c).cast("long")
+    work = listed.join(groups, group).select("_gid", "_g", "_n", F.col("v._end").alias("ends"), F.flatten("v.x").alias("cells"), F.explode(F.sequence(whole(1), whole(samples), whole(TOGETHER))).alias("first"))
+    work = work.withColumn("start", F.explode(F.sequence(whole(0), F.col("_n") - 1, whole(CHUNK))))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for gid, g, n, ends, x, first, start in zip(*(c.to_pylist() for c in batch.columns)):
+                ends, x = np.array(ends), np.array(x).reshape(len(ends), -1)
+                places = np.arange(start, min(start + CHUNK, n))
+                replicates = range(first, min(first + TOGETHER, samples + 1))
+                sums = np.array([np.bincount(np.searchsorted(ends, draws(g, r, places, n), side="right"), minlength=len(ends)) @ x for r in replicates])
+                yield pa.RecordBatch.from_arrays([pa.array([gid] * len(sums)), pa.array(replicates), *map(pa.array, sums.T)], ["_gid", "replicate", *cells])
+
+    shape = ", ".join(["_gid long", "replicate long", *(f"{c} double" for c in cells)])
+    parts = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = work.repartition(4 * parts, "_gid", "first", "start").mapInArrow(draw, shape).groupBy("_gid", "replicate").agg(*(F.sum(c).alias(c) for c in cells))
+    return sums.join(groups.select("_gid", *group), "_gid").drop("_gid")
 
 
 def _interval(replicates: DataFrame, group: list[str], **values: Column) -> DataFrame:

@@ -133,11 +133,15 @@ def subsets(by: str, source: str, readers: bool = False) -> str:
     return q + f", v_in AS (SELECT x.*, q25, q50 FROM {source} x JOIN v_cut USING ({by}, seed)), v_sub AS (" + " UNION ALL ".join(f"SELECT *, '{t}' AS subset_type, {n} AS subset_name, {f} AS with_f1 FROM v_in WHERE {w}" for t, n, w, f in parts) + ")"
 
 
-def drawn(clusters: str, group: str, seed: int, name: str) -> str:
+#: Hits, predictions and true counts by class from confusion counts, in the order of the engine's vectors.
+SIDES = ", ".join([*(x for p in "xy" for x in (*(f"{p}{k}{k}" for k in range(3)), *(f"{p}0{k} + {p}1{k} + {p}2{k}" for k in range(3)))), *(f"x{k}0 + x{k}1 + x{k}2" for k in range(3))])
+
+
+def drawn(clusters: str, group: str, seed: int, name: str, order: str) -> str:
     """Bootstrap draws: every cluster column of ``clusters`` for each replicate."""
     names = [g.strip() for g in group.split(",")]
     p, a, b, c, d = 2147483647, 104729, 15485863, 48271, 40692
-    return f"""{name}_placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {h("'cluster'", 'sentence_id')}, sentence_id) - 1 AS place, count(*) OVER (PARTITION BY {group}) AS nc, {h(str(seed), *names)} AS g, dense_rank() OVER (ORDER BY {group}) AS gid FROM {clusters}),
+    return f"""{name}_placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS place, count(*) OVER (PARTITION BY {group}) AS nc, {h(str(seed), *names)} AS g, dense_rank() OVER (ORDER BY {group}) AS gid FROM {clusters}),
 {name}_x1 AS (SELECT gid, nc, g, replicate, (g + replicate * {a} + place * {b}) % {p} AS x1 FROM {name}_placed, (SELECT unnest(range(1, {SAMPLES + 1})) AS replicate)),
 {name}_x2 AS (SELECT *, (x1 * x1 + g) % {p} AS x2 FROM {name}_x1),
 {name}_x3 AS (SELECT *, (x2 * x2 + x1 * {c}) % {p} AS x3 FROM {name}_x2),
@@ -145,14 +149,15 @@ def drawn(clusters: str, group: str, seed: int, name: str) -> str:
 {name} AS (SELECT k.replicate, p.* FROM {name}_asked k JOIN {name}_placed p USING (gid, place))"""
 
 
-def accuracy_ci(source: str, group: str, seed: int) -> str:
-    return f"""v_acc0 AS (SELECT {group}, sentence_id, sum(delta) AS s, count(delta) AS c FROM {source} GROUP BY ALL), {drawn('v_acc0', group, seed, 'v_accd')},
+def accuracy_ci(source: str, group: str, seed: int, sides: tuple[str, str] | None = None) -> str:
+    cells = f", {confusion('target', sides[0], 'x')}, {confusion('target', sides[1], 'y')}" if sides else ""
+    return f"""v_acc0 AS (SELECT {group}, sentence_id, sum(delta) AS s, count(delta) AS c{cells} FROM {source} GROUP BY {group}, sentence_id), {drawn('v_acc0', group, seed, 'v_accd', SIDES if sides else 's, c')},
 v_acc AS (SELECT {group}, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM (SELECT {group}, replicate, sum(s)::DOUBLE / sum(c) AS d FROM v_accd GROUP BY ALL) GROUP BY {group})"""
 
 
 def f1_ci(source: str, group: str, seed: int, a: str, b: str, present: bool) -> str:
     cells = ", ".join(f"sum({p}{i}{j}) AS {p}{i}{j}" for p in "xy" for i in range(3) for j in range(3))
-    return f"""v_f10 AS (SELECT {group}, sentence_id, {confusion('target', a, 'x')}, {confusion('target', b, 'y')} FROM {source} GROUP BY {group}, sentence_id), {drawn('v_f10', group, seed, 'v_f1d')},
+    return f"""v_f10 AS (SELECT {group}, sentence_id, {confusion('target', a, 'x')}, {confusion('target', b, 'y')} FROM {source} GROUP BY {group}, sentence_id), {drawn('v_f10', group, seed, 'v_f1d', SIDES)},
 v_f1 AS (SELECT {group}, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM (SELECT {group}, {macro('x', present)} - {macro('y', present)} AS d FROM (SELECT {group}, replicate, {cells} FROM v_f1d GROUP BY {group}, replicate)) GROUP BY {group}),
 v_f1seen AS (SELECT {group}, {macro('x', present)} - {macro('y', present)} AS delta_macro_f1 FROM (SELECT {group}, {cells} FROM v_f10 GROUP BY {group}))"""
 
@@ -163,7 +168,7 @@ v_seed AS (SELECT {G3}, count_if(d > 0) AS n_seeds_modality_better FROM (SELECT
 v_contrib AS (SELECT x.*, a.low AS delta_accuracy_ci95_low, a.high AS delta_accuracy_ci95_high, s.n_seeds_modality_better FROM
  (SELECT {G3}, any_value(text_mode) AS text_mode, any_value(eeg_control) AS eeg_control, count(DISTINCT sentence_id) AS n_sentences, count(*) AS n_seed_predictions, avg(correct_with_eeg) AS with_modality_accuracy, avg(correct_without_eeg) AS without_modality_accuracy,
  avg(delta) AS delta_accuracy, avg(prediction_changed) AS prediction_changed_rate, sum(favorable_flip) AS favorable_flip_count, sum(unfavorable_flip) AS unfavorable_flip_count FROM v_sub GROUP BY {G3}) x JOIN v_acc a USING ({G3}) JOIN v_seed s USING ({G3}))"""
-COMPARISONS = f"""{PAIRS}, {subsets('text_mode, control', 'v_pair')}, """ + (COMPARED := f"""{accuracy_ci('v_sub', G4, 20260723)}, v_subf AS (SELECT * FROM v_sub WHERE with_f1 = 1), {f1_ci('v_subf', G4, 20260723, 'pa', 'pc', False)},
+COMPARISONS = f"""{PAIRS}, {subsets('text_mode, control', 'v_pair')}, """ + (COMPARED := f"""{accuracy_ci('v_sub', G4, 20260723, ('pa', 'pc'))}, v_subf AS (SELECT * FROM v_sub WHERE with_f1 = 1), {f1_ci('v_subf', G4, 20260723, 'pa', 'pc', False)},
 v_seed AS (SELECT {G4}, avg(d) AS seed_delta_accuracy_mean, min(d) AS seed_delta_accuracy_min, max(d) AS seed_delta_accuracy_max, count_if(d > 0) AS n_seeds_aligned_better FROM (SELECT {G4}, seed, avg(delta) AS d FROM v_sub GROUP BY ALL) GROUP BY {G4}),
 v_cmp AS (SELECT x.* EXCLUDE ({', '.join(f'{p}{i}{j}' for p in 'xy' for i in range(3) for j in range(3))}), {macro('x')} AS aligned_macro_f1, {macro('y')} AS control_macro_f1, {macro('x')} - {macro('y')} AS delta_macro_f1, a.low AS delta_accuracy_ci95_low, a.high AS delta_accuracy_ci95_high,
  f.low AS delta_macro_f1_ci95_low, f.high AS delta_macro_f1_ci95_high, s.* EXCLUDE ({G4}) FROM
@@ -314,7 +319,9 @@ SELECT text_mode, control, count(*) AS n_seeds, {r('avg(a.macro_f1)')} AS aligne
         "gated_scoring": _gated(),
         "metadata_with_readers": f"WITH {LABELS}, {META}, {FEATURES}, {ALIGNED}, {READERS} SELECT v_meta.*, reader_count FROM v_meta JOIN v_rc USING (sentence_id)",
         "subject_layouts": "SELECT recording % 7 AS subject, arg_min(n, recording) AS n_channels FROM (SELECT user_id AS recording, count(DISTINCT event_type) AS n FROM events GROUP BY 1) GROUP BY 1",
-        "subject_ids": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND NOT regexp_full_match(source, '[A-Za-z0-9]+') THEN source WHEN doc_id % 3 = 0 THEN source ELSE regexp_replace(source, '[^A-Za-z0-9]', '', 'g') || doc_id END AS subject FROM documents",
+        "subject_ids": """WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '/d/results' || regexp_replace(source, '[^A-Za-z0-9]', '', 'g') || doc_id || '_SR.x.mat' WHEN 1 THEN '/d/results' || source || '-' || doc_id || '_SR.mat'
+ WHEN 2 THEN '/d/resultsP' || doc_id || '_SR.parquet/part-00000-a.parquet' WHEN 3 THEN '/d/my_results' || doc_id || '.mat' ELSE '/d/S' || doc_id || '.h5/part-00001-b.parquet' END AS path FROM documents)
+ SELECT doc_id, CASE WHEN regexp_matches(path, 'results[A-Za-z0-9]+_SR') THEN regexp_extract(path, 'results([A-Za-z0-9]+)_SR', 1) ELSE replace(replace(list_last(list_filter(string_split(path, '/'), lambda x: NOT regexp_matches(x, '^part-[0-9]{5}-'))), 'results', ''), '_SR.mat', '') END AS subject FROM p""",
         "run_tags": "SELECT event_id, strftime(ts, 'run_%Y%m%d_%H%M%S') AS tag FROM events",
         "labels_from_csv": f"WITH {LABELS} SELECT sentence_id, md5({NORM.format('sentence')}) AS norm_md5, sentiment_label FROM v_labels",
         "features_from_cache": f"WITH {FEATURES} SELECT sentence_id, subject, pos, {r('value')} AS value FROM v_features",

@@ -121,9 +121,11 @@ def subject_layouts(spark, sf):
 
 @query
 def subject_ids(spark, sf):
-    """Subjects of invented paths, every third one named in another way."""
-    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/d/results"), "source", F.lit("_SR.mat"))).otherwise(F.concat(F.lit("/d/results"), F.regexp_replace("source", "[^A-Za-z0-9]", ""), "doc_id", F.lit("_SR.x.mat")))
-    return views.table(spark, sf, "documents").select("doc_id", subject_from_path(name).alias("subject"))
+    """Subjects of paths of every kind: named as recordings, in folders that Spark wrote, and otherwise."""
+    named = F.regexp_replace("source", "[^A-Za-z0-9]", "")
+    kinds = [("/d/results", named, "doc_id", "_SR.x.mat"), ("/d/results", F.concat("source", F.lit("-")), "doc_id", "_SR.mat"), ("/d/resultsP", F.lit(""), "doc_id", "_SR.parquet/part-00000-a.parquet"), ("/d/my_results", F.lit(""), "doc_id", ".mat"), ("/d/S", F.lit(""), "doc_id", ".h5/part-00001-b.parquet")]
+    path = F.element_at(F.array(*(F.concat(F.lit(a), b, c, F.lit(d)) for a, b, c, d in kinds)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return views.table(spark, sf, "documents").select("doc_id", subject_from_path(path).alias("subject"))
 
 
 @query

@@ -17,7 +17,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     missing = {"sentence_id", "sentence", "sentiment_label"} - set(header.columns)
     if missing:
         raise DataError(f"no column {', '.join(sorted(missing))} among the labels")
-    rows = header.select(F.col("sentence_id").cast("double").cast("bigint").alias("sentence_id"), "sentence", F.col("sentiment_label").cast("double").cast("int").alias("sentiment_label")).dropna()
+    rows = header.select(F.col("sentence_id").cast("decimal(38, 9)").cast("bigint").alias("sentence_id"), "sentence", F.col("sentiment_label").cast("double").cast("int").alias("sentiment_label")).dropna()
     require_none(rows.groupBy("sentence_id").count().where("count > 1"), "several labels for one sentence")
     return rows.orderBy("sentence_id")
 

@@ -21,7 +21,8 @@ def test_word_count_reads_all_scripts(spark):
 
 def test_subject_from_path(spark):
     assert one(spark, text.subject_from_path(F.lit("/a/resultsZAB_SR.mat"))) == "ZAB"
-    assert one(spark, text.subject_from_path(F.lit("/a/other.mat"))) == "other"
+    for path, subject in {"/a/other.mat": "other.mat", "/d/YAC.h5": "YAC.h5", "/d/my_results.mat": "my_.mat", "/d/resultsA_SR.mat/x.mat": "A", "/d/YAC.h5/part-00000-1.parquet": "YAC.h5", "q_SR.mat": "q"}.items():
+        assert one(spark, text.subject_from_path(F.lit(path))) == subject
 
 
 def test_softmax_margin_argmax(spark):

@@ -1,9 +1,12 @@
 """Whole runs stop where their data break a rule."""
 
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxalign.functions.keyed import with_draws
+from fluxalign.functions.keyed import draws
 from fluxalign.operators import align, bootstrap, compare, cv, folds
 from fluxalign.operators.align import DataError
 from fluxalign.plans import runs, views
@@ -109,13 +112,37 @@ def test_fingerprints_tell_shapes_apart(spark):
     assert sha[1] == sha[3] != sha[2]
 
 
-def test_draws_are_even_and_differ_by_replicate(spark):
+def test_draws_are_even_and_differ_by_replicate():
     n = 10
-    x = with_draws(spark.range(200_000).withColumn("b", F.col("id") % 2000), F.lit(123456), F.col("b") + 1, F.floor(F.col("id") / 2000), F.lit(n), "d")
-    counts = [r["count"] for r in x.groupBy("d").count().collect()]
-    assert len(counts) == n and max(abs(c - 20_000) for c in counts) < 700
-    means = x.groupBy("b").agg(F.avg("d").alias("m")).agg(F.stddev("m")).first()[0]
-    assert 0.25 < means < 0.33  # 2.87 / sqrt(100)
+    x = np.array([draws(123456, r + 1, np.arange(100), n) for r in range(2000)])
+    counts = np.bincount(x.ravel())
+    assert len(counts) == n and np.abs(counts - 20_000).max() < 700
+    assert 0.25 < x.mean(axis=1).std() < 0.33  # 2.87 / sqrt(100)
+
+
+def test_sums_are_those_of_the_draws(spark, monkeypatch):
+    """Two groups of clusters with few different vectors, in any stretches of draws."""
+    rng = np.random.default_rng(1)
+    rows = [(g, i, int(rng.integers(3)), int(rng.integers(2))) for g, n in (("a", 130), ("b", 7)) for i in range(n)]
+    x = spark.createDataFrame(rows, "g string, sentence_id long, s long, c long").repartition(5)
+    got = []
+    for chunk, together in ((1 << 22, 40), (50, 3)):
+        monkeypatch.setattr(bootstrap, "CHUNK", chunk)
+        monkeypatch.setattr(bootstrap, "TOGETHER", together)
+        got.append(sorted(map(tuple, bootstrap.resampled(x, ["s", "c"], ["g"], 11, 5).select("g", "replicate", "s", "c").collect())))
+    want = []
+    for g in "ab":
+        vectors = np.array(sorted((s, c) for h, _, s, c in rows if h == g))
+        key = int(hashlib.md5(f"5|{g}".encode()).hexdigest()[:8], 16)
+        want += [(g, r, *vectors[draws(key, r, np.arange(len(vectors)), len(vectors))].sum(axis=0).tolist()) for r in range(1, 12)]
+    assert got[0] == got[1] == want
+
+
+def test_intervals_do_not_depend_on_the_number_of_clusters_held(spark):
+    """300,000 clusters of two kinds: the interval is that of a binomial share."""
+    x = spark.range(300_000).select(F.lit("g").alias("g"), F.col("id").alias("sentence_id"), (F.col("id") % 10 == 0).cast("int").alias("delta"))
+    r = bootstrap.accuracy_interval(x, ["g"], 200, 3).first()
+    assert abs(r.low - (0.1 - 1.96 * 0.000548)) < 0.0004 and abs(r.high - (0.1 + 1.96 * 0.000548)) < 0.0004
 
 
 def test_intervals_are_those_of_resampled_means(spark):

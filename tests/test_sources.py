@@ -67,12 +67,15 @@ def test_predictions_inside_documents(spark, tmp_path):
 
 
 def test_recordings_know_their_subject(spark, tmp_path):
-    spark.range(2).coalesce(1).write.parquet(str(tmp_path / "x"))
-    import glob
-    import os
+    spark.range(40).repartition(3).write.parquet(str(tmp_path / "resultsYAC_SR.parquet"))
+    spark.range(40).repartition(3).write.parquet(str(tmp_path / "other"))
+    read = lambda name: {r.subject for r in tables.read_recordings(spark, str(tmp_path / name)).collect()}
+    assert read("resultsYAC_SR.parquet") == {"YAC"} and read("other") == {"other"}
+
 
-    os.rename(glob.glob(str(tmp_path / "x" / "part*"))[0], tmp_path / "resultsYAC_SR.parquet")
-    assert {r.subject for r in tables.read_recordings(spark, str(tmp_path / "resultsYAC_SR.parquet")).collect()} == {"YAC"}
+def test_ids_keep_all_their_digits(spark, tmp_path):
+    (tmp_path / "labels.csv").write_text("sentence_id,sentence,sentiment_label\n9007199254740993,a b,1\n12.0,c,-1.0\n")
+    assert [tuple(r) for r in tables.read_labels(spark, str(tmp_path / "labels.csv")).collect()] == [(12, "c", -1), (9007199254740993, "a b", 1)]
 
 
 def test_pending_and_manifest(spark):
