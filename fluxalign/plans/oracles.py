@@ -30,7 +30,7 @@ v_meta AS (SELECT sentence_id, target, word_count, CASE WHEN word_count <= low T
  FROM v_words, (SELECT quantile_cont(word_count, 0.25) AS low, quantile_cont(word_count, 0.75) AS high FROM v_words))"""
 SAMPLES_V = "v_samples AS (SELECT user_id AS recording, event_type AS channel, ts, event_id, CASE WHEN event_id % 17 <> 0 THEN value END AS value FROM events)"
 FEATURES = """v_features AS (SELECT vec_id // 5 AS sentence_id, vec_id % 5 AS subject, pos, CASE WHEN (vec_id + pos) % 13 = 0 OR pos = 7 THEN NULL ELSE v::DOUBLE END AS value
- FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings WHERE vec_id % 11 <> 0)),
+ FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels))),
 v_flabels AS (SELECT DISTINCT sentence_id, (sentence_id % 3 - 1)::INT AS sentiment_label FROM v_features)"""
 
 
@@ -285,6 +285,7 @@ SELECT (SELECT count(*) FROM b) AS n_features, (SELECT count(*) FROM b WHERE see
         "noise_control": f"WITH {FEATURE_SPLITS}, {rows_al} SELECT seed, fold, split, sentence_id, subject, pos, {r(noise)} AS value FROM v_rows",
         "fold_preprocessing": f"WITH {FEATURE_SPLITS}, {rows_al}, {fit('v_rows')} SELECT seed, fold, pos, observed, {cols('median', 'mean', 'std')} FROM v_fit",
         "shuffled_transform": f"WITH {FEATURE_SPLITS}, {rows_sh}, {fit('v_rows')} SELECT t.seed, t.fold, t.split, t.sentence_id, t.subject, t.pos, {r('CASE WHEN f.observed THEN (coalesce(t.value, f.median) - f.mean) / f.std ELSE 0.0 END')} AS value FROM v_rows t JOIN v_fit f USING (seed, fold, pos)",
+        "experiment_predictions": f"WITH {FEATURES}, v_have AS (SELECT f.* FROM v_flabels f JOIN documents d ON d.doc_id = f.sentence_id), {folds('v_have', '(VALUES (42)) s(seed)')} SELECT 'gated_frozen' AS setup, seed, fold, sentence_id, sentiment_label + 1 AS target, true AS fits_logits, true AS parts_add_up FROM v_fold",
         "pooled_features": f"WITH {FEATURES} SELECT sentence_id, pos, {r('avg(value)')} AS value FROM v_features GROUP BY ALL",
         "classification_metrics": f"WITH {BASE}, {metrics('setup, seed')} SELECT setup, seed, n, {', '.join(cells)}, {cols(*metric_cols)} FROM v_metrics",
         "log_loss": f"WITH {BASE} SELECT setup, seed, {r('avg(-ln(exp(wi[target + 1] - list_max(wi)) / (exp(wi[1] - list_max(wi)) + exp(wi[2] - list_max(wi)) + exp(wi[3] - list_max(wi)))))')} AS loss FROM v_scored GROUP BY ALL",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import uniform
 from ..functions.text import normalize_text, subject_from_path, word_count
-from ..functions.vectors import argmax, class_name
+from ..functions.vectors import argmax, class_name, l2, minus
 from ..operators import align, compare, controls, cv, diagnostics, folds, metrics, preprocess, scoring, signal_features
 from ..sources import runs, tables
 from ..sources.shared import durable, shared_folder
@@ -472,6 +472,18 @@ def gated_scoring(spark, sf):
     return rounded(x.join(z, "sentence_id"))
 
 
+@query
+def experiment_predictions(spark, sf):
+    """An experiment of the gated setup: who is predicted where, and that its parts add up."""
+    sentences = views.table(spark, sf, "documents").select(F.col("doc_id").alias("sentence_id"), F.col("text").alias("sentence"))
+    labels = views.feature_labels(spark, sf).join(sentences, "sentence_id")
+    found, _ = whole_runs.experiment(views.features(spark, sf), labels, "gated_frozen", SEEDS[:1], [0.1])
+    added = l2(minus(F.col("logits_with_eeg"), F.col("logits_without_eeg")))
+    return found.select(
+        "setup", "seed", "fold", "sentence_id", "target", (F.col("prediction") == argmax(F.col("logits_with_eeg"))).alias("fits_logits"),
+        ((F.abs(added - F.col("gated_eeg_contribution_norm")) < 1e-9) & (F.col("text_embedding_norm") > 0)).alias("parts_add_up"))
+
+
 @query
 def cross_validated(spark, sf):
     """Out-of-fold predictions of text and signal together, two penalties."""

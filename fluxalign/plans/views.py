@@ -42,8 +42,9 @@ def bands(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sentence_id, subject, pos, value in long form; a missing recording has no rows."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 11 != 0").select("vec_id", F.posexplode("embedding").alias("pos", "value"))
+    """sentence_id, subject, pos, value in long form; a recording that has no label is missing and has no rows."""
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"))
+    e = table(spark, sf_dir, "embeddings").join(labelled, "vec_id", "left_semi").select("vec_id", F.posexplode("embedding").alias("pos", "value"))
     gone = ((F.col("vec_id") + F.col("pos")) % 13 == 0) | (F.col("pos") == 7)
     return e.select(F.floor(F.col("vec_id") / 5).alias("sentence_id"), (F.col("vec_id") % 5).alias("subject"), "pos", F.when(~gone, F.col("value").cast("double")).alias("value"))
 

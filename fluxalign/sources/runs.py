@@ -86,6 +86,20 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/predictions").drop("_setup", "_seed")
 
 
+def mark_done(spark: SparkSession, path: str, rows: list[tuple[str, int]]) -> None:
+    """Markers of setups and seeds whose results are complete; the last thing that a run writes."""
+    marks = spark.createDataFrame(rows, "setup string, seed int").withColumns({"_setup": F.col("setup"), "_seed": F.col("seed")})
+    marks.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_setup", "_seed").parquet(f"{path}/done")
+
+
+def done(spark: SparkSession, path: str) -> DataFrame:
+    """setup, seed of the markers in a run's folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "setup string, seed int")
+    return spark.read.schema("setup string, seed int").parquet(f"{path}/done").select("setup", "seed")
+
+
 def prediction_rows(results: DataFrame) -> DataFrame:
     """setup, seed, text_mode, eeg_control and the fields of predictions inside documents."""
     x = results.select("setup", "seed", "text_mode", "eeg_control", F.explode("predictions").alias("p"))
