@@ -288,7 +288,7 @@ def test_bitmaps_never_rule_out_a_link():
 @pytest.mark.parametrize("block", [2048, 5])
 def test_jaccard_groups_near_the_threshold(spark, monkeypatch, block):
     """A family of 90 texts of 150 words whose pairs lie on both sides of the threshold, in blocks."""
-    monkeypatch.setattr(jaccard_join._product, "__defaults__", (False, block))
+    monkeypatch.setattr(jaccard_join._product, "__defaults__", (block,))
     rng = random.Random(17)
     base = [f"w{i}" for i in range(150)]
     rows = []
@@ -403,3 +403,20 @@ def test_toxicity_learns_and_handles_nulls(spark):
     empty = toxicity.train(spark, df, labels.limit(0))
     assert toxicity.score(df, empty).where("predicted = 1").count() == 0
     assert toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_components_alone_and_contracted(spark):
+    rng = random.Random(61)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(500 + i, 501 + i) for i in range(60)] + [(700, 700 + i) for i in range(50)] + [(-5, 700), (-9, -9)]
+    least = {x: x for pair in links for x in pair}
+    while True:
+        before = dict(least)
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    df = spark.createDataFrame(links, "a long, b long").repartition(4)
+    for most in (0, 1 << 20):
+        got = {r.node: r.component for r in components(df, most).collect()}
+        assert got == {k: v for k, v in least.items() if most or k != -9}  # a node that only links itself stays alone
+    assert components(df.limit(0)).count() == 0
