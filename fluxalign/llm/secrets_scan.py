@@ -26,7 +26,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -61,12 +63,18 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
-    covered = [(s, e) for s, _, e, _ in out]
+    # Base spans by their ends: once a token is past an end, so are all later ones.
+    by_end = sorted((e, s) for s, _, e, _ in out)
+    least = list(accumulate((s for _, s in reversed(by_end)), min))[::-1]  # start of any span from here on
+    at = 0
     for m in MIXED.finditer(text):
+        while at < len(by_end) and by_end[at][0] <= m.start():
+            at += 1
+        if at < len(by_end) and least[at] < m.end():
+            continue
         v = m[0]
         if re.search("[a-z]", v) and re.search("[A-Z]", v) and re.search("[0-9]", v) and entropy(v) >= 3.5:
-            if not any(s < m.end() and m.start() < e for s, e in covered):
-                out.append((m.start(), 3, m.end(), v))
+            out.append((m.start(), 3, m.end(), v))
     return [(s, k, e, digest(v.encode()) - (1 << 63)) for s, k, e, v in sorted(out)]
 
 
@@ -74,6 +82,16 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def redacted(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with each stretch that spans cover replaced by the mark."""
+    out, end = [], 0
+    for s, e in sorted(spans):
+        if s >= end:
+            out += [text[end:s], mark]
+        end = max(end, e)
+    return "".join(out) + text[end:]
+
+
 FOUND = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32()), ("h", pa.int64())]))
 
 
@@ -134,14 +152,13 @@ def redact(docs: DataFrame, owner: Column | None = None, repository: Column | No
     """The documents with every span that looks live replaced by ``mark``; all rows stay."""
     live = durable(scan(docs, owner, repository, most_owners, most_repositories).where("n_live > 0").select("pk", "th", "live"))
     live = F.broadcast(live) if live.count() <= MOST_BROADCAST else live
-    # Spans from the last to the first, so that earlier places stay valid; overlaps merge.
-    merged = F.aggregate(
-        "live", F.expr("cast(array() as array<struct<s:int,e:int>>)"),
-        lambda done, x: F.when((F.size(done) > 0) & (x["s"] < F.element_at(done, -1)["e"]), F.concat(
-            F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["s"].alias("s"), F.greatest(F.element_at(done, -1)["e"], x["e"]).alias("e"))),
-        )).otherwise(F.concat(done, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))))
-    clean = F.aggregate(F.reverse("merged"), F.col("row.text").cast("string"), lambda t, x: F.concat(F.substring(t, F.lit(1), x["s"]), F.lit(mark), F.substring(t, x["e"] + 1, F.length(t))))
     # A row stays one struct, so that its columns may have any names.
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("pk"), text_hash(F.col("text").cast("string")).alias("th"))
-    out = keyed.join(live.withColumn("merged", merged).select("pk", "th", "merged"), ["pk", "th"], "left")
-    return out.select(F.col("row").withField("text", F.when(F.col("merged").isNull(), F.col("row.text")).otherwise(clean)).alias("row")).select("row.*")
+
+    @F.pandas_udf("string")
+    def clean(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else redacted(t, list(zip(s.tolist(), e.tolist())), mark) for t, s, e in zip(text, starts, ends)], dtype=object)
+
+    text, found = F.col("row.text").cast("string"), F.col("live").isNotNull()
+    out = keyed.join(live, ["pk", "th"], "left").withColumn("clean", clean(F.when(found, text), F.col("live.s"), F.col("live.e")))  # texts without live spans stay in the JVM
+    return out.select(F.col("row").withField("text", F.when(found, F.col("clean")).otherwise(F.col("row.text"))).alias("row")).select("row.*")
