@@ -2,9 +2,11 @@
 
 Of every 6 neighbouring 5-grams the one with the least hash is kept (the leftmost of equals),
 in documents and benchmark items alike, so any 10 words that both have share a kept 5-gram.
-Matches of kept 5-grams are extended word by word in both directions; extensions of at least 10
-words are hits, checked on the words themselves. An item with fewer than 10 words is one window
-and is looked up whole.
+Matches of kept 5-grams are extended to the windows of 10 words that keep them: the benchmark's
+windows are indexed by their hashes, each with the items that have it, and a hit is checked on the
+words themselves. A 5-gram that very many items share costs no more than any other, since the work
+is one look-up for each window that keeps a known 5-gram, and one list of items for each different
+window that hits. An item with fewer than 10 words is one window and is looked up whole.
 
 The benchmark is cut into blocks of at most ``block_bytes`` of text, each of which is collected
 and broadcast; documents stream against one block after the other, without a shuffle. Usually
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, texts
-from .windows import chunks, mix, rolling
+from .windows import chunks, mix, rolling, sliding_min
 
 #: ASCII to lower case; ASCII that is no letter or digit ends a word; other bytes are letters.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -43,81 +45,84 @@ def symbols(parts: list[list[bytes]]) -> np.ndarray:
     return np.array([digest(w) for x in parts for w in x], np.uint64)
 
 
-def winnow(sym: np.ndarray, lens: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the k-grams kept, over documents laid end to end."""
+def kept_grams(sym: np.ndarray, lens: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hash of the k-gram kept) of the windows, over documents laid end to end."""
     if len(sym) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    gram = mix(rolling(sym, k))
-    w = window - k + 1
-    best = np.arange(len(gram) - w + 1)
-    least = gram[: len(best)].copy()
-    for j in range(1, w):
-        other = gram[j : j + len(best)]
-        less = other < least
-        best[less] = np.flatnonzero(less) + j
-        least[less] = other[less]
-    ends = np.repeat(np.cumsum(lens), lens)[: len(best)]
-    kept = np.unique(best[np.arange(len(best)) + window <= ends])
-    return kept, gram[kept]
+    starts = np.arange(len(sym) - window + 1)
+    starts = starts[starts + window <= np.repeat(np.cumsum(lens), lens)[: len(starts)]]
+    return starts, sliding_min(mix(rolling(sym, k)), window - k + 1)[starts]
+
+
+class Windows:
+    """Windows of m words by their hashes: the words of each, and the numbers of the items with it."""
+
+    def __init__(self, m: int, found: list[tuple[int, int, bytes]]) -> None:
+        """found: (hash, item, words)."""
+        self.m = m
+        by_words: dict[tuple[int, bytes], list[int]] = {}
+        for h, item, raw in found:
+            by_words.setdefault((h, raw), []).append(item)
+        keys = sorted(by_words)
+        self.hashes = np.array([h for h, _ in keys], np.uint64)
+        self.words = [raw for _, raw in keys]
+        self.items = [np.unique(by_words[x]) for x in keys]
+
+    def hits(self, at: np.ndarray, hashes: np.ndarray, ends: np.ndarray, parts: list[list[bytes]]) -> Iterator[tuple[int, int, int]]:
+        """(document, place in it, number of the window) of the windows at the places that have these hashes."""
+        first = np.searchsorted(self.hashes, hashes)
+        known = np.flatnonzero(self.hashes[np.minimum(first, len(self.hashes) - 1)] == hashes) if len(self.hashes) else ()
+        docs = np.searchsorted(ends, at[known], side="right")
+        for i, d in zip(known, docs.tolist()):
+            p, n = int(at[i] - ends[d]) + len(parts[d]), int(first[i])
+            raw = b" ".join(parts[d][p : p + self.m])
+            while n < len(self.words) and self.hashes[n] == hashes[i]:  # two windows may have one hash
+                if self.words[n] == raw:
+                    yield d, p, n
+                n += 1
 
 
 class Benchmark:
-    """Kept 5-grams of one block of items, and the items that are shorter than a window."""
+    """The windows of one block of items under their kept grams, and the items that are shorter."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int, k: int) -> None:
         self.window, self.k = window, k
-        self.items = [(i, words(t)) for i, t in items]
-        place, gram, self.short = [], [], {}
-        for n, (_, w) in enumerate(self.items):
-            sym = symbols([w])
-            if 0 < len(w) < window:
-                self.short.setdefault(len(w), {}).setdefault(int(mix(rolling(sym, len(w)))[0]), []).append(n)
-            at, h = winnow(sym, np.array([len(w)]), window, k)
-            place += [(n, q) for q in at.tolist()]
-            gram.append(h)
-        gram = np.concatenate([np.zeros(0, np.uint64), *gram])
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.place = gram[order], [place[i] for i in order.tolist()]
-        self.shorts = {m: np.array(sorted(x), np.uint64) for m, x in self.short.items()}
+        self.items = [i for i, _ in items]
+        found: dict[int, list] = {window: []}
+        grams = [np.zeros(0, np.uint64)]
+        for n, (_, text) in enumerate(items):
+            w = words(text)
+            if not w:
+                continue
+            sym, m = symbols([w]), min(len(w), window)
+            hashes = mix(rolling(sym, m)).tolist()
+            found.setdefault(m, []).extend((h, n, b" ".join(w[q : q + m])) for q, h in enumerate(hashes))
+            grams.append(np.unique(kept_grams(sym, np.array([len(w)]), window, k)[1]))
+        self.grams = np.unique(np.concatenate(grams))
+        self.whole = Windows(window, found.pop(window))
+        self.short = [Windows(m, found[m]) for m in sorted(found)]
 
     def find(self, parts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[int]]]:
         """For each document, spans of hit words and the numbers of items."""
-        out = [([], set()) for _ in parts]
+        spans: list[list] = [[] for _ in parts]
+        seen: list[dict] = [{} for _ in parts]
         lens = np.array([len(x) for x in parts], np.int64)
-        ends = np.cumsum(lens)
-        sym = symbols(parts)
-        at, gram = winnow(sym, lens, self.window, self.k)
-        lo, hi = (np.searchsorted(self.gram, gram, side=s) for s in ("left", "right"))
-        known: dict[tuple[int, int, int], int] = {}
-        for i in np.flatnonzero(hi > lo).tolist():
-            d = int(np.searchsorted(ends, at[i], side="right"))
-            p, doc = int(at[i] - ends[d] + lens[d]), parts[d]
-            for n, q in self.place[int(lo[i]) : int(hi[i])]:
-                if known.get((d, n, p - q), -1) > p:
-                    continue
-                item = self.items[n][1]
-                a, b, c = p, q, 0
-                while a and b and doc[a - 1] == item[b - 1]:
-                    a, b = a - 1, b - 1
-                while a + c < len(doc) and b + c < len(item) and doc[a + c] == item[b + c]:
-                    c += 1
-                known[d, n, p - q] = max(a + c, p + 1)
-                if c >= self.window:
-                    out[d][0].append((a, a + c))
-                    out[d][1].add(n)
-        for m, table in self.shorts.items():
-            if len(sym) < m:
-                continue
-            gram = mix(rolling(sym, m))
-            near = table[np.minimum(np.searchsorted(table, gram), len(table) - 1)] == gram
-            for i in np.flatnonzero(near).tolist():
-                d = int(np.searchsorted(ends, i, side="right"))
-                p = int(i - ends[d] + lens[d])
-                for n in self.short[m][int(gram[i])]:
-                    if parts[d][p : p + m] == self.items[n][1]:
-                        out[d][0].append((p, p + m))
-                        out[d][1].add(n)
-        return out
+        ends, sym = np.cumsum(lens), symbols(parts)
+        starts, gram = kept_grams(sym, lens, self.window, self.k)
+        if len(self.grams) and len(starts):
+            starts = starts[self.grams[np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)] == gram]
+            self._take(self.whole, starts, mix(rolling(sym, self.window))[starts] if len(starts) else gram[:0], ends, parts, spans, seen)
+        for short in self.short:
+            if len(sym) >= short.m:
+                starts = np.arange(len(sym) - short.m + 1)
+                within = starts + short.m <= np.repeat(ends, lens)[: len(starts)]
+                self._take(short, starts[within], mix(rolling(sym, short.m))[within], ends, parts, spans, seen)
+        return [(x, {i for which, numbers in by.items() for n in numbers for i in which.items[n].tolist()}) for x, by in zip(spans, seen)]
+
+    def _take(self, which: Windows, at: np.ndarray, hashes: np.ndarray, ends: np.ndarray, parts: list, spans: list, seen: list) -> None:
+        for d, p, n in which.hits(at, hashes, ends, parts):
+            spans[d].append((p, p + which.m))
+            seen[d].setdefault(which, set()).add(n)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
@@ -171,7 +176,7 @@ def _scan(shared, name: tuple, last: bool, brief: bool):
             for a, b in chunks([len(x) for x in raw]):
                 parts = [words(x) for x in raw[a:b]]
                 for w, (spans, numbers), old in zip(parts, block.find(parts), before[a:b]):
-                    items = {block.items[n][0] for n in numbers} - {None}
+                    items = {block.items[n] for n in numbers} - {None}
                     if old:
                         old_spans, old_items = json.loads(old)
                         spans, items = spans + old_spans, items | set(old_items)

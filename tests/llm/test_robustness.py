@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import corpus_pipeline
 import pytest
@@ -110,6 +111,40 @@ def test_secret_scan_against_brute_force(spark):
     assert all("mixed" in got[i][1] for i in live) and not any("mixed" in got[i][1] for i in dead)
 
 
+def test_a_long_list_of_keys_is_scanned_in_one_go():
+    """5 MB of hex strings and mixed tokens: in seconds, and as the plain rule says on a part of it."""
+    rng = random.Random(52)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    tokens = ["".join(rng.choice("0123456789abcdef" if i % 2 else letters) for _ in range(26)) for i in range(2000)]
+    tokens += ["password=" + t for t in tokens[:50]] + ["secret: " + t[:10] + "=" + t for t in tokens[:50]]
+    rng.shuffle(tokens)
+    want = brute_scan([(1, " ".join(tokens), "en", "s")])[1][1]
+    assert secrets_scan.joined((s, k, e) for s, k, e, _ in secrets_scan.candidates(" ".join(tokens))) == want
+    text = " ".join(tokens * 90)
+    began = time.process_time()
+    found = secrets_scan.candidates(text)
+    clean = secrets_scan.redacted(text, [(s, e) for s, _, e, _ in found], "[SECRET]")
+    assert time.process_time() - began < 10 and len(text) > 5_000_000 and len(found) > 100_000
+    assert len(clean) < 0.6 * len(text) and secrets_scan.redacted("abcdefgh", [(1, 3), (2, 4), (4, 5), (7, 8)], "#") == "a##fg#"
+
+
+def test_a_common_phrase_costs_no_more_than_others():
+    """Thousands of items and places of a document share five words, or whole windows."""
+    word = lambda rng: "".join(rng.choice("abcdefghij") for _ in range(6)).encode()
+    rng, phrase, ten = random.Random(53), b"what is the correct answer", b"answer with a b c or d and say why"
+    for common, hits in ((phrase, 0), (ten, 8000)):
+        items = [(str(i), b" ".join([*(word(rng) for _ in range(6)), common, *(word(rng) for _ in range(6))])) for i in range(8000)]
+        text = b" ".join(b" ".join([word(rng), word(rng), word(rng), word(rng), common]) for _ in range(8000))
+        index = decontamination.Benchmark(items, 10, 5)
+        began = time.process_time()
+        spans, numbers = index.find([decontamination.words(text)])[0]
+        assert time.process_time() - began < 5 and hits <= len(spans) < hits + 500 and len(numbers) == hits  # a neighbour may agree too
+    long = b" ".join(word(rng) for _ in range(700_000))  # 5 MB
+    index = decontamination.Benchmark([(str(i), long[i * 40_000 + 3 : i * 40_000 + 500]) for i in range(100)], 10, 5)
+    began = time.process_time()
+    assert len(index.find([decontamination.words(long)])[0][1]) == 100 and time.process_time() - began < 10
+
+
 def test_toxicity_on_held_out_labels(spark):
     """Held-out documents of the largest table: 0.9 of the toxic ones found, 0.01 of the others rejected at most."""
     big = "/root/testdata/sf0.1"
