@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax, class_name, l2, margin, minus, ratio, softmax
 from .align import require_none
-from .folds import rank_in_buckets
+from .folds import rank_by_range
 
 NORMS = ["text_embedding_norm", "eeg_embedding_norm", "candidate_eeg_contribution_norm", "gated_eeg_contribution_norm"]
 
@@ -48,8 +48,8 @@ def quartiles(rows: DataFrame, by: list[str], value: str = "text_path_confidence
 
 
 def ranked(rows: DataFrame, by: list[str], value: str = "text_path_confidence") -> DataFrame:
-    """Adds _rank and _n within ``by`` and confidence_quartile; the value lies in 0 to 1."""
-    x = rank_in_buckets(rows, by, F.col(value), F.col(value), "sentence_id", "_rank", "_n")
+    """Adds _rank and _n within ``by`` and confidence_quartile."""
+    x = rank_by_range(rows, by, value, "sentence_id", "_rank", "_n")
     edge = lambda q: F.col("_rank") <= 1 + (F.col("_n") - 1) * q
     name: Column = F.when(edge(0.25), "q1_lowest").when(edge(0.5), "q2").when(edge(0.75), "q3").otherwise("q4_highest")
     return x.withColumn("confidence_quartile", name)

@@ -2,7 +2,7 @@
 
 Places within a class follow from keyed hashes. Classes are few, so the ranks inside a class are
 computed over hash buckets: a bucket's offset is a running sum over BUCKETS rows, and only
-the rows of one bucket are ordered together.
+the rows of one bucket are ordered together. Ranks of values that may crowd go over ranges instead.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed_hash
+from ..sources.shared import durable
 
 BUCKETS = 4096
 
@@ -31,6 +32,22 @@ def rank_in_buckets(df: DataFrame, group: list[str], value: Column, share: Colum
     return (x if size is None else x.withColumn(size, F.col("_all"))).drop("_h", "_b", "_r", "_o", "_all")
 
 
+def rank_by_range(df: DataFrame, group: list[str], value: str, tie: str, name: str, size: str) -> DataFrame:
+    """row_number by (value, tie) within a group, and the group's size, however the values are spread.
+
+    Rows are dealt by ranges of (group, value, tie) that Spark takes from a sample of them, so a value
+    that most rows have is cut by the tie, and a group spans as many tasks as its rows need. The
+    partitions are written once: both the places inside them and their offsets read the same ones.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = durable(df.repartitionByRange(parts, *group, value, tie).withColumn("_p", F.spark_partition_id()))
+    by = Window.partitionBy(*group)
+    sizes = x.groupBy(*group, "_p").agg(F.count("*").alias("_n"))
+    sizes = sizes.select(*group, "_p", (F.sum("_n").over(by.orderBy("_p")) - F.col("_n")).alias("_o"), F.sum("_n").over(by).alias(size))
+    inside = F.row_number().over(Window.partitionBy(*group, "_p").orderBy(value, tie))
+    return x.withColumn("_r", inside).join(sizes, [*group, "_p"]).withColumn(name, (F.col("_r") + F.col("_o")).cast("long")).drop("_p", "_r", "_o")
+
+
 def rank_by_hash(df: DataFrame, group: list[str], h: Column, tie: str, name: str) -> DataFrame:
     """row_number by (h, tie) within a group; h has 32 bits."""
     return rank_in_buckets(df, group, h, h / (1 << 32), tie, name)

@@ -28,8 +28,8 @@ def transform(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     x = rows.withColumn("value", known(F.col("value"))).join(F.broadcast(fitted), FEATURE, "left")
     trained = F.broadcast(fitted.select("seed", "fold").distinct().withColumn("_trained", F.lit(True)))
     missing = F.concat(F.lit("no train rows for seed "), F.col("seed").cast("string"), F.lit(", fold "), F.col("fold").cast("string"))
-    x = x.join(trained, ["seed", "fold"], "left").withColumn("fold", F.when(F.col("_trained"), F.col("fold")).otherwise(F.raise_error(missing).cast("int")))
-    scaled = F.when(F.col("observed"), (F.coalesce("value", "median") - F.col("mean")) / F.col("std")).otherwise(0.0)
+    x = x.join(trained, ["seed", "fold"], "left")
+    scaled = F.when(F.col("_trained").isNull(), F.raise_error(missing).cast("double")).when(F.col("observed"), (F.coalesce("value", "median") - F.col("mean")) / F.col("std")).otherwise(0.0)
     return x.select("seed", "fold", "split", "sentence_id", "subject", "pos", scaled.alias("value"))
 
 

@@ -116,6 +116,18 @@ def test_quartiles_of_six(spark):
     assert got == ["q1_lowest", "q1_lowest", "q2", "q3", "q4_highest", "q4_highest"]
 
 
+def test_ranks_of_crowded_values_are_spread(spark):
+    """Most confidences near or at 1: exact ranks, and no partition with more than its share."""
+    x = spark.range(60_000).select(F.lit("g").alias("g"), F.col("id").alias("sentence_id"), F.when(F.col("id") % 10 == 0, F.rand(3)).when(F.col("id") % 3 == 0, 1.0).otherwise(1 - F.exp(-6 - 8 * F.rand(4))).alias("c"))
+    x = x.unionByName(spark.createDataFrame([("h", i, 0.5) for i in range(5)], x.schema)).persist()
+    got = folds.rank_by_range(x, ["g"], "c", "sentence_id", "k", "n").collect()
+    for g in "gh":
+        rows = sorted((r.c, r.sentence_id, r.k, r.n) for r in got if r.g == g)
+        assert [r[2] for r in rows] == list(range(1, len(rows) + 1)) and {r[3] for r in rows} == {len(rows)}
+    sizes = [r["count"] for r in x.repartitionByRange(8, "g", "c", "sentence_id").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * 60_000 / 8
+
+
 DECISION = "text_mode string, control string, subset_name string, delta_accuracy double, delta_accuracy_ci95_low double, n_seeds_aligned_better int"
 
 
