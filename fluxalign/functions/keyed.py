@@ -31,8 +31,15 @@ PRIME, BY_REPLICATE, BY_PLACE, STEP_A, STEP_B = 2147483647, 104729, 15485863, 48
 def draws(g: int, replicate: int, place: np.ndarray, n: int) -> np.ndarray:
     """The draws at these places of a replicate: 0 to n - 1, by squaring modulo a prime (no product
     exceeds 63 bits for places below 2^39)."""
-    x1 = (g + replicate * BY_REPLICATE + place * BY_PLACE) % PRIME
-    x2 = (x1 * x1 + g) % PRIME
-    x3 = (x2 * x2 + x1 * STEP_A) % PRIME
-    x4 = (x3 * x3 + x2 * STEP_B + replicate) % PRIME
+    x1 = _rest(g + replicate * BY_REPLICATE + place * BY_PLACE)
+    x2 = _rest(x1 * x1 + g)
+    x3 = _rest(x2 * x2 + x1 * STEP_A)
+    x4 = _rest(x3 * x3 + x2 * STEP_B + replicate)
     return (x3 * 2147483648 + x4) % n
+
+
+def _rest(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, which is 2^31 - 1: the high bits count once more as low ones."""
+    for _ in range(2):
+        x = (x & PRIME) + (x >> 31)
+    return x - PRIME * (x >= PRIME)

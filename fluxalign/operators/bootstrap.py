@@ -50,7 +50,10 @@ def resampled(clusters: DataFrame, cells: list[str], group: list[str], samples:
                 ends, x = np.array(ends), np.array(x).reshape(len(ends), -1)
                 places = np.arange(start, min(start + CHUNK, n))
                 replicates = range(first, min(first + TOGETHER, samples + 1))
-                sums = np.array([np.bincount(np.searchsorted(ends, draws(g, r, places, n), side="right"), minlength=len(ends)) @ x for r in replicates])
+                # Up to CHUNK places are looked up in a list of their vectors, more among the vectors' ends.
+                which = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)) if n <= CHUNK else None
+                at = lambda d: np.searchsorted(ends, d, side="right") if which is None else which[d]  # noqa: B023, E731
+                sums = np.array([np.bincount(at(draws(g, r, places, n)), minlength=len(ends)) @ x for r in replicates])
                 yield pa.RecordBatch.from_arrays([pa.array([gid] * len(sums)), pa.array(replicates), *map(pa.array, sums.T)], ["_gid", "replicate", *cells])
 
     shape = ", ".join(["_gid long", "replicate long", *(f"{c} double" for c in cells)])
