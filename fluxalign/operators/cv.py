@@ -20,14 +20,14 @@ from ..sources.shared import durable
 from .align import require_none
 from .controls import apply_control
 from .metrics import classification_metrics, mean_log_loss
-from .preprocess import fit, pooled, transform
+from .preprocess import fit_control, pooled, transform
 from .scoring import linear
 
 
 def signal_block(features: DataFrame, splits: DataFrame, control: str) -> DataFrame:
     """seed, fold, split, sentence_id, signal: control, then preprocessing fitted on train rows."""
     rows = apply_control(features, splits, control)
-    mean = pooled(transform(rows, fit(rows)), ["seed", "fold", "split"])
+    mean = pooled(transform(rows, fit_control(rows, features, splits, control)), ["seed", "fold", "split"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"])
     return mean.groupBy("seed", "fold", "split", "sentence_id").agg(ordered.alias("signal"))
 

@@ -6,18 +6,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import known
+from ..sources.shared import durable
+from .quantiles import exact_quantiles
 
 FEATURE = ["seed", "fold", "pos"]
 
 
+def _median(rows: DataFrame, group: list[str], members: list | None = None) -> DataFrame:
+    return exact_quantiles(rows, group, "value", {"m": 0.5}, members)
+
+
+def _scale(std):
+    return F.when(std >= 1e-8, std).otherwise(1.0)
+
+
 def fit(rows: DataFrame) -> DataFrame:
     """seed, fold, pos, observed, median, mean, std over the rows of split train."""
-    train = rows.where("split = 'train'").withColumn("value", known(F.col("value")))
-    median = train.groupBy(*FEATURE).agg(F.median("value").alias("m"))
-    median = median.select(*FEATURE, F.col("m").isNotNull().alias("observed"), F.coalesce("m", F.lit(0.0)).alias("median"))
-    filled = train.join(F.broadcast(median), FEATURE).groupBy(*FEATURE, "observed", "median").agg(
-        F.avg(F.coalesce("value", "median")).alias("mean"), F.stddev_pop(F.coalesce("value", "median")).alias("std"))
-    return filled.withColumn("std", F.when(F.col("std") >= 1e-8, F.col("std")).otherwise(1.0))
+    train = durable(rows.where("split = 'train'").select(*FEATURE, known(F.col("value")).alias("value")))
+    seen = train.groupBy(*FEATURE).agg(F.count("*").alias("n"), F.count("value").alias("k"), F.avg("value").alias("avg"), F.var_pop("value").alias("var"))
+    return _filled(seen, _median(train, FEATURE).drop("member"))
+
+
+def fit_splits(features: DataFrame, splits: DataFrame) -> DataFrame:
+    """``fit`` for controls that leave a fold's train rows what they are, as a set: aligned, zero, and
+    shuffled, whose recordings change places inside a split.
+
+    A row is read once for all seeds and folds, with a flag for each whose train sentences have it;
+    moments and counts of all flags are taken side by side.
+    """
+    pairs = sorted((r.seed, r.fold) for r in splits.where("split = 'train'").select("seed", "fold").distinct().collect())  # one a fold and seed
+    within = splits.where("split = 'train'").groupBy("sentence_id").agg(F.collect_set(F.struct("seed", "fold")).alias("_set"))
+    kind = within.schema["_set"].dataType.elementType.simpleString()
+    has = [F.array_contains("_set", F.struct(F.lit(seed).alias("seed"), F.lit(fold).alias("fold")).cast(kind)) for seed, fold in pairs]
+    x = features.join(within, "sentence_id").select("pos", known(F.col("value")).alias("value"), (F.array(*has) if has else F.array().cast("array<boolean>")).alias("_train"))
+    x = durable(x)
+    flags = [F.col("_train")[i] for i in range(len(pairs))]
+    if not pairs:
+        return _filled(x.select(F.lit(0).alias("seed"), F.lit(0).alias("fold"), "pos", F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(0.0).alias("avg"), F.lit(0.0).alias("var")).where("false"), x.select(F.lit(0).alias("seed"), F.lit(0).alias("fold"), "pos", F.lit(0.0).alias("m")).where("false"))
+    of = lambda flag: F.when(flag, F.col("value"))
+    moments = [F.struct(F.lit(i).alias("member"), F.count_if(flag).alias("n"), F.count(of(flag)).alias("k"), F.avg(of(flag)).alias("avg"), F.var_pop(of(flag)).alias("var")) for i, flag in enumerate(flags)]
+    seen = x.groupBy("pos").agg(F.array(*moments).alias("_m")).select("pos", F.inline("_m")).where("n > 0")
+    named = F.array(*(F.struct(F.lit(i).alias("member"), F.lit(seed).alias("seed"), F.lit(fold).alias("fold")) for i, (seed, fold) in enumerate(pairs)))
+    place = lambda df: df.withColumn("_p", named[F.col("member")]).select("*", F.col("_p.seed").alias("seed"), F.col("_p.fold").alias("fold")).drop("_p", "member")
+    return _filled(place(seen), place(_median(x, ["pos"], flags)))
+
+
+def fit_control(rows: DataFrame, features: DataFrame, splits: DataFrame, control: str) -> DataFrame:
+    """The fit of a control's ``rows``; only noise, whose values differ by fold, needs them."""
+    return fit(rows) if control == "noise" else fit_splits(features, splits)
+
+
+def _filled(seen: DataFrame, medians: DataFrame) -> DataFrame:
+    """Moments with the missing rows at the median, from those of the rows seen."""
+    x = seen.join(medians, FEATURE, "left").withColumns({"observed": F.col("m").isNotNull(), "median": F.coalesce("m", F.lit(0.0))})
+    share = F.col("k") / F.col("n")
+    x = x.withColumn("mean", F.coalesce(F.col("avg") * share, F.lit(0.0)) + F.col("median") * (1 - share))
+    spread = lambda c: F.pow(F.coalesce(F.col(c), F.lit(0.0)) - F.col("mean"), F.lit(2))
+    x = x.withColumn("std", _scale(F.sqrt(share * (F.coalesce("var", F.lit(0.0)) + spread("avg")) + (1 - share) * spread("median"))))
+    return x.select(*FEATURE, "observed", "median", "mean", "std")
 
 
 def transform(rows: DataFrame, fitted: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 Samples come in long form (recording, channel, at, value) with null for missing; all moments are
 population moments over the values present. Differences next to a missing sample are missing.
 One window by (recording, channel) gives the differences, one aggregation the statistics; the
-crossings need the mean first and use the same partitioning.
+crossings need the mean first and use the same partitioning. Very long recordings are cut into
+blocks of time instead, whose moments are merged; their quartiles come from radix selection.
 """
 
 from __future__ import annotations
@@ -12,32 +13,83 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import known
+from ..sources.shared import durable
 from .align import require_none
+from .folds import rank_by_range
+from .quantiles import bounded, exact_quantiles
 
 #: Fixed names of the statistics and frequency bands, in the order of the feature matrix.
 RAW_STATS = ["mean", "std", "var", "min", "max", "ptp", "median", "iqr", "skew", "kurtosis", "rms", "mav", "line_length", "zcr", "hjorth_mobility", "hjorth_complexity"]
 BANDS = ["t1", "t2", "a1", "a2", "b1", "b2", "g1", "g2"]
 KEYS = ["recording", "channel"]
+#: A recording's channel of more samples than this is cut; and samples a block.
+LONG, BLOCK = 1 << 22, 1 << 20
 
 
-def signal_statistics(samples: DataFrame, line_length: str = "normalized") -> DataFrame:
-    """recording, channel and the 16 statistics; undefined ones are null."""
+def signal_statistics(samples: DataFrame, line_length: str = "normalized", long: int = LONG) -> DataFrame:
+    """recording, channel and the 16 statistics; undefined ones are null.
+
+    A recording's channel of more than ``long`` samples is cut into blocks of time, which any task
+    may take; shorter ones are each read in one piece. Both ways give the same statistics.
+    """
     if line_length not in ("normalized", "sum"):
         raise ValueError(f"no way {line_length!r} to measure a line")
+    x = samples.select(*KEYS, "at", known(F.col("value")).alias("value"))
+    large = durable(x.groupBy(*KEYS).count().where(F.col("count") > long).drop("count"))
+    if large.isEmpty():
+        return _in_pieces(x, line_length)
+    large = bounded(large)
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"large.{c}")) for c in KEYS]
+    part = lambda how: x.alias("x").join(large.alias("large"), same, how)
+    return _in_pieces(part("left_anti"), line_length).unionByName(_in_blocks(durable(part("left_semi")), line_length))
+
+
+def _in_pieces(x: DataFrame, line_length: str) -> DataFrame:
+    """One window by recording and channel, then aggregates in the same partitions."""
     by = Window.partitionBy(*KEYS)
-    ordered = by.orderBy("at")
-    x = samples.withColumn("value", known(F.col("value")))
-    x = x.withColumn("d1", F.col("value") - F.lag("value").over(ordered)).withColumn("mean", F.avg("value").over(by))
+    v = F.col("value")
+    x = _differences(x.withColumn("mean", F.avg(v).over(by)), by.orderBy("at"))
+    quartiles = [F.median(v).alias("median"), (F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias("iqr")]
+    return _shaped(x.groupBy(*KEYS).agg(*_mergeable(line_length), *quartiles))
+
+
+def _in_blocks(x: DataFrame, line_length: str) -> DataFrame:
+    """Samples numbered by ranges of time and cut every BLOCK of them; a block also gets the last two
+    samples before it, from which its differences begin, and which count in their own block only."""
+    named = [f"_{c}" for c in KEYS]
+    means = x.groupBy(*KEYS).agg(F.avg("value").alias("mean")).withColumnsRenamed(dict(zip(KEYS, named)))
+    x = x.join(bounded(means), [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(KEYS, named)]).drop(*named)
+    # Null keys are not equal to themselves where places meet their offsets, so keys travel as structs.
+    x = rank_by_range(x.select(F.struct(*KEYS).alias("_k"), "at", "value", "mean"), ["_k"], "at", "value", "_g", "_size")
+    block = F.floor((F.col("_g") - 1) / BLOCK)
+    ahead = (F.col("_g") - 1) % BLOCK >= BLOCK - 2
+    x = x.withColumn("_b", block).select("*", F.explode(F.when(ahead, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_halo"))
+    x = x.withColumn("_b", F.col("_b") + F.col("_halo"))
+    own = _differences(x, Window.partitionBy("_k", "_b").orderBy("_g")).where("_halo = 0")
+    own = durable(own.select(F.col("_k.recording").alias("recording"), F.col("_k.channel").alias("channel"), "value", "d1", "d2", "crossed"))
+    q = exact_quantiles(own, KEYS, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}).select(*(F.col(c).alias(n) for c, n in zip(KEYS, named)), "median", (F.col("q3") - F.col("q1")).alias("iqr"))
+    out = own.groupBy(*KEYS).agg(*_mergeable(line_length))
+    return _shaped(out.join(q, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(KEYS, named)], "left").drop(*named))
+
+
+def _differences(x: DataFrame, ordered) -> DataFrame:
+    """First and second differences, and whether the sign about the mean changed."""
+    x = x.withColumn("d1", F.col("value") - F.lag("value").over(ordered))
     x = x.withColumn("d2", F.col("d1") - F.lag("d1").over(ordered)).withColumn("sign", F.signum(F.coalesce(F.col("value") - F.col("mean"), F.lit(0.0))))
-    x = x.withColumn("crossed", (F.col("sign") != F.lag("sign").over(ordered)).cast("int"))
+    return x.withColumn("crossed", (F.col("sign") != F.lag("sign").over(ordered)).cast("int"))
+
+
+def _mergeable(line_length: str) -> list:
+    """Aggregates whose parts are merged from constant state."""
     v = F.col("value")
     length = F.avg(F.abs("d1")) if line_length == "normalized" else F.coalesce(F.sum(F.abs("d1")), F.lit(0.0))
-    out = x.groupBy(*KEYS).agg(
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.var_pop(v).alias("var"), F.min(v).alias("min"), F.max(v).alias("max"),
-        (F.max(v) - F.min(v)).alias("ptp"), F.median(v).alias("median"), (F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias("iqr"),
+    return [
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.var_pop(v).alias("var"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("ptp"),
         F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"), F.sqrt(F.avg(v * v)).alias("rms"), F.avg(F.abs(v)).alias("mav"), length.alias("line_length"),
-        (F.coalesce(F.sum("crossed"), F.lit(0)) / F.greatest(F.count("*") - 1, F.lit(1))).alias("zcr"),
-        F.var_pop("d1").alias("v1"), F.var_pop("d2").alias("v2"))
+        (F.coalesce(F.sum("crossed"), F.lit(0)) / F.greatest(F.count("*") - 1, F.lit(1))).alias("zcr"), F.var_pop("d1").alias("v1"), F.var_pop("d2").alias("v2")]
+
+
+def _shaped(out: DataFrame) -> DataFrame:
     out = out.withColumn("hjorth_mobility", F.sqrt(F.try_divide("v1", "var")))
     out = out.withColumn("hjorth_complexity", F.try_divide(F.sqrt(F.try_divide("v2", "v1")), F.col("hjorth_mobility")))
     return out.select(*KEYS, *RAW_STATS)

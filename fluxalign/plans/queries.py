@@ -189,13 +189,14 @@ def noise_control(spark, sf):
 
 @query
 def fold_preprocessing(spark, sf):
-    return rounded(preprocess.fit(controls.apply_control(views.features(spark, sf), _splits(spark, sf), "aligned")))
+    return rounded(preprocess.fit_splits(views.features(spark, sf), durable(_splits(spark, sf))))
 
 
 @query
 def shuffled_transform(spark, sf):
-    rows = controls.apply_control(views.features(spark, sf), _splits(spark, sf), "shuffled")
-    return rounded(preprocess.transform(rows, preprocess.fit(rows)))
+    features, splits = views.features(spark, sf), durable(_splits(spark, sf))
+    rows = controls.apply_control(features, splits, "shuffled")
+    return rounded(preprocess.transform(rows, preprocess.fit_control(rows, features, splits, "shuffled")))
 
 
 @query

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxalign.operators import align, bootstrap, compare, controls, diagnostics, folds, metrics, preprocess, scoring
+from fluxalign.sources.shared import durable
 
 LABEL = "sentence_id long, sentiment_label int"
 
@@ -30,6 +31,21 @@ def test_preprocessing_reads_train_rows_only(spark):
     assert [r.median for r in fitted] == [2.0, 5.0]
 
 
+def test_fits_of_all_folds_read_at_once_equal_fits_of_their_rows(spark):
+    """Features with missing values, a feature never seen in training, ties, a sentence without rows."""
+    labels = spark.createDataFrame([(i, i % 3 - 1) for i in range(40)], "sentence_id long, sentiment_label int")
+    splits = durable(folds.assign_splits(folds.assign_folds(labels, [1, 2])))
+    rows = [(i, s, p, None if p == 2 or (i + p) % 5 == 0 else float((i * 7 + s) % 11) - 4.5 * p) for i in range(39) for s in range(2) for p in range(4)]
+    features = spark.createDataFrame(rows, "sentence_id long, subject int, pos int, value double")
+    got = {(r.seed, r.fold, r.pos): r for r in preprocess.fit_splits(features, splits).collect()}
+    assert len(got) == 40 and not any(got[key].observed for key in got if key[2] == 2)
+    for control in ("aligned", "shuffled"):
+        want = preprocess.fit(controls.apply_control(features, splits, control)).collect()
+        assert {(r.seed, r.fold, r.pos) for r in want} == set(got)
+        for r in want:
+            assert got[r.seed, r.fold, r.pos][3:] == pytest.approx(r[3:], rel=1e-12), (control, r)
+
+
 def test_features_unseen_in_training_are_zero(spark):
     rows = split_rows(spark, [(1.0, None), (3.0, None), (5.0, 900.0)], {0, 1})
     fitted = preprocess.fit(rows)

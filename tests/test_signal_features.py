@@ -74,3 +74,20 @@ def test_layouts_follow_first_recordings_and_must_agree(spark):
 
 def test_empty_samples(spark):
     assert sf.signal_statistics(signal(spark, a=[1.0]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["normalized", "sum"])
+def test_blocks_of_time_give_the_same_statistics(spark, monkeypatch, mode):
+    """Seams between blocks, missing samples beside them, constant and short channels, null keys."""
+    import random
+
+    monkeypatch.setattr(sf, "BLOCK", 7)
+    rng = random.Random(5)
+    series = {"a": [rng.gauss(0, 1) if i % 11 else None for i in range(200)], "b": [2.0] * 50, "c": [1.0, -1.0], "d": [float(i % 7 - 3) for i in range(70)], "e": [None] * 30, "f": [rng.choice([0.0, 1.0, float("nan")]) for _ in range(64)]}
+    x = signal(spark, **series).unionByName(signal(spark, z=[1.0, 5.0, 2.0] * 9).withColumn("channel", sf.F.lit(None).cast("string")))
+    want = {r.channel: r.asDict() for r in sf.signal_statistics(x, mode).collect()}
+    got = {r.channel: r.asDict() for r in sf.signal_statistics(x, mode, long=10).collect()}
+    assert set(got) == set(want) == {*series, None}
+    for channel, row in want.items():
+        for name, value in row.items():
+            assert got[channel][name] == (pytest.approx(value, rel=1e-9, abs=1e-12) if isinstance(value, float) else value), (channel, name)
