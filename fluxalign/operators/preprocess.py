@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import known
@@ -10,9 +10,10 @@ from ..sources.shared import durable
 from .quantiles import exact_quantiles
 
 FEATURE = ["seed", "fold", "pos"]
+MOMENTS = {"n": "count(*)", "k": "count(value)", "avg": "avg(value)", "var": "var_pop(value)"}
 
 
-def _median(rows: DataFrame, group: list[str], members: list | None = None) -> DataFrame:
+def _median(rows: DataFrame, group: list[str], members=None) -> DataFrame:
     return exact_quantiles(rows, group, "value", {"m": 0.5}, members)
 
 
@@ -23,32 +24,23 @@ def _scale(std):
 def fit(rows: DataFrame) -> DataFrame:
     """seed, fold, pos, observed, median, mean, std over the rows of split train."""
     train = durable(rows.where("split = 'train'").select(*FEATURE, known(F.col("value")).alias("value")))
-    seen = train.groupBy(*FEATURE).agg(F.count("*").alias("n"), F.count("value").alias("k"), F.avg("value").alias("avg"), F.var_pop("value").alias("var"))
-    return _filled(seen, _median(train, FEATURE).drop("member"))
+    return _filled(train.groupBy(*FEATURE).agg(*(F.expr(e).alias(name) for name, e in MOMENTS.items())), _median(train, FEATURE).drop("member"))
 
 
 def fit_splits(features: DataFrame, splits: DataFrame) -> DataFrame:
     """``fit`` for controls that leave a fold's train rows what they are, as a set: aligned, zero, and
     shuffled, whose recordings change places inside a split.
 
-    A row is read once for all seeds and folds, with a flag for each whose train sentences have it;
-    moments and counts of all flags are taken side by side.
+    A row is shuffled and kept once for all seeds and folds, with the numbers of those that train
+    on it; it is multiplied only in the stages that aggregate.
     """
-    pairs = sorted((r.seed, r.fold) for r in splits.where("split = 'train'").select("seed", "fold").distinct().collect())  # one a fold and seed
-    within = splits.where("split = 'train'").groupBy("sentence_id").agg(F.collect_set(F.struct("seed", "fold")).alias("_set"))
-    kind = within.schema["_set"].dataType.elementType.simpleString()
-    has = [F.array_contains("_set", F.struct(F.lit(seed).alias("seed"), F.lit(fold).alias("fold")).cast(kind)) for seed, fold in pairs]
-    x = features.join(within, "sentence_id").select("pos", known(F.col("value")).alias("value"), (F.array(*has) if has else F.array().cast("array<boolean>")).alias("_train"))
-    x = durable(x)
-    flags = [F.col("_train")[i] for i in range(len(pairs))]
-    if not pairs:
-        return _filled(x.select(F.lit(0).alias("seed"), F.lit(0).alias("fold"), "pos", F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(0.0).alias("avg"), F.lit(0.0).alias("var")).where("false"), x.select(F.lit(0).alias("seed"), F.lit(0).alias("fold"), "pos", F.lit(0.0).alias("m")).where("false"))
-    of = lambda flag: F.when(flag, F.col("value"))
-    moments = [F.struct(F.lit(i).alias("member"), F.count_if(flag).alias("n"), F.count(of(flag)).alias("k"), F.avg(of(flag)).alias("avg"), F.var_pop(of(flag)).alias("var")) for i, flag in enumerate(flags)]
-    seen = x.groupBy("pos").agg(F.array(*moments).alias("_m")).select("pos", F.inline("_m")).where("n > 0")
-    named = F.array(*(F.struct(F.lit(i).alias("member"), F.lit(seed).alias("seed"), F.lit(fold).alias("fold")) for i, (seed, fold) in enumerate(pairs)))
-    place = lambda df: df.withColumn("_p", named[F.col("member")]).select("*", F.col("_p.seed").alias("seed"), F.col("_p.fold").alias("fold")).drop("_p", "member")
-    return _filled(place(seen), place(_median(x, ["pos"], flags)))
+    train = splits.where("split = 'train'")
+    pairs = train.select("seed", "fold").distinct().withColumn("member", F.row_number().over(Window.orderBy("seed", "fold")) - 1)  # one a fold and seed
+    pairs = F.broadcast(durable(pairs))
+    within = train.join(pairs, ["seed", "fold"]).groupBy("sentence_id").agg(F.collect_set("member").alias("_train"))
+    x = durable(features.join(within, "sentence_id").select("pos", known(F.col("value")).alias("value"), "_train"))
+    seen = x.select("pos", "value", F.explode("_train").alias("member")).groupBy("pos", "member").agg(*(F.expr(e).alias(name) for name, e in MOMENTS.items()))
+    return _filled(seen.join(pairs, "member"), _median(x, ["pos"], F.col("_train")).join(pairs, "member"))
 
 
 def fit_control(rows: DataFrame, features: DataFrame, splits: DataFrame, control: str) -> DataFrame:

@@ -43,23 +43,22 @@ def _joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, same).select("a.*", *(F.col(f"b.{c}") for c in right.columns if c not in on))
 
 
-def exact_quantiles(rows: DataFrame, group: list[str], value: str, shares: dict[str, float], members: list[Column] | None = None) -> DataFrame:
+def exact_quantiles(rows: DataFrame, group: list[str], value: str, shares: dict[str, float], members: Column | None = None) -> DataFrame:
     """group, member and one column for each share: quantiles interpolated between neighbours.
 
-    ``members`` are conditions on a row: the quantiles of each are those of the rows that meet it
-    (member is its place in the list), while every row is read as one. Null values are ignored;
-    a group and member without values has no row, an empty table gives none. NaN is not allowed
-    for (``functions.vectors.known`` makes it null).
+    ``members`` is an array of numbers: those of the (overlapping) parts of a group that a row is in.
+    Rows are multiplied by them in the stage that counts, not before. All are in part 0 without it.
+    Null values are ignored; a group and member without values has no row, an empty table gives
+    none. NaN is not allowed for (``functions.vectors.known`` makes it null).
     """
-    flags = F.array(*(members or [F.lit(True)]))
-    x = durable(rows.where(F.col(value).isNotNull()).select(*group, order_key(F.col(value).cast("double")).alias("_key"), flags.alias("_in")))
-    n = len(members or [0])
+    x = durable(rows.where(F.col(value).isNotNull()).select(*group, order_key(F.col(value).cast("double")).alias("_key"), (F.array(F.lit(0)) if members is None else members).alias("_in")))
     digit = lambda shift: F.shiftrightunsigned("_key", shift).bitwiseAND(F.lit((1 << DIGIT) - 1))
 
-    # The first digits of all rows, counted for every member at once.
-    counted = F.array(*(F.count_if(F.col("_in")[k]) for k in range(n))).alias("_n")
-    counts = x.groupBy(*group, digit(64 - DIGIT).alias("_d")).agg(counted)
-    counts = durable(counts.select(*group, "_d", F.posexplode("_n").alias("member", "_n")).where("_n > 0"))
+    def counted(of: DataFrame, by: list[str], shift: int) -> DataFrame:
+        each = of.select(*by, digit(shift).alias("_d"), F.explode("_in").alias("member"))
+        return each.groupBy(*by, "member", "_d").agg(F.count("*").alias("_n"))
+
+    counts = durable(counted(x, group, 64 - DIGIT))
     sizes = durable(counts.groupBy(*group, "member").agg(F.sum("_n").alias("_all")))
     place = lambda p: F.lit(p) * (F.col("_all") - 1)
     ends = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), f(place(p)).alias("rank")) for name, p in shares.items() for side, f in ((0, F.floor), (1, F.ceil))))
@@ -75,11 +74,9 @@ def exact_quantiles(rows: DataFrame, group: list[str], value: str, shares: dict[
     found = narrowed(_joined(targets, counts, [*group, "member"]))
     for shift in range(64 - 2 * DIGIT, -1, -DIGIT):
         # One row a group and prefix: all that is sought under one prefix is counted together.
-        prefixes = bounded(durable(found.select(*group, "_prefix").distinct()))
+        prefixes = bounded(found.select(*group, "_prefix").distinct())
         hits = _joined(x.withColumn("_prefix", F.shiftrightunsigned("_key", shift + DIGIT)), prefixes, [*group, "_prefix"])
-        part = hits.groupBy(*group, "_prefix", digit(shift).alias("_d")).agg(counted)
-        part = part.select(*group, "_prefix", "_d", F.posexplode("_n").alias("member", "_n")).where("_n > 0")
-        found = narrowed(_joined(found, part, [*group, "member", "_prefix"]))
+        found = narrowed(_joined(found, counted(hits, [*group, "_prefix"], shift), [*group, "member", "_prefix"]))
     value_of = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("_value")))
     values = found.withColumn("_value", from_key(F.col("_prefix"))).groupBy(*group, "member").agg(*(value_of(name, side).alias(f"_{name}_{side}") for name in shares for side in (0, 1)))
     between = lambda name, p: F.col(f"_{name}_0") + (F.col(f"_{name}_1") - F.col(f"_{name}_0")) * (place(p) - F.floor(place(p)))

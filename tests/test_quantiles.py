@@ -27,7 +27,7 @@ def test_quantiles_of_hard_values(spark, broadcast, monkeypatch):
     groups = {"a": [rng.gauss(0, 1) for _ in range(501)], "b": [rng.choice([-2.5, 0.0, 7.0]) for _ in range(400)], "c": hard, "d": [4.0], None: [rng.uniform(-1e-9, 1e9) for _ in range(60)]}
     rows = [(g, i, v) for g, values in groups.items() for i, v in enumerate(values)] + [("a", -1, None), ("e", 0, None)]
     df = spark.createDataFrame(rows, "g string, i int, value double")
-    members = [F.lit(True), F.col("i") % 3 != 0]
+    members = F.when(F.col("i") % 3 != 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     got = {(r.g, r.member): r for r in exact_quantiles(df, ["g"], "value", SHARES, members).collect()}
     want = {(g, k): [v for i, v in enumerate(values) if k == 0 or i % 3] for g, values in groups.items() for k in (0, 1)}
     assert set(got) == {key for key, values in want.items() if values}
