@@ -21,6 +21,12 @@ def _scale(std):
     return F.when(std >= 1e-8, std).otherwise(1.0)
 
 
+def observed(rows: DataFrame) -> DataFrame:
+    """seed, fold, pos, observed: whether a train row has a value, as ``fit`` says it, without a fit."""
+    train = rows.where("split = 'train'").withColumn("value", known(F.col("value")))
+    return train.groupBy(*FEATURE).agg((F.count("value") > 0).alias("observed"))
+
+
 def fit(rows: DataFrame) -> DataFrame:
     """seed, fold, pos, observed, median, mean, std over the rows of split train."""
     train = durable(rows.where("split = 'train'").select(*FEATURE, known(F.col("value")).alias("value")))

@@ -92,7 +92,7 @@ def documents(predictions: DataFrame, history: DataFrame, features: DataFrame, l
     start = predictions.select(*at, "text_mode").distinct().select(*at, F.lit("text.weight").alias("name"), F.lit("float64").alias("kind"), F.concat(F.lit("(3, "), F.element_at(F.create_map(*(F.lit(x) for pair in WORDS.items() for x in pair)), F.col("text_mode")).cast("string"), F.lit(")")).alias("shape"), F.lit(b"\0").alias("value"))
     sizes = splits.groupBy("seed", "fold").agg(*(F.count_if(F.col("split") == x).cast("int").alias(f"n_{x}") for x in ("train", "val", "test")))
     control = setups.where("uses_eeg").select("eeg_control").distinct().collect()
-    missing = [preprocess.fit_control(controls.apply_control(features, splits, r.eeg_control), features, splits, r.eeg_control).groupBy("seed", "fold").agg(F.count_if(~F.col("observed")).cast("int").alias("n")).withColumn("eeg_control", F.lit(r.eeg_control)) for r in control]
+    missing = [preprocess.observed(controls.apply_control(features, splits, r.eeg_control)).groupBy("seed", "fold").agg(F.count_if(~F.col("observed")).cast("int").alias("n")).withColumn("eeg_control", F.lit(r.eeg_control)) for r in control]
     where = predictions.select(*at).distinct().join(setups.select("setup", "uses_eeg", "eeg_control"), "setup")
     unseen = where.select(*at, F.lit(0).alias("n_all_missing_train_features"))
     if missing:
