@@ -9,7 +9,7 @@ blocks of time instead, whose moments are merged; their quartiles come from radi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import known
@@ -24,6 +24,8 @@ BANDS = ["t1", "t2", "a1", "a2", "b1", "b2", "g1", "g2"]
 KEYS = ["recording", "channel"]
 #: A recording's channel of more samples than this is cut; and samples a block.
 LONG, BLOCK = 1 << 22, 1 << 20
+#: The variance of up to so many samples is taken sample by sample in order of time.
+ORDERED = 1 << 16
 
 
 def signal_statistics(samples: DataFrame, line_length: str = "normalized", long: int = LONG) -> DataFrame:
@@ -48,9 +50,28 @@ def _in_pieces(x: DataFrame, line_length: str) -> DataFrame:
     """One window by recording and channel, then aggregates in the same partitions."""
     by = Window.partitionBy(*KEYS)
     v = F.col("value")
-    x = _differences(x.withColumn("mean", F.avg(v).over(by)), by.orderBy("at"))
+    x = _differences(x.withColumns({"mean": F.avg(v).over(by), "n": F.count(v).over(by)}), by.orderBy("at"))
     quartiles = [F.median(v).alias("median"), (F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias("iqr")]
-    return _shaped(x.groupBy(*KEYS).agg(*_mergeable(line_length), *quartiles))
+    few = F.sort_array(F.collect_list(F.when(v.isNotNull() & (F.col("n") <= ORDERED), F.struct("at", "value"))))
+    out = x.groupBy(*KEYS).agg(*_mergeable(line_length), *quartiles, few.alias("few"))
+    out = out.withColumn("var", F.when(F.size("few") > 0, _ordered_variance(F.col("few"))).otherwise(F.col("var")))
+    return _shaped(out.withColumn("std", F.sqrt("var")))
+
+
+def _ordered_variance(pairs: Column) -> Column:
+    """Population variance of (at, value) pairs by Welford's recurrence in their order.
+
+    Variances of few values with two decimals often end in a half at the seventh place. The order
+    fixes their last bits, and so the side to which they are rounded, whatever the partitioning.
+    """
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(s: Column, x: Column) -> Column:
+        v, n = x["value"].cast("double"), s["n"] + 1.0
+        mean = s["mean"] + (v - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + (v - mean) * (v - s["mean"])).alias("m2"))
+
+    return F.aggregate(pairs, start, step, lambda s: s["m2"] / s["n"])
 
 
 def _in_blocks(x: DataFrame, line_length: str) -> DataFrame:
